@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from biblioflow.llm import secrets
+from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": secrets.ORACLE,
+}
