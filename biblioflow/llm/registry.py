@@ -5,8 +5,10 @@ from __future__ import annotations
 from biblioflow.llm import secrets
 from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
+from biblioflow.llm.warc import op1_warc_roundtrip
 
 QUERIES = {
+    "op1_warc_roundtrip": op1_warc_roundtrip,
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
