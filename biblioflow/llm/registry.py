@@ -5,14 +5,17 @@ from __future__ import annotations
 from biblioflow.llm import secrets
 from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
+from biblioflow.llm.sketches import op2_document_fingerprints
 from biblioflow.llm.warc import op1_warc_roundtrip
 
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_neardup": op5_simhash_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_secret_scan": secrets.ORACLE,
 }
