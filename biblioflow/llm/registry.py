@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from biblioflow.llm import secrets
+from biblioflow.llm.pieces import op6_sentencepiece
 from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
 from biblioflow.llm.sketches import op2_document_fingerprints
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_neardup": op5_simhash_neardup,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
