@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from biblioflow.llm import secrets
+from biblioflow.llm.decontaminate import op7_decontaminate
 from biblioflow.llm.pieces import op6_sentencepiece
 from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_simhash_neardup": op5_simhash_neardup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
