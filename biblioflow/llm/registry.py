@@ -8,6 +8,7 @@ from biblioflow.llm.pieces import op6_sentencepiece
 from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
 from biblioflow.llm.sketches import op2_document_fingerprints
+from biblioflow.llm.toxicity import op8_toxicity
 from biblioflow.llm.warc import op1_warc_roundtrip
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_simhash_neardup": op5_simhash_neardup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

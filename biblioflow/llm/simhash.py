@@ -203,14 +203,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, max_bits: int = 8, both_bits: int = 20) -> DataFrame:
-    """Documents without those that have a near copy of smaller doc_id in their group; all columns stay.
+    """Documents without those that have a near copy of smaller doc_id in their group; all columns stay. Of rows with
+    equal doc_id one stays; rows with a null doc_id all stay.
 
     Two SimHashes with different seeds are compared: at most max_bits of the first and both_bits of the two together may
     differ. At a shingle similarity of 0.8 about 19 of the 128 bits are expected to, and unrelated texts differ in 64."""
     prints = saved(fingerprints(docs, shingle, (42, 43)), "fingerprints")
     groups = near_groups(prints, max_bits, ("f1", both_bits))
     keep = prints.join(groups, ["f0", "f1"]).where(F.col("doc_id") == F.col("label")).select("doc_id")
-    return docs.join(keep.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
