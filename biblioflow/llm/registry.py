@@ -5,6 +5,7 @@ from __future__ import annotations
 from biblioflow.llm import secrets
 from biblioflow.llm.decontaminate import op7_decontaminate
 from biblioflow.llm.pieces import op6_sentencepiece
+from biblioflow.llm.repeats import op9_substring_dedup
 from biblioflow.llm.secrets import op3_secret_scan
 from biblioflow.llm.simhash import op5_simhash_neardup
 from biblioflow.llm.sketches import op2_document_fingerprints
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
