@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from biblioflow.llm import secrets
 from biblioflow.llm.decontaminate import op7_decontaminate
+from biblioflow.llm.language import op10_language_id
 from biblioflow.llm.pieces import op6_sentencepiece
 from biblioflow.llm.repeats import op9_substring_dedup
 from biblioflow.llm.secrets import op3_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
