@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from biblioflow.llm import secrets
 from biblioflow.llm.decontaminate import op7_decontaminate
+from biblioflow.llm.idfile import op4_token_ids
 from biblioflow.llm.language import op10_language_id
 from biblioflow.llm.pieces import op6_sentencepiece
 from biblioflow.llm.repeats import op9_substring_dedup
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op4_token_ids": op4_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {
