@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.llm.common import _BYTE, mix, powers, fold, read, text_blocks
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 THRESHOLD = 0.3
 MINED = 200
 GOLD_ACCURACY = 0.97
