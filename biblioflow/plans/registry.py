@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from biblioflow.plans import graphs, records
+
+QUERIES = {**records.QUERIES, **graphs.QUERIES}
+ORACLE_SQL = {**records.ORACLE_SQL, **graphs.ORACLE_SQL}
