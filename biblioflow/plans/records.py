@@ -14,7 +14,14 @@ from biblioflow.sources import codecs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-L, FS = F.col("leader"), F.col("fields")
+
+
+def L():  # noqa: N802
+    return F.col("leader")
+
+
+def FS():  # noqa: N802
+    return F.col("fields")
 
 
 def query(name: str, sql: str | None = None, cte: bool = True):
@@ -49,13 +56,13 @@ def _control(tag: str) -> str:
     FROM rec JOIN fld USING (_pos) WHERE tag = '245' AND code = 'a' GROUP BY ALL""",
 )
 def title_profile(df):
-    title = text.trim_isbd(marc.subfield_value(FS, "245", "a"))
+    title = text.trim_isbd(marc.subfield_value(FS(), "245", "a"))
     return df.select(F.substring("leader", 7, 2).alias("kind"), F.substring(title, -1, 1).alias("ending")).groupBy("kind", "ending").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p1_control_field", f"SELECT _pos, {_control('001')} AS c001, {_control('003')} AS c003, {_control('008')} AS c008 FROM rec r")
 def control_fields(df):
-    return df.select("_pos", *[marc.control_field(FS, t).alias(f"c{t}") for t in ("001", "003", "008")])
+    return df.select("_pos", *[marc.control_field(FS(), t).alias(f"c{t}") for t in ("001", "003", "008")])
 
 
 @query("p2_data_fields", "SELECT DISTINCT _pos, i, tag, ind1, ind2 FROM fld WHERE tag IN ('650', '651', '856')")
@@ -66,12 +73,12 @@ def data_fields(df):
 
 @query("p3_first_subfield", f"SELECT _pos, {_first('245', 'a')} AS title, {_first('650', 'x')} AS topic, {_first('020', 'z')} AS bad_isbn FROM rec r")
 def first_subfield(df):
-    return df.select("_pos", marc.subfield_value(FS, "245", "a").alias("title"), marc.subfield_value(FS, "650", "x").alias("topic"), marc.subfield_value(FS, "020", "z").alias("bad_isbn"))
+    return df.select("_pos", marc.subfield_value(FS(), "245", "a").alias("title"), marc.subfield_value(FS(), "650", "x").alias("topic"), marc.subfield_value(FS(), "020", "z").alias("bad_isbn"))
 
 
 @query("p4_all_subfields", "SELECT _pos, row_number() OVER (PARTITION BY _pos ORDER BY i, j) - 1 AS n, v AS value FROM fld WHERE tag = '650' AND code = 'a'")
 def all_subfields(df):
-    return df.select("_pos", F.posexplode(marc.subfield_values(FS, "650", "a")).alias("n", "value")).withColumn("n", F.col("n").cast("long"))
+    return df.select("_pos", F.posexplode(marc.subfield_values(FS(), "650", "a")).alias("n", "value")).withColumn("n", F.col("n").cast("long"))
 
 
 @query("p5_field_subfields", "SELECT _pos, i, coalesce(max(CASE WHEN code = 'a' THEN v END), '') AS a, coalesce(string_agg(v, '|' ORDER BY j), '') AS every FROM fld WHERE tag = '650' GROUP BY _pos, i")
@@ -83,8 +90,8 @@ def field_subfields(df):
 @query("p7_leader", "SELECT _pos, substr(leader, 6, 1) AS status, substr(leader, 7, 1) AS type, substr(leader, 8, 1) AS level, substr(leader, 10, 1) = 'a' AS unicode, CAST(substr(leader, 1, 5) AS INT) AS length, CAST(substr(leader, 13, 5) AS INT) AS base FROM rec")
 def leaders(df):
     return df.select(
-        "_pos", marc.record_status(L).alias("status"), marc.record_type(L).alias("type"), marc.bib_level(L).alias("level"), marc.is_unicode(L).alias("unicode"),
-        marc.record_length(L).alias("length"), marc.base_address(L).alias("base"),
+        "_pos", marc.record_status(L()).alias("status"), marc.record_type(L()).alias("type"), marc.bib_level(L()).alias("level"), marc.is_unicode(L()).alias("unicode"),
+        marc.record_length(L()).alias("length"), marc.base_address(L()).alias("base"),
     )
 
 
@@ -95,7 +102,7 @@ _FORM = f"CASE WHEN substr(leader, 7, 1) IN ('e','f','g','k','o','r') THEN {_AT.
 
 @query("p8_fixed_008", f"SELECT _pos, {', '.join(f'{_AT.format(a=a, b=b)} AS {k}' for k, (a, b) in marc.POSITIONS.items())}, {_FORM} AS form_of_item, {_FORM} = 'd' AS large_print, {_FORM} = 'f' AS braille FROM {_C008}")
 def fixed_008(df):
-    return df.select("_pos", marc.control_008(L, FS).alias("c")).select("_pos", "c.*")
+    return df.select("_pos", marc.control_008(L(), FS()).alias("c")).select("_pos", "c.*")
 
 
 def _agg(tag: str, codes: str, order: str = "i, j") -> str:
@@ -108,7 +115,7 @@ def _agg(tag: str, codes: str, order: str = "i, j") -> str:
     {_agg('341', "'b','c','d','e'", 'i, code, j')} AS features, {_agg('532', "'a'")} AS notes FROM rec r JOIN {_C008.replace('SELECT r._pos, leader,', 'SELECT r._pos,')} c ON c._pos = r._pos""",
 )
 def accessibility(df):
-    a = df.select("_pos", marc.accessibility(L, FS).alias("a"))
+    a = df.select("_pos", marc.accessibility(L(), FS()).alias("a"))
     join = lambda k: F.array_join(f"a.{k}", "|")
     return a.select("_pos", "a.large_print", "a.braille", "a.tactile", join("access_modes").alias("modes"), join("features").alias("features"), join("notes").alias("notes"))
 
@@ -136,15 +143,15 @@ _TAGS = "(SELECT DISTINCT _pos, i, tag FROM fld)"
 def edits(df):
     new = lambda t: marc.make_data(t, " ", " ", marc.subfield("a", "new"))
     return df.select(
-        "_pos", _tags(marc.add_field(FS, new("999"))).alias("added"), _tags(marc.insert_field(FS, new("500"))).alias("inserted"),
-        _tags(marc.replace_field(FS, new("250"))).alias("replaced"), _tags(marc.remove_fields(FS, "650", "856")).alias("removed"),
+        "_pos", _tags(marc.add_field(FS(), new("999"))).alias("added"), _tags(marc.insert_field(FS(), new("500"))).alias("inserted"),
+        _tags(marc.replace_field(FS(), new("250"))).alias("replaced"), _tags(marc.remove_fields(FS(), "650", "856")).alias("removed"),
     )
 
 
 @query("p16_keep_tags", f"SELECT _pos, string_agg(tag, ' ' ORDER BY i) AS tags FROM {_TAGS} WHERE tag IN ('245', '650', '856') GROUP BY _pos ORDER BY _pos LIMIT 500")
 def keep_tags(df):
     """Only some tags of the first 500 records (the limit is the operator's own)."""
-    return df.select("_pos", _tags(marc.keep_fields(FS, "245", "650", "856")).alias("tags")).orderBy("_pos").limit(500)
+    return df.select("_pos", _tags(marc.keep_fields(FS(), "245", "650", "856")).alias("tags")).orderBy("_pos").limit(500)
 
 
 @query(
@@ -156,13 +163,13 @@ def validate(df):
     k = F.col("_pos") % 6
     bad = F.when(k == 2, marc.make_data("24", " ", " ", marc.subfield("a", "x"))).when(k == 3, marc.make_data("999", " ", " "))
     bad = bad.when(k == 4, marc.make_data("009", " ", " ", marc.subfield("a", "x"))).when(k == 5, marc.make_control("998", "x"))
-    own = df.select("_pos", F.when(k == 1, "bad").otherwise(L).alias("leader"), F.when(bad.isNotNull(), marc.add_field(FS, bad)).otherwise(FS).alias("fields"))
-    return own.select("_pos", F.coalesce(marc.validate(L, FS), F.lit("")).alias("error"))
+    own = df.select("_pos", F.when(k == 1, "bad").otherwise(L()).alias("leader"), F.when(bad.isNotNull(), marc.add_field(FS(), bad)).otherwise(FS()).alias("fields"))
+    return own.select("_pos", F.coalesce(marc.validate(L(), FS()), F.lit("")).alias("error"))
 
 
 @query("f3_validate_totals", "SELECT count(*) AS records, count(*) FILTER (WHERE _pos % 3 = 1) AS invalid FROM rec")
 def validate_totals(df):
-    error = marc.validate(F.when(F.col("_pos") % 3 == 1, "short").otherwise(L), FS)
+    error = marc.validate(F.when(F.col("_pos") % 3 == 1, "short").otherwise(L()), FS())
     return df.agg(F.count(F.lit(1)).alias("records"), F.count_if(error.isNotNull()).alias("invalid"))
 
 
@@ -171,13 +178,13 @@ _ALT = "coalesce((SELECT min(v) FROM fld f WHERE f._pos = r._pos AND tag = '880'
 
 @query("j1_alternate_graphic", "SELECT a._pos, a.i, b.tag AS partner FROM fld a JOIN fld b ON a._pos = b._pos AND a.code = '6' AND b.code = '6' AND a.tag <> b.tag AND substr(a.v, 1, 3) = b.tag AND substr(a.v, 5, 2) = substr(b.v, 5, 2)")
 def alternates(df):
-    partners = F.transform(FS, lambda f: marc.alternate_graphic(FS, f)["tag"])
+    partners = F.transform(FS(), lambda f: marc.alternate_graphic(FS(), f)["tag"])
     return df.select("_pos", F.posexplode(partners).alias("i", "partner")).where("partner is not null").withColumn("i", F.col("i").cast("long"))
 
 
 @query("j2_vernacular", f"SELECT _pos, {_ALT} AS title FROM rec r")
 def vernaculars(df):
-    return df.select("_pos", marc.vernacular(FS, "245", "a").alias("title"))
+    return df.select("_pos", marc.vernacular(FS(), "245", "a").alias("title"))
 
 
 @query(
@@ -189,16 +196,16 @@ def vernaculars(df):
 def stats(df):
     keys = F.concat(
         F.array(F.struct(F.lit("records").alias("what"), F.lit("").alias("key"))),
-        F.when(marc.is_unicode(L), F.array(F.struct(F.lit("unicode").alias("what"), F.lit("").alias("key")))).otherwise(F.array().cast("array<struct<what:string,key:string>>")),
-        F.array(F.struct(F.lit("type").alias("what"), F.replace(marc.record_type(L), F.lit(" "), F.lit("#")).alias("key")), F.struct(F.lit("level").alias("what"), F.replace(marc.bib_level(L), F.lit(" "), F.lit("#")).alias("key"))),
-        F.transform(FS, lambda f: F.struct(F.lit("tag").alias("what"), f["tag"].alias("key"))),
+        F.when(marc.is_unicode(L()), F.array(F.struct(F.lit("unicode").alias("what"), F.lit("").alias("key")))).otherwise(F.array().cast("array<struct<what:string,key:string>>")),
+        F.array(F.struct(F.lit("type").alias("what"), F.replace(marc.record_type(L()), F.lit(" "), F.lit("#")).alias("key")), F.struct(F.lit("level").alias("what"), F.replace(marc.bib_level(L()), F.lit(" "), F.lit("#")).alias("key"))),
+        F.transform(FS(), lambda f: F.struct(F.lit("tag").alias("what"), f["tag"].alias("key"))),
     )
     return df.select(F.explode(keys).alias("k")).groupBy("k.what", "k.key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t_trim_year_subject", f"SELECT _pos, {_t(_first('245', 'a'))} AS title, regexp_extract({_first('260', 'c')}, '[0-9][0-9][0-9][0-9]', 0) AS year FROM rec r")
 def trims(df):
-    return df.select("_pos", text.trim_isbd(marc.subfield_value(FS, "245", "a")).alias("title"), text.year(marc.subfield_value(FS, "260", "c")).alias("year"))
+    return df.select("_pos", text.trim_isbd(marc.subfield_value(FS(), "245", "a")).alias("title"), text.year(marc.subfield_value(FS(), "260", "c")).alias("year"))
 
 
 _SUBJ = "(SELECT _pos, i, string_agg(rtrim(v, ' '), '--' ORDER BY j) FILTER (WHERE code IN ('a','x','y','z','v') AND rtrim(v, ' ') <> '') AS v FROM fld WHERE tag IN ('600','610','611','630','650','651','653','655') GROUP BY _pos, i)"
@@ -229,7 +236,7 @@ _DC_PARTS["language"] = _DC_PARTS["language"].replace("WHERE f._pos = _pos", "WH
 
 @query("x1_dublin_core", " UNION ALL ".join(f"SELECT _pos, '{k}' AS element, row_number() OVER (PARTITION BY _pos ORDER BY i) - 1 AS n, v AS value FROM {sql} WHERE v <> ''" for k, sql in _DC_PARTS.items()))
 def dublin_core(df):
-    dc = df.select("_pos", crosswalk.dublin_core(L, FS).alias("dc"))
+    dc = df.select("_pos", crosswalk.dublin_core(L(), FS()).alias("dc"))
 
     def element(name):
         return F.transform(f"dc.{name}", lambda v, i: F.struct(F.lit(name).alias("element"), i.cast("long").alias("n"), v.alias("value")))
@@ -252,7 +259,7 @@ _CIT = f"""SELECT r._pos, CASE WHEN substr(leader, 7, 2) IN ('as') THEN 'JOUR' W
 
 @query("x3_citation", _CIT)
 def citation(df):
-    c = df.select("_pos", crosswalk.citation(L, FS).alias("c"))
+    c = df.select("_pos", crosswalk.citation(L(), FS()).alias("c"))
     keep = ("ris_type", "bib_type", "title", "edition", "place", "publisher", "date", "year", "abstract", "language")
     return c.select("_pos", *[f"c.{k}" for k in keep], F.array_join(F.transform("c.authors", lambda a: a["name"]), "|").alias("authors"))
 
@@ -266,12 +273,12 @@ _KEY = "lower(regexp_replace({v}, '[^A-Za-z0-9]', '', 'g'))"
     coalesce(list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda w: {_KEY.format(v='w')}), lambda w: w <> '')[1], '') AS cite_key FROM ({_CIT})""",
 )
 def cite_key(df):
-    return df.select("_pos", crosswalk.cite_key(crosswalk.citation(L, FS)).alias("cite_key"))
+    return df.select("_pos", crosswalk.cite_key(crosswalk.citation(L(), FS())).alias("cite_key"))
 
 
 @query("k8_ris")
 def ris(df):
-    return df.select("_pos", crosswalk.ris(crosswalk.citation(L, FS)).alias("ris"))
+    return df.select("_pos", crosswalk.ris(crosswalk.citation(L(), FS())).alias("ris"))
 
 
 _MNEM = "replace(replace(replace(replace(replace(replace({v}, '{{', chr(1)), '}}', chr(2)), '$', '{{dollar}}'), '&', '{{amp}}'), chr(1), '{{lcub}}'), chr(2), '{{rcub}}')"
@@ -288,19 +295,24 @@ _MRK = f"""SELECT r._pos, '=LDR  ' || leader || chr(10) || string_agg(line, '' O
 
 @query("k5_mrk_encode", _MRK)
 def mrk(df):
-    return df.select("_pos", codecs.to_mrk(L, FS).alias("mrk"))
+    return df.select("_pos", codecs.to_mrk(L(), FS()).alias("mrk"))
 
 
 _SAME = "SELECT _pos, true AS same FROM rec"
-_CLEAN = F.transform(FS, lambda f: f.withField("subfields", F.transform(f["subfields"], lambda s: s.withField("value", F.regexp_replace(s["value"], "[\r\n]", " ")))))
+
+
+def _clean():
+    """Fields without line breaks, which mnemonic lines cannot carry."""
+    value = lambda s: s.withField("value", F.regexp_replace(s["value"], "[\r\n]", " "))
+    return F.transform(FS(), lambda f: f.withField("subfields", F.transform(f["subfields"], value)))
 
 
 @query("s6_mrk_roundtrip", _SAME)
 def mrk_roundtrip(df):
-    own = df.select("_pos", L, _CLEAN.alias("fields"))
-    text_ = own.select("_pos", L, FS, codecs.to_mrk(L, FS).alias("mrk"))
+    own = df.select("_pos", L(), _clean().alias("fields"))
+    text_ = own.select("_pos", L(), FS(), codecs.to_mrk(L(), FS()).alias("mrk"))
     leader, fields, _ = codecs.mrk_fields(F.col("mrk"))
-    return text_.select("_pos", ((leader == L) & (fields == FS)).alias("same"))
+    return text_.select("_pos", ((leader == L()) & (fields == FS())).alias("same"))
 
 
 _BYTES = """(SELECT _pos, i, any_value(tag) AS tag, CASE WHEN any_value(tag) < '010' THEN any_value(v)
@@ -312,25 +324,25 @@ _ISO = f"""SELECT r._pos, lpad(CAST(26 + 12 * count(*) + sum(strlen(t)) AS VARCH
 
 @query("k1_iso2709_encode", _ISO)
 def iso2709(df):
-    return df.select("_pos", codecs.to_iso2709(L, FS).alias("iso"))
+    return df.select("_pos", codecs.to_iso2709(L(), FS()).alias("iso"))
 
 
 @query("s2_iso2709_roundtrip", _SAME)
 def iso_roundtrip(df):
-    own = df.select("_pos", FS.alias("before"), codecs.to_iso2709(L, FS).alias("iso"))
-    return codecs.from_iso2709(own, "iso").select("_pos", (FS == F.col("before")).alias("same"))
+    own = df.select("_pos", FS().alias("before"), codecs.to_iso2709(L(), FS()).alias("iso"))
+    return codecs.from_iso2709(own, "iso").select("_pos", (FS() == F.col("before")).alias("same"))
 
 
 @query("s4_marcxml_roundtrip", _SAME)
 def xml_roundtrip(df):
-    own = df.select("_pos", L.alias("l"), FS.alias("before"), codecs.to_marcxml(L, FS).alias("xml"))
-    return codecs.from_marcxml(own, "xml").select("_pos", ((FS == F.col("before")) & (L == F.col("l"))).alias("same"))
+    own = df.select("_pos", L().alias("l"), FS().alias("before"), codecs.to_marcxml(L(), FS()).alias("xml"))
+    return codecs.from_marcxml(own, "xml").select("_pos", ((FS() == F.col("before")) & (L() == F.col("l"))).alias("same"))
 
 
 @query("s5_marcjson_roundtrip", _SAME)
 def json_roundtrip(df):
-    own = df.select("_pos", L.alias("l"), FS.alias("before"), codecs.to_marcjson(L, FS).alias("json"))
-    return codecs.from_marcjson(own, "json").select("_pos", ((FS == F.col("before")) & (L == F.col("l"))).alias("same"))
+    own = df.select("_pos", L().alias("l"), FS().alias("before"), codecs.to_marcjson(L(), FS()).alias("json"))
+    return codecs.from_marcjson(own, "json").select("_pos", ((FS() == F.col("before")) & (L() == F.col("l"))).alias("same"))
 
 
 def _x(v: str) -> str:
@@ -345,10 +357,10 @@ def _x(v: str) -> str:
     FROM fld GROUP BY _pos, i) USING (_pos) GROUP BY r._pos, leader""",
 )
 def marcxml(df):
-    return df.select("_pos", codecs.to_marcxml(L, FS).alias("xml"))
+    return df.select("_pos", codecs.to_marcxml(L(), FS()).alias("xml"))
 
 
 @query("s21_sniff", "SELECT f.* FROM (SELECT unnest(['iso2709', 'marcjson', 'marcxml', 'mrk']) AS format) f, (SELECT count(*) AS n FROM rec) WHERE n > 0".replace("SELECT f.* FROM", "SELECT f.format, n AS n FROM"))
 def sniffed(df):
-    texts = F.array(codecs.to_mrk(L, FS), codecs.to_iso2709(L, FS), codecs.to_marcxml(L, FS), codecs.to_marcjson(L, FS))
+    texts = F.array(codecs.to_mrk(L(), FS()), codecs.to_iso2709(L(), FS()), codecs.to_marcxml(L(), FS()), codecs.to_marcjson(L(), FS()))
     return df.select(F.explode(texts).alias("t")).groupBy(codecs.sniff(F.col("t")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
