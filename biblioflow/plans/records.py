@@ -364,3 +364,68 @@ def marcxml(df):
 def sniffed(df):
     texts = F.array(codecs.to_mrk(L(), FS()), codecs.to_iso2709(L(), FS()), codecs.to_marcxml(L(), FS()), codecs.to_marcjson(L(), FS()))
     return df.select(F.explode(texts).alias("t")).groupBy(codecs.sniff(F.col("t")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ST = "CASE substr(leader, 7, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in crosswalk.SCHEMA_TYPES.items()) + " ELSE 'CreativeWork' END"
+_B47 = "CASE {v} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in crosswalk.BCP47.items()) + " ELSE {v} END"
+_ABOUT = _SUBJ.replace(",'655'", "")
+
+
+def _all(sql: str) -> str:
+    return f"coalesce((SELECT string_agg(v, '|' ORDER BY i) FROM {sql} x WHERE x._pos = r._pos AND v <> ''), '')"
+
+
+_YEARS = f"(SELECT _pos, i, regexp_extract(v, '[0-9][0-9][0-9][0-9]', 0) AS v FROM {_each("'260','264'", 'c')})"
+_LANGS = f"""(SELECT _pos, min(i) AS i, v FROM (SELECT _pos, k AS i, {_B47.format(v='substr(v, 3 * k - 2, 3)')} AS v FROM fld, (SELECT unnest([1, 2]) AS k) WHERE tag = '041' AND code = 'a'
+  UNION ALL SELECT r._pos, 9, {_B47.format(v=f'({_LANG8})')} FROM rec r WHERE {_LANG8} <> '') GROUP BY _pos, v)"""
+
+
+@query(
+    "x5_schema_org",
+    f"""SELECT r._pos, {_ST} AS type, {_pick(_join('245', "'a','b'"), 'arg_max')} AS name, {_all(_each("'100','110','111'", 'a'))} AS author, {_all(_each("'700','710','711'", 'a'))} AS contributor,
+    {_pick(_each("'260','264'", 'b'))} AS publisher, {_pick(_YEARS)} AS published, {_all(_ABOUT)} AS about, {_all(_LANGS)} AS languages, {_agg('341', "'a'")} AS access_mode,
+    {_agg('532', "'a'")} AS summary FROM rec r""",
+)
+def schema_org(df):
+    b = df.select("_pos", crosswalk.schema_org(L(), FS()).alias("b"))
+    names = lambda c: F.array_join(F.transform(c, lambda a: a["name"]), "|")
+    return b.select(
+        "_pos", "b.type", "b.name", names("b.author").alias("author"), names("b.contributor").alias("contributor"), "b.publisher", F.col("b.datePublished").alias("published"),
+        F.array_join("b.about", "|").alias("about"), F.array_join("b.inLanguage", "|").alias("languages"), F.array_join("b.accessMode", "|").alias("access_mode"),
+        F.col("b.accessibilitySummary").alias("summary"),
+    )
+
+
+_MT = "CASE substr(leader, 7, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in crosswalk.MODS_TYPES.items()) + " ELSE 'text' END"
+_BEST = """(SELECT _pos, i, CASE WHEN tag = '260' THEN 2 WHEN ind2 = '1' THEN 3 ELSE 1 END AS rank FROM fld WHERE tag IN ('260', '264') AND ind2 <> '4'
+  QUALIFY row_number() OVER (PARTITION BY _pos ORDER BY CASE WHEN tag = '260' THEN 2 WHEN ind2 = '1' THEN 3 ELSE 1 END DESC, i, j) = 1)"""
+
+
+def _best(code: str) -> str:
+    return f"coalesce((SELECT any_value({_t('f.v')}) FROM {_BEST} b JOIN fld f ON f._pos = b._pos AND f.i = b.i WHERE f._pos = r._pos AND f.code = '{code}'), '')"
+
+
+_MLANG = f"""(SELECT _pos, min(i) AS i, v FROM (SELECT _pos, k AS i, substr(v, 3 * k - 2, 3) AS v FROM fld, (SELECT unnest([1, 2]) AS k) WHERE tag = '041' AND code = 'a'
+  UNION ALL SELECT r._pos, 0, {_LANG8} FROM rec r) WHERE v <> '' GROUP BY _pos, v)"""
+
+
+@query(
+    "x2_mods",
+    f"""SELECT r._pos, {_MT} AS type_of_resource, {_pick(_each("'245'", 'a'))} AS title, {_all(_each("'100','110','111','700','710','711'", 'a'))} AS names, {_best('a')} AS places, {_best('b')} AS publisher,
+    {_best('c')} AS date_issued, {_pick("(SELECT _pos, i, " + _t('v') + " AS v FROM fld WHERE tag = '264' AND ind2 = '4' AND code = 'c')")} AS copyright_date,
+    {_pick(_each("'250'", 'a'), 'arg_max')} AS edition, {_all(_MLANG)} AS languages, {_pick(_join('300', "'a','c'"))} AS extent,
+    {_all("(SELECT _pos, i * 100 + j AS i, rtrim(v, ' ') AS v FROM fld WHERE tag = '650' AND code IN ('a', 'x'))")} AS topics,
+    {_all(_DC_PARTS['identifier'])} AS identifiers, {_control('001')} AS record_id FROM rec r""",
+)
+def mods(df):
+    m = df.select("_pos", crosswalk.mods(L(), FS()).alias("m"))
+    return m.select(
+        "_pos", "m.type_of_resource", F.col("m.titles")[0]["title"].alias("title"), F.array_join(F.transform("m.names", lambda n: n["name"]), "|").alias("names"),
+        F.array_join("m.places", "|").alias("places"), "m.publisher", "m.date_issued", "m.copyright_date", "m.edition", F.array_join("m.languages", "|").alias("languages"), "m.extent",
+        F.array_join(F.flatten(F.transform("m.subjects", lambda s: s["topic"])), "|").alias("topics"), F.array_join(F.transform("m.identifiers", lambda x: x["value"]), "|").alias("identifiers"), "m.record_id",
+    )
+
+
+@query("k8_bibtex")
+def bibtex(df):
+    return df.select("_pos", crosswalk.bibtex(crosswalk.citation(L(), FS())).alias("bibtex"))
