@@ -289,7 +289,7 @@ def bibtex(entry: Column) -> Column:
     author = F.when(F.size(e["authors"]) > 0, F.concat(F.lit("  author = {"), people, F.lit("},\n"))).otherwise("")
     many = lambda name, vs: bibtex_value(name, F.array_join(vs, ", "))
     return F.concat(
-        F.lit("@"), e["bib_type"], F.lit("{"), cite_key(e), F.lit(",\n"), bibtex_value("title", e["title"]), author, bibtex_value("year", e["year"]),
+        F.lit("@"), e["bib_type"], F.lit("{"), cite_key(e), F.lit(",\n"), author, bibtex_value("title", e["title"]), bibtex_value("year", e["year"]),
         bibtex_value("edition", e["edition"]), bibtex_value("publisher", e["publisher"]), bibtex_value("address", e["place"]), many("isbn", e["isbn"]), many("issn", e["issn"]),
-        many("keywords", e["keywords"]), bibtex_value("language", e["language"]), bibtex_value("abstract", e["abstract"]), many("url", F.slice(e["url"], 1, 1)), F.lit("}\n"),
+        many("keywords", e["keywords"]), bibtex_value("language", e["language"]), bibtex_value("abstract", e["abstract"]), bibtex_value("url", F.array_join(e["url"], " ")), F.lit("}\n"),
     )

@@ -105,3 +105,55 @@ def test_canonical_form_ignores_labels_and_order(spark):
 
     lines = lambda q: sorted(r[0] for r in rdf.canonical(q).collect())
     assert lines(graph("x", "y", 1)) == lines(graph("k", "j", -1))
+
+
+def test_unimarc_to_marc21(rec):
+    from biblioflow.operators import unimarc
+
+    df = rec(
+        control("001", "id\x88"), data("100", ("a", "20240131d2023    k  y0fre")), data("101", ("a", "fre")), data("200", ("a", "T\x88it "), ("e", "sub"), ("f", "who")),
+        data("606", ("a", "x"), ("y", "place"), ("z", "time")), data("700", ("a", "Hugo"), ("b", "Victor"), ("4", "070"), ind=(" ", "1")), data("215", ("a", "3 p."), ("d", "24 cm")),
+    )
+    leader, fields = unimarc.to_marc21(L(), FS())
+    got = {f["tag"]: f for f in one(df, fields)[0]}
+    assert got["001"]["value"] == "id" and got["008"]["value"] == "240131s2023    " + "   " + "|" * 17 + "fre  "
+    subs = lambda t: [tuple(s) for s in got[t]["subfields"]]
+    assert subs("245") == [("a", "Tit"), ("b", "sub"), ("c", "who")] and subs("650") == [("a", "x"), ("z", "place"), ("y", "time")]
+    assert subs("100") == [("a", "Hugo, Victor"), ("4", "070")] and subs("300") == [("a", "3 p."), ("c", "24 cm")]
+    assert one(df, unimarc.title(FS()))[0] == "Tit sub" and one(df, unimarc.authors(FS()))[0] == ["Hugo, Victor"]
+
+
+def test_search_tree(rec):
+    from biblioflow.operators.search import term
+
+    q = (term("author", 'mel"ville') & term("title", "moby dick")) - term("bath.x", "y")
+    assert q.cql() == '((dc.author = "mel\\"ville") and (dc.title = "moby dick")) not (bath.x = "y")' and term("any", "a").cql() == '"a"'
+    assert term("title", "mob*").rpn() == {"term": "mob", "attributes": [(1, 4), (4, 2), (5, 1)]}
+    assert term("id", "1").whole_field().rpn()["attributes"] == [(1, 12), (2, 3), (3, 1), (4, 2), (6, 3)]
+    df = rec(data("245", ("a", "Moby Dick; or, the whale")), data("100", ("a", "Melville, H.")))
+    hit = lambda x: one(df, x.predicate(FS()))[0]
+    assert hit(term("title", "moby dick")) and not hit(term("title", "dick moby")) and hit(term("title", "wha*")) and not hit(term("title", "wha"))
+    assert hit(term("author", "melville") | term("title", "x")) and not hit(term("any", "whale") - term("any", "melville"))
+    assert hit(term("title", "moby dick or the whale").whole_field()) and not hit(term("title", "moby").whole_field())
+
+
+def test_item_information(spark):
+    from biblioflow.operators import circulation as c
+
+    reply = "18030001" + "20240131    120000" + "AB123|AJTitle|AB456|CF2|AY1AZF000\r"
+    got = spark.createDataFrame([(reply,), ("98Y",)], "m string").select(c.item_information(F.col("m")).alias("i"), c.checksum(F.lit("abc"))).collect()
+    i = got[0]["i"]
+    assert (i["status_label"], i["item_id"], i["title"], i["hold_queue_length"]) == ("available", "123", "Title", "2") and "AY" not in i["fields"]
+    assert got[1]["i"] is None and got[0][1] == f"{-sum(b'abc') % 65536:04X}"
+
+
+def test_streamed_records_are_counted(spark, tmp_path):
+    from biblioflow.streaming import records as stream
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.mrk").write_text("=LDR  00000nam a2200000   4500\n=001  a\n=245  10$aT\n\n=LDR  00000nam a2200000   4500\n=001  b\n\n")
+    stream.drain(stream.mrk(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert dict(map(tuple, stream.tag_counts(rows).collect())) == {"records": 6, "001": 6, "245": 3}
+    assert stream.invalid(rows).count() == 0
