@@ -170,18 +170,19 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     again = saved(_anchors(docs, window).groupBy("hash").count().where("count > 1").select("hash"), "anchors")
     rows = _anchors(docs, window, bloom(again.select(F.col("hash").alias("key"))))
     rows = saved(rows.join(again, "hash", "left_semi"), "stretches")
+    # aggregates are written before they are joined again: a join of two shuffles can split a hash that many rows share
     kinds = rows.groupBy("hash").agg(F.min("span").alias("s0"), F.max("span").alias("s1"), F.min(_place()).alias("first"))
-    rows = rows.join(kinds, "hash")
+    rows = rows.join(saved(kinds, "kinds"), "hash")
     equal = rows.where("s0 = s1").where(_place() != F.col("first")).select("id", "mark", "low", "high")
     mixed = saved(rows.where("s0 <> s1").select("hash", "span", "id", "mark", "low", "high"), "mixed")
-    firsts = mixed.groupBy("hash", "span").agg(F.min(_place()).alias("first"))
+    firsts = saved(mixed.groupBy("hash", "span").agg(F.min(_place()).alias("first")), "firsts")
     mixed = mixed.join(firsts, ["hash", "span"])
     settled = mixed.where(_place() != F.col("first")).select("id", "mark", "low", "high")
     open_ = saved(mixed.where(_place() == F.col("first")).select("id", "mark", "low", "high").distinct(), "open")
     some = _only(docs, _doc_filter(open_)).dropDuplicates(["id", "mark"])
     windows = saved(_windows(some, open_, window), "windows")
     earliest = windows.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = windows.join(earliest.drop("n"), ["h1", "h2"]).where(_place() != F.col("first")).select("id", "mark", "low", F.col("low").alias("high"))
+    late = windows.join(saved(earliest.drop("n"), "earliest"), ["h1", "h2"]).where(_place() != F.col("first")).select("id", "mark", "low", F.col("low").alias("high"))
     return equal.unionByName(settled).unionByName(late)
 
 
