@@ -429,3 +429,38 @@ def mods(df):
 @query("k8_bibtex")
 def bibtex(df):
     return df.select("_pos", crosswalk.bibtex(crosswalk.citation(L(), FS())).alias("bibtex"))
+
+
+_BF = "http://id.loc.gov/ontologies/bibframe/"
+_FIRST_PROV = "(SELECT _pos, i, tag, ind2, coalesce(max(CASE WHEN code = 'a' THEN v END), '') AS a, coalesce(max(CASE WHEN code = 'b' THEN v END), '') AS b FROM fld WHERE tag IN ('260', '264') AND ind2 <> '4' GROUP BY ALL)"
+
+
+@query(
+    "x8_bibframe_statements",
+    f"""SELECT _pos, predicate, value FROM (
+    SELECT _pos, 'mainTitle' AS predicate, {_t('v')} AS value FROM fld, (SELECT unnest([1, 2]) AS twice) WHERE tag = '245' AND code = 'a'
+    UNION ALL SELECT _pos, 'mainTitle', {_t('v')} FROM fld WHERE tag = '246' AND code = 'a'
+    UNION ALL SELECT _pos, 'responsibilityStatement', {_t('v')} FROM fld WHERE tag = '245' AND code = 'c'
+    UNION ALL SELECT _pos, 'editionStatement', {_t('v')} FROM fld WHERE tag = '250' AND code = 'a'
+    UNION ALL SELECT _pos, 'simplePlace', {_t('a')} FROM {_FIRST_PROV} UNION ALL SELECT _pos, 'simpleAgent', {_t('b')} FROM {_FIRST_PROV}
+    UNION ALL SELECT r._pos, 'code', {_LANG8} FROM rec r UNION ALL SELECT _pos, 'code', c FROM (SELECT r._pos, {_LANG8} AS l8, unnest([substr(v, 1, 3), 'lat']) AS c FROM rec r JOIN fld f ON f._pos = r._pos AND tag = '041' AND code = 'a') WHERE c <> l8
+    UNION ALL SELECT _pos, 'code', 'grc' FROM fld WHERE tag = '041' AND code = 'h'
+    UNION ALL SELECT _pos, 'value', {_t('v')} FROM fld WHERE tag IN ('020', '022') AND code IN ('a', 'z') UNION ALL SELECT _pos, 'value', v FROM fld WHERE tag = '001'
+    UNION ALL SELECT _pos, 'dimensions', {_t('v')} FROM fld WHERE tag = '300' AND code = 'c') WHERE value <> ''""",
+)
+def bibframe_statements(df):
+    from biblioflow.operators import bibframe, rdf
+
+    keep = ("mainTitle", "responsibilityStatement", "editionStatement", "simplePlace", "simpleAgent", "code", "value", "dimensions")
+    name = rdf.local_name(F.col("p.value"))
+    return bibframe.statements(df).where(name.isin(*keep)).select("_pos", name.alias("predicate"), F.col("o.value").alias("value"))
+
+
+@query("x8_bibframe_classes")
+def bibframe_classes(df):
+    """How often each class and predicate is used."""
+    from biblioflow.operators import bibframe
+
+    out = bibframe.statements(df)
+    used = F.when(F.col("p.value").endswith("#type"), F.col("o.value")).otherwise(F.col("p.value"))
+    return out.select(used.alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
