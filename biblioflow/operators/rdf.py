@@ -234,3 +234,85 @@ def resolve(thesaurus: DataFrame, kind: str) -> DataFrame:
     known = thesaurus.select(F.col("uri").alias("target"), F.col("id").alias("_id"), english_first(F.col("pref")).alias("_label"))
     joined = refs.join(known, "target", "left")
     return joined.select("uri", "n", "target", F.coalesce("_id", last_segment(F.col("target"))).alias("target_id"), F.coalesce("_label", last_segment(F.col("target"))).alias("target_label"))
+
+
+AUTHORITY_LEADER = "00000nz  a2200000n  4500"
+
+
+def authority(thesaurus: DataFrame) -> DataFrame:
+    """uri, leader, fields: an authority record for each concept. The heading is the English label, or else the first; every
+    label that is not English and every other label is a see-from tracing, so a heading that fell back is traced too."""
+    from biblioflow.functions import marc
+
+    uri, c = F.col("uri"), F.col
+    none = F.expr(f"cast(array() as {schema.FIELDS})")
+    filled = lambda tag, i1, subs, when: F.when(when, F.array(marc.make_data(tag, i1, " ", *subs))).otherwise(none)
+    english = lambda x: (x["lang"] == "en") | x["lang"].startswith("en-")
+
+    def trace(x: Column) -> Column:
+        subs = F.filter(F.array(marc.subfield("a", x["text"]), marc.subfield("9", x["lang"])), lambda s: (s["code"] == "a") | (s["value"] != ""))
+        return marc.make_data("450", " ", " ").withField("subfields", subs)
+
+    def see_also(kind: str, mark: str) -> DataFrame:
+        refs = resolve(thesaurus, kind)
+        head = [marc.subfield("w", mark)] if mark else []
+        field = marc.make_data("550", " ", " ", *head, marc.subfield("a", F.when(c("target_label") != "", c("target_label")).otherwise(c("target_id"))), marc.subfield("0", c("target")))
+        return refs.select(c("uri").alias("_uri"), F.struct(F.lit({"broader": 0, "narrower": 1, "related": 2}[kind]).alias("k"), "n", field.alias("f")).alias("x"))
+
+    traced = see_also("broader", "g").unionByName(see_also("narrower", "h")).unionByName(see_also("related", ""))
+    traced = traced.groupBy("_uri").agg(F.array_sort(F.collect_list("x")).alias("also"))  # a concept's own references
+    labels = F.concat(F.filter("pref", lambda x: ~english(x)), c("alt"))
+    fields = F.concat(
+        F.when(c("id") != "", F.array(marc.make_control("001", c("id")))).otherwise(none),
+        filled("024", "7", [marc.subfield("a", uri), marc.subfield("2", "uri")], uri != ""),
+        filled("150", " ", [marc.subfield("a", english_first(c("pref")))], english_first(c("pref")) != ""),
+        F.transform(F.filter(labels, lambda x: x["text"] != ""), trace),
+        F.coalesce(F.transform("also", lambda x: x["f"]), none),
+        F.transform(F.filter("notes", lambda x: x["text"] != ""), lambda x: marc.make_data("680", " ", " ", marc.subfield("i", x["text"]))),
+    )
+    return thesaurus.join(traced, uri == c("_uri"), "left").select("uri", F.lit(AUTHORITY_LEADER).alias("leader"), fields.alias("fields"))
+
+
+PROV = "http://www.w3.org/ns/prov#"
+
+
+def provenance(rows: DataFrame, graph: Column, source: Column, agent: Column, generated_at: Column) -> DataFrame:
+    """pos, s, p, o: PROV-O statements about a graph of each row; null terms and empty times are left out."""
+    st = lambda p, o: F.struct(graph.alias("s"), iri(p).alias("p"), o.alias("o"))
+    made = F.array(
+        st(schema.RDF + "type", iri(PROV + "Entity")), F.when(source.isNotNull(), st(PROV + "wasDerivedFrom", source)), F.when(agent.isNotNull(), st(PROV + "wasAttributedTo", agent)),
+        F.when(generated_at != "", st(PROV + "generatedAtTime", literal(generated_at, "", schema.XSD + "dateTime"))),
+    )
+    return rows.select(F.posexplode(F.filter(made, lambda x: x.isNotNull())).alias("pos", "t")).select("pos", "t.*")
+
+
+def _compact(value: Column, prefixes: dict[str, str]) -> Column:
+    """A prefixed name under the longest namespace that leaves a plain local name, or null."""
+    out = F.lit(None).cast("string")
+    for label, ns in sorted(prefixes.items(), key=lambda x: (len(x[1]), x[0])):
+        local = F.substring(value, len(ns) + 1, 1 << 20)
+        good = value.startswith(ns) & local.rlike(r"^[A-Za-z0-9_.\-]*[A-Za-z0-9_\-]\z")
+        out = F.when(good, F.concat(F.lit(f"{label}:"), local)).otherwise(out)
+    return out
+
+
+def turtle_term(t: Column, prefixes: dict[str, str], predicate: bool = False) -> Column:
+    plain = term_text(t)
+    named = F.coalesce(_compact(t["value"], prefixes), plain)
+    if predicate:
+        named = F.when(t["value"] == schema.RDF + "type", "a").otherwise(named)
+    typed = is_literal(t) & (t["lang"] == "") & ~t["datatype"].isin("", schema.XSD + "string")
+    text = F.concat(F.lit('"'), _escape_literal(t["value"]), F.lit('"^^'), F.coalesce(_compact(t["datatype"], prefixes), F.concat(F.lit("<"), _escape_iri(t["datatype"]), F.lit(">"))))
+    return F.when(is_iri(t), named).when(typed, text).otherwise(plain)
+
+
+def to_turtle(quads: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """pos, text: one block for each subject in first-seen order; objects of a predicate stand together. Written after turtle_header()."""
+    by_p = quads.groupBy("s", "p").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", turtle_term(F.col("o"), prefixes).alias("t")))).alias("os"))
+    said = F.concat(turtle_term(F.col("p"), prefixes, True), F.lit(" "), F.array_join(F.transform("os", lambda x: x["t"]), ", "))
+    by_s = by_p.groupBy("s").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))).alias("ps"))
+    return by_s.select("pos", F.concat(turtle_term(F.col("s"), prefixes), F.lit(" "), F.array_join(F.transform("ps", lambda x: x["t"]), " ;\n    "), F.lit(" .\n")).alias("text"))
+
+
+def turtle_header(prefixes: dict[str, str]) -> str:
+    return "".join(f"@prefix {k}: <{prefixes[k]}> .\n" for k in sorted(prefixes)) + ("\n" if prefixes else "")

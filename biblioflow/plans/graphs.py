@@ -214,3 +214,44 @@ def graph_difference(spark, sf_dir):
     quads = _orders(spark, sf_dir)
     a = rdf.to_nquads(quads.where("g is not null")).select("line")
     return a.exceptAll(rdf.to_nquads(rdf.in_graph(quads, rdf.iri(BASE + "g/1"))).select("line"))
+
+
+@query(
+    "x12_skos_authority",
+    f"""SELECT '{BASE}region/R' || r_regionkey AS uri, '001=R' || r_regionkey || ' 024={BASE}region/R' || r_regionkey || ' 150=' || r_name || ' 450=FR ' || r_name AS record FROM region
+    UNION ALL SELECT '{BASE}nation/N' || n_nationkey, '001=N' || n_nationkey || ' 024={BASE}nation/N' || n_nationkey || ' 150=' || CASE WHEN n_nationkey % 3 <> 0 THEN n_name ELSE 'FR ' || n_name END ||
+      ' 450=FR ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' 450=' || lower(n_name) ELSE '' END || ' 550=' || r_name || CASE WHEN n_nationkey % 5 = 0 THEN ' 550=other' ELSE '' END
+    FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def skos_authority(spark, sf_dir):
+    from biblioflow.functions import marc
+
+    out = rdf.authority(rdf.concepts(_thesaurus(spark, sf_dir)))
+    shown = F.transform("fields", lambda f: F.concat(f["tag"], F.lit("="), F.when(f["tag"] < "010", f["value"]).otherwise(marc.value(f, "a"))))
+    return out.select("uri", F.array_join(shown, " ").alias("record"))
+
+
+_TTL = {"ex": BASE, "rdf": schema.RDF}
+
+
+@query(
+    "k12_turtle",
+    f"""WITH {CTE}, t AS (SELECT pos, s, CASE p WHEN '<{_RDF}type>' THEN 'a' ELSE 'ex:' || trim(replace(p, '{BASE}', ''), '<>') END AS p, CASE WHEN o = '<{BASE}Order>' THEN 'ex:Order' ELSE o END AS o FROM q),
+    byp AS (SELECT s, p, min(pos) AS pos, p || ' ' || string_agg(o, ', ' ORDER BY pos) AS t FROM t GROUP BY s, p)
+    SELECT min(pos) AS pos, s || ' ' || string_agg(t, ' ;' || chr(10) || '    ' ORDER BY pos) || ' .' || chr(10) AS text FROM byp GROUP BY s""",
+)
+def turtle(spark, sf_dir):
+    return rdf.to_turtle(_orders(spark, sf_dir), _TTL)
+
+
+@query(
+    "x13_provenance",
+    f"""SELECT o_orderkey AS k, x.n AS pos, x.p AS p FROM orders, (SELECT unnest([CAST(0 AS BIGINT), 1, 2]) AS n, unnest(['type', 'wasDerivedFrom', 'generatedAtTime']) AS p) x WHERE o_orderkey % 50 = 0 AND (x.n <> 2 OR o_orderstatus <> 'O')""",
+)
+def provenance(spark, sf_dir):
+    """Provenance of the graphs of some orders; open orders have no time."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 50 = 0")
+    graph = rdf.iri(F.concat(F.lit(BASE + "order/"), F.col("o_orderkey").cast("string")))
+    time = F.when(F.col("o_orderstatus") == "O", "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    out = rdf.provenance(o, graph, rdf.iri(BASE + "source"), F.lit(None).cast(schema.TERM), time)
+    return out.select(rdf.local_name(F.col("s.value")).cast("long").alias("k"), F.col("pos").cast("long").alias("pos"), F.regexp_extract("p.value", "([A-Za-z]+)$", 1).alias("p"))

@@ -157,3 +157,26 @@ def test_streamed_records_are_counted(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert dict(map(tuple, stream.tag_counts(rows).collect())) == {"records": 6, "001": 6, "245": 3}
     assert stream.invalid(rows).count() == 0
+
+
+def test_rdf_xml_and_json_ld(spark):
+    from biblioflow.sources import documents
+
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/">'
+    xml = head + '<e:Work rdf:about="http://w" e:k="v"><e:t xml:lang="en">T</e:t><e:i rdf:resource="http://i"/><e:n><e:Note><e:l>x</e:l></e:Note></e:n><e:b rdf:nodeID="q"/><e:p rdf:parseType="Resource"><e:z>1</e:z></e:p></e:Work></rdf:RDF>'
+    made = {"@context": {"e": "http://e/", "link": {"@id": "e:link", "@type": "@id"}, "@vocab": "http://v/"}, "@id": "http://w", "@type": "e:Work", "name": ["a", {"@value": "b", "@language": "fr"}], "link": "e:x", "n": 3, "l": {"@list": ["p", "q"]}, "o": {"@id": "_:k", "name": "c"}}
+    import json
+
+    def read(text, form):
+        rows = documents.parsed(spark.createDataFrame([("d", text)], "_source string, content string"), form).orderBy("pos").collect()
+        assert not any(r["_error"] for r in rows)
+        return [(r["s"]["value"], r["p"]["value"].rsplit("/", 1)[1].rsplit("#", 1)[-1], r["o"]["value"]) for r in rows]
+
+    got = read(xml, "rdfxml")
+    assert got[0] == ("http://w", "type", "http://e/Work") and ("http://w", "k", "v") in got and ("http://w", "t", "T") in got and ("http://w", "i", "http://i") in got
+    assert ("http://w", "b", "xq") in got and [x for x in got if x[1] == "l"][0][2] == "x" and [x for x in got if x[1] == "z"][0][2] == "1"
+    got = read(json.dumps(made), "jsonld")
+    assert ("http://w", "type", "http://e/Work") in got and ("http://w", "link", "http://e/x") in got and ("http://w", "n", "3") in got and ("uk", "name", "c") in got
+    assert [x[2] for x in got if x[1] == "first"] == ["p", "q"] and len([x for x in got if x[1] == "rest"]) == 2
+    bad = documents.parsed(spark.createDataFrame([("d", "<a"), ("e", None)], "_source string, content string"), "rdfxml")
+    assert all(r["_error"] for r in bad.collect())
