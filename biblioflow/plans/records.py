@@ -464,3 +464,74 @@ def bibframe_classes(df):
     out = bibframe.statements(df)
     used = F.when(F.col("p.value").endswith("#type"), F.col("o.value")).otherwise(F.col("p.value"))
     return out.select(used.alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DC_ROWS = " UNION ALL ".join(
+    f"SELECT _pos, {k} AS e, '{name}' AS element, i, v AS value FROM {_DC_PARTS[name]} WHERE v <> ''" for k, name in enumerate(crosswalk.DC_ELEMENTS)
+)
+
+
+@query(
+    "k7_dublin_core_json",
+    f"""SELECT _pos, '{{' || string_agg('"' || element || '":' || l, ',' ORDER BY e) || '}}' AS json FROM (
+    SELECT _pos, e, element, '[' || string_agg(CAST(to_json(value) AS VARCHAR), ',' ORDER BY i) || ']' AS l FROM ({_DC_ROWS}) GROUP BY _pos, e, element) GROUP BY _pos""",
+)
+def dublin_core_json(df):
+    from biblioflow.sources import writers
+
+    return df.select("_pos", writers.dublin_core_json(crosswalk.dublin_core(L(), FS())).alias("json"))
+
+
+@query(
+    "k7_oai_dc",
+    f"""SELECT _pos, '<oai_dc:dc xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/" xmlns:dc="http://purl.org/dc/elements/1.1/">' || chr(10) ||
+    string_agg('  <dc:' || element || '>' || {_x('value')} || '</dc:' || element || '>' || chr(10), '' ORDER BY e, i) || '</oai_dc:dc>' AS xml FROM ({_DC_ROWS}) GROUP BY _pos""",
+)
+def oai_dc(df):
+    from biblioflow.sources import writers
+
+    return df.select("_pos", writers.dublin_core_xml(crosswalk.dublin_core(L(), FS())).alias("xml"))
+
+
+@query("k9_schema_org_json")
+def schema_org_json(df):
+    from biblioflow.sources import writers
+
+    return df.select("_pos", writers.schema_org_json(crosswalk.schema_org(L(), FS())).alias("json"))
+
+
+@query("k6_mods_xml")
+def mods_xml(df):
+    from biblioflow.sources import writers
+
+    return df.select("_pos", writers.mods_xml(crosswalk.mods(L(), FS())).alias("xml"))
+
+
+_FOLD = "' ' || trim(regexp_replace(lower({v}), '[^\\pL\\pN]+', ' ', 'g')) || ' '"
+_IN_TITLE = f"EXISTS (SELECT 1 FROM fld f WHERE f._pos = r._pos AND f.tag IN ('245', '246') AND f.code IN ('a', 'b') AND contains({_FOLD.format(v='f.v')}, ' the'))"
+_IN_SUBJECT = f"EXISTS (SELECT 1 FROM fld f WHERE f._pos = r._pos AND f.tag IN ('650', '651') AND f.code IN ('a','x','y','z','v') AND contains({_FOLD.format(v='f.v')}, ' france '))"
+_BY_AUTHOR = f"EXISTS (SELECT 1 FROM fld f WHERE f._pos = r._pos AND f.tag IN ('100', '110', '700', '710') AND f.code = 'a' AND contains({_FOLD.format(v='f.v')}, ' src1 '))"
+
+
+@query("f7_search", f"SELECT _pos FROM rec r WHERE ({_IN_TITLE} OR {_IN_SUBJECT}) AND NOT {_BY_AUTHOR}")
+def search(df):
+    """(title the* or subject france) and not author src1, as a predicate over local records."""
+    from biblioflow.operators.search import term
+
+    found = (term("title", "the*") | term("subject", "France")) - term("author", "src1")
+    return df.where(found.predicate(FS())).select("_pos")
+
+
+@query("f7_cql", """SELECT '((dc.title = "the*") or (dc.subject = "France")) not (dc.author = "src1")' AS cql""", cte=False)
+def cql(df):
+    from biblioflow.operators.search import term
+
+    found = (term("title", "the*") | term("subject", "France")) - term("author", "src1")
+    return df.limit(1).select(F.lit(found.cql()).alias("cql"))
+
+
+@query("p22_graph_name", "SELECT _pos, '#doc' || _pos AS name FROM rec")
+def graph_names(df):
+    from biblioflow.operators import bibframe
+
+    return df.select("_pos", F.concat(F.lit("#"), bibframe.base(FS(), F.col("_pos"))).alias("name"))
