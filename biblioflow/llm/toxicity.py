@@ -181,16 +181,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")  # rows may come in any order
     found = table["found"].combine_chunks().take(pa.array(order))
     gold, shouts = gold[order], table["shouts"].to_numpy()[order]
-    sizes = np.diff(found.offsets.to_numpy())
-    row = np.repeat(np.arange(len(gold)), sizes)
+    row = np.repeat(np.arange(len(gold), dtype=np.int32), np.diff(found.offsets.to_numpy()))
     values = found.flatten().to_numpy()
-    keys, col, count = np.unique(values, return_inverse=True, return_counts=True)
+    del table, found
+    keys, count = np.unique(values, return_counts=True)
+    some = count > 1  # a feature of one document alone tells nothing about others
+    keys, count = keys[some], count[some]
+    at = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0)).astype(np.int32)
+    own = keys[at] == values if len(keys) else np.zeros(len(values), bool)
+    row, col = row[own], at[own]
+    del values, at, own
+    pa.default_memory_pool().release_unused()
     toxic = np.bincount(col, gold[row], len(keys))
     rate = np.log((toxic + 0.1) / (gold.sum() + 1)) - np.log((count - toxic + 0.1) / (len(gold) - gold.sum() + 1))
     good = np.flatnonzero((toxic >= max(3, 0.002 * gold.sum())) & (rate > 3))
     mined = good[np.argsort(-(rate * np.sqrt(toxic))[good], kind="stable")][:MINED]
     voters = np.unique(np.r_[np.flatnonzero(np.isin(keys, lexicon)), mined])
-    place = np.full(len(keys), -1)
+    place = np.full(len(keys), -1, np.int32)
     place[voters] = np.arange(len(voters))
     votes = np.zeros((len(gold), len(voters) + 2), bool)
     own = place[col] >= 0
@@ -200,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     soft = label_model(votes, gold)
     listed = np.isin(keys, lexicon)
     often = np.flatnonzero((count >= 5) | listed)
-    narrow = np.full(len(keys), -1)
+    narrow = np.full(len(keys), -1, np.int32)
     narrow[often] = np.arange(len(often))
     use = narrow[col] >= 0
     w, bias = train_linear(row[use], narrow[col[use]], soft, np.where(listed[often], PRIOR, 0.0))
