@@ -17,11 +17,11 @@ LEADER = (
 _FORM = "CASE doc_id % 7 WHEN 0 THEN 'd' WHEN 1 THEN 'f' ELSE ' ' END"
 _ID = "CAST(doc_id AS VARCHAR(20))"
 _YEAR = "CAST(1900 + doc_id % 120 AS VARCHAR(20))"
-_LINE = "substr(split_part(text, chr(10), 1), 1, 60)"
+_LINE = "split_part(text, chr(10), 1)"
 
 
 def _word(n: int) -> str:
-    return f"split_part(substr(text, 1, 400), ' ', {n})"
+    return f"split_part(text, ' ', {n})"
 
 
 BIB: list[tuple[str, str, str, str, str | list[tuple[str, str, str]]]] = [
@@ -47,7 +47,7 @@ BIB: list[tuple[str, str, str, str, str | list[tuple[str, str, str]]]] = [
     ("490", "1", " ", "doc_id % 7 = 2", [("a", "'Series of ' || source || ' ;'", ""), ("v", "CAST(doc_id % 50 AS VARCHAR(20))", "")]),
     ("500", " ", " ", "doc_id % 5 = 2", [("a", f"'Note ' || {_word(3)}", "")]),
     ("506", " ", " ", "doc_id % 17 = 0", [("a", "'Restricted & closed <here>.'", "")]),
-    ("520", " ", " ", "", [("a", "substr(text, 1, 80)", "")]),
+    ("520", " ", " ", "", [("a", "text", "")]),
     ("532", "1", " ", "doc_id % 9 = 3", [("a", "'Tagged ' || lang", "")]),
     ("650", " ", "0", "", [("a", f"{_word(3)} || ' '", ""), ("x", _word(4), "doc_id % 2 = 1"), ("z", "'France'", "doc_id % 4 = 2")]),
     ("650", " ", "7", "doc_id % 3 = 1", [("a", f"{_word(6)} || '.'", ""), ("2", "'fast'", "")]),

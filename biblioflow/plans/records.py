@@ -317,20 +317,28 @@ def mrk_roundtrip(df):
 
 _BYTES = """(SELECT _pos, i, any_value(tag) AS tag, CASE WHEN any_value(tag) < '010' THEN any_value(v)
     ELSE any_value(ind1) || any_value(ind2) || string_agg(chr(31) || code || v, '' ORDER BY j) END || chr(30) AS t FROM fld GROUP BY _pos, i)"""
-_ISO = f"""SELECT r._pos, lpad(CAST(26 + 12 * count(*) + sum(strlen(t)) AS VARCHAR), 5, '0') || substr(leader, 6, 4) || 'a22' || lpad(CAST(25 + 12 * count(*) AS VARCHAR), 5, '0') || substr(leader, 18, 3) || '4500' ||
+_ISO = f"""SELECT r._pos, CASE WHEN max(strlen(t)) > 9999 THEN 'field length' WHEN 26 + 12 * count(*) + sum(strlen(t)) > 99999 THEN 'record length' ELSE '' END AS error,
+  lpad(CAST(26 + 12 * count(*) + sum(strlen(t)) AS VARCHAR), 5, '0') || substr(leader, 6, 4) || 'a22' || lpad(CAST(25 + 12 * count(*) AS VARCHAR), 5, '0') || substr(leader, 18, 3) || '4500' ||
   string_agg(tag || lpad(CAST(strlen(t) AS VARCHAR), 4, '0') || lpad(CAST(s AS VARCHAR), 5, '0'), '' ORDER BY i) || chr(30) || string_agg(t, '' ORDER BY i) || chr(29) AS iso
   FROM rec r JOIN (SELECT *, coalesce(sum(strlen(t)) OVER (PARTITION BY _pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {_BYTES}) USING (_pos) GROUP BY r._pos, leader"""
 
 
-@query("k1_iso2709_encode", _ISO)
+def _iso(df):
+    """Each record's ISO 2709 form; a record that the format cannot hold gets an error and an empty form."""
+    error = codecs.iso_error(FS())
+    return df.withColumn("error", F.coalesce(error, F.lit(""))).withColumn("iso", F.when(F.col("error") == "", codecs.to_iso2709(L(), FS())).otherwise(""))
+
+
+@query("k1_iso2709_encode", f"SELECT _pos, error, CASE WHEN error = '' THEN iso ELSE '' END AS iso FROM ({_ISO})")
 def iso2709(df):
-    return df.select("_pos", codecs.to_iso2709(L(), FS()).alias("iso"))
+    return _iso(df).select("_pos", "error", "iso")
 
 
-@query("s2_iso2709_roundtrip", _SAME)
+@query("s2_iso2709_roundtrip", f"SELECT _pos, error, error = '' AS same FROM ({_ISO})")
 def iso_roundtrip(df):
-    own = df.select("_pos", FS().alias("before"), codecs.to_iso2709(L(), FS()).alias("iso"))
-    return codecs.from_iso2709(own, "iso").select("_pos", (FS() == F.col("before")).alias("same"))
+    own = _iso(df).select("_pos", "error", FS().alias("before"), "iso")
+    back = codecs.from_iso2709(own.where("error = ''"), "iso").select("_pos", "error", (FS() == F.col("before")).alias("same"))
+    return back.unionByName(own.where("error <> ''").select("_pos", "error", F.lit(False).alias("same")))
 
 
 @query("s4_marcxml_roundtrip", _SAME)
