@@ -72,6 +72,12 @@ def objects(quads: DataFrame, *keys: str) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
 
 
+def objects_with_repeats(quads: DataFrame) -> DataFrame:
+    """(s, p, objects): all objects of each (s, p) in document order, repeats included."""
+    rows = quads.groupBy("s", "p").agg(F.array_sort(F.collect_list(F.struct("pos", "o"))).alias("rows"))
+    return rows.select("s", "p", F.transform("rows", lambda x: x["o"]).alias("objects"))
+
+
 def first_object(quads: DataFrame) -> DataFrame:
     return quads.groupBy("s", "p").agg(F.min_by("o", "pos").alias("o"))
 
@@ -170,12 +176,27 @@ def read_nquads(spark: SparkSession, path: str, skip_malformed: bool = False) ->
     return quads.where("_error is null") if skip_malformed else quads
 
 
+def labels(hashes: DataFrame) -> DataFrame:
+    """(label, hash) with `new`, c14n<n> by hash. Nodes are numbered within buckets of the hash's first three hex digits; only the
+    4,096 bucket sizes are summed in one task, whatever the number of nodes."""
+    own = hashes.withColumn("bucket", F.substring("hash", 1, 3))
+    sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("bucket", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("hash")) - 1
+    return own.withColumn("within", within).join(F.broadcast(starts), "bucket").select("label", "hash", F.concat(F.lit("c14n"), (F.col("before") + F.col("within")).cast("string")).alias("new"))
+
+
+def ties(hashes: DataFrame) -> DataFrame:
+    """(hash, n) of first-degree hashes that several blank nodes have; canonical() needs none."""
+    return hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def canonical(quads: DataFrame) -> DataFrame:
     """RDFC-1.0 for datasets whose blank nodes all have different first-degree hashes: (line) sorted, distinct, and labels c14n<n>.
 
     Ties need the n-degree rounds; a dataset that has any is reported by a hash of several nodes in ties()."""
-    hashes = first_degree(quads)
-    named = hashes.withColumn("new", F.concat(F.lit("c14n"), (F.row_number().over(Window.orderBy("hash")) - 1).cast("string")))
+    named = labels(first_degree(quads))
     out = quads
     for name in ("s", "o", "g"):
         own = named.select(F.col("label").alias("_label"), F.col("new").alias("_new"))

@@ -87,6 +87,12 @@ def field_subfields(df):
     return rows.select("_pos", F.col("i").cast("long").alias("i"), marc.value(F.col("f"), "a").alias("a"), F.array_join(F.transform("f.subfields", lambda s: s["value"]), "|").alias("every"))
 
 
+@query("p6_indicators", "SELECT DISTINCT _pos, i, tag < '010' AS control, ind1, ind2 FROM fld")
+def indicators(df):
+    rows = df.select("_pos", F.posexplode("fields").alias("i", "f"))
+    return rows.select("_pos", F.col("i").cast("long").alias("i"), marc.is_control(F.col("f")).alias("control"), "f.ind1", "f.ind2")
+
+
 @query("p7_leader", "SELECT _pos, substr(leader, 6, 1) AS status, substr(leader, 7, 1) AS type, substr(leader, 8, 1) AS level, substr(leader, 10, 1) = 'a' AS unicode, CAST(substr(leader, 1, 5) AS INT) AS length, CAST(substr(leader, 13, 5) AS INT) AS base FROM rec")
 def leaders(df):
     return df.select(
@@ -368,6 +374,22 @@ def marcxml(df):
     return df.select("_pos", codecs.to_marcxml(L(), FS()).alias("xml"))
 
 
+@query(
+    "k4_marcjson_encode",
+    """SELECT r._pos, '{"leader":' || CAST(to_json(leader) AS VARCHAR) || ',"fields":[' || string_agg(x, ',' ORDER BY i) || ']}' AS json FROM rec r JOIN (
+    SELECT _pos, i, '{"' || any_value(tag) || '":' || CASE WHEN any_value(tag) < '010' THEN any_value(CAST(to_json(v) AS VARCHAR))
+    ELSE '{"subfields":[' || string_agg('{"' || code || '":' || CAST(to_json(v) AS VARCHAR) || '}', ',' ORDER BY j) || '],"ind1":"' || any_value(ind1) || '","ind2":"' || any_value(ind2) || '"}' END || '}' AS x
+    FROM fld GROUP BY _pos, i) USING (_pos) GROUP BY r._pos, leader""",
+)
+def marcjson(df):
+    return df.select("_pos", codecs.to_marcjson(L(), FS()).alias("json"))
+
+
+@query("f10_mnemonic_guard", "SELECT _pos, CASE WHEN bool_or(contains(v, chr(10)) OR contains(v, chr(13))) THEN 'line break' ELSE '' END AS error FROM fld GROUP BY _pos")
+def mnemonic_guard(df):
+    return df.select("_pos", F.coalesce(codecs.mrk_error(L(), FS()), F.lit("")).alias("error"))
+
+
 @query("s21_sniff", "SELECT f.* FROM (SELECT unnest(['iso2709', 'marcjson', 'marcxml', 'mrk']) AS format) f, (SELECT count(*) AS n FROM rec) WHERE n > 0".replace("SELECT f.* FROM", "SELECT f.format, n AS n FROM"))
 def sniffed(df):
     texts = F.array(codecs.to_mrk(L(), FS()), codecs.to_iso2709(L(), FS()), codecs.to_marcxml(L(), FS()), codecs.to_marcjson(L(), FS()))

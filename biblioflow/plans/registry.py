@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioflow.plans import graphs, records
+from biblioflow.plans import exchange, graphs, records
 
-QUERIES = {**records.QUERIES, **graphs.QUERIES}
-ORACLE_SQL = {**records.ORACLE_SQL, **graphs.ORACLE_SQL}
+QUERIES = {**records.QUERIES, **graphs.QUERIES, **exchange.QUERIES}
+ORACLE_SQL = {**records.ORACLE_SQL, **graphs.ORACLE_SQL, **exchange.ORACLE_SQL}

@@ -180,3 +180,31 @@ def test_rdf_xml_and_json_ld(spark):
     assert [x[2] for x in got if x[1] == "first"] == ["p", "q"] and len([x for x in got if x[1] == "rest"]) == 2
     bad = documents.parsed(spark.createDataFrame([("d", "<a"), ("e", None)], "_source string, content string"), "rdfxml")
     assert all(r["_error"] for r in bad.collect())
+
+
+def test_turtle(spark):
+    from biblioflow.sources import documents
+
+    text = '''@prefix e: <http://e/> . # a comment
+@base <http://b/x/> .
+PREFIX o: <http://o#>
+e:a a e:T ; e:p "x"@en, 'y'^^o:d , """long "q" \\\\n s""" ; e:n 1, -2.5, 3e4 , true ; .
+<rel> e:l ( 1 [ e:z _:q.1 ] ) . [ e:k e:v\\\\,w ] . e:c.d e:w () .'''.replace("\\\\", "\\")
+    got = [tuple(x[k][1] for k in range(3)) + (x[2][2] or x[2][3].rsplit("#")[-1],) for x in documents.turtle(text)]
+    assert ("http://e/a", "http://e/p", "x", "en") in got and ("http://e/a", "http://e/p", "y", "http://o#d"[9:]) in got
+    assert ("http://e/a", "http://e/p", 'long "q" \n s', "string") in got and [x[3] for x in got if x[1] == "http://e/n"] == ["integer", "decimal", "double", "boolean"]
+    assert ("g1", "http://e/z", "uq.1", "") in got and ("http://b/x/rel", "http://e/l", "g2", "") in got and ("g4", "http://e/k", "http://e/v,w", "") in got
+    assert ("http://e/c.d", "http://e/w", "http://www.w3.org/1999/02/22-rdf-syntax-ns#nil", "") in got
+    bad = ["e:a e:b e:c .", "<a> <b> .", '"x" <b> <c> .', "<a> <b> <c>", "<a> .", '<a> <b> "x', None]
+    rows = documents.parsed(spark.createDataFrame(list(enumerate(bad)), "_source string, content string"), "turtle").where("_error is not null")
+    assert rows.count() == len(bad) - 1  # a null document is an empty one
+
+
+def test_labels_are_numbered_by_hash(spark):
+    hashes = spark.range(500).selectExpr("cast(id as string) as label", "sha2(cast(id as string), 256) as hash")
+    got = {r["label"]: r["new"] for r in rdf.labels(hashes).collect()}
+    import hashlib
+
+    want = sorted(map(str, range(500)), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert got == {x: f"c14n{k}" for k, x in enumerate(want)}
+    assert rdf.ties(hashes.unionByName(hashes.limit(1))).count() == 1
