@@ -470,6 +470,7 @@ _FIRST_PROV = "(SELECT _pos, i, tag, ind2, coalesce(max(CASE WHEN code = 'a' THE
     f"""SELECT _pos, predicate, value FROM (
     SELECT _pos, 'mainTitle' AS predicate, {_t('v')} AS value FROM fld, (SELECT unnest([1, 2]) AS twice) WHERE tag = '245' AND code = 'a'
     UNION ALL SELECT _pos, 'mainTitle', {_t('v')} FROM fld WHERE tag = '246' AND code = 'a'
+    UNION ALL SELECT _pos, CASE code WHEN 'a' THEN 'mainTitle' ELSE 'seriesEnumeration' END, {_t('v')} FROM fld WHERE tag = '490'
     UNION ALL SELECT _pos, 'responsibilityStatement', {_t('v')} FROM fld WHERE tag = '245' AND code = 'c'
     UNION ALL SELECT _pos, 'editionStatement', {_t('v')} FROM fld WHERE tag = '250' AND code = 'a'
     UNION ALL SELECT _pos, 'simplePlace', {_t('a')} FROM {_FIRST_PROV} UNION ALL SELECT _pos, 'simpleAgent', {_t('b')} FROM {_FIRST_PROV}
@@ -481,7 +482,7 @@ _FIRST_PROV = "(SELECT _pos, i, tag, ind2, coalesce(max(CASE WHEN code = 'a' THE
 def bibframe_statements(df):
     from biblioflow.operators import bibframe, rdf
 
-    keep = ("mainTitle", "responsibilityStatement", "editionStatement", "simplePlace", "simpleAgent", "code", "value", "dimensions")
+    keep = ("mainTitle", "responsibilityStatement", "editionStatement", "simplePlace", "simpleAgent", "code", "value", "dimensions", "seriesEnumeration")
     name = rdf.local_name(F.col("p.value"))
     return bibframe.statements(df).where(name.isin(*keep)).select("_pos", name.alias("predicate"), F.col("o.value").alias("value"))
 

@@ -208,3 +208,29 @@ def test_labels_are_numbered_by_hash(spark):
     want = sorted(map(str, range(500)), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
     assert got == {x: f"c14n{k}" for k, x in enumerate(want)}
     assert rdf.ties(hashes.unionByName(hashes.limit(1))).count() == 1
+
+
+def test_bibframe_relations_and_carriers(spark):
+    from biblioflow.functions import schema
+    from biblioflow.operators import bibframe
+
+    def f(tag, i1, i2, *subs):
+        return (tag, i1, i2, "", [tuple(x) for x in subs])
+
+    fields = [
+        ("001", "", "", "n1", []), ("007", "", "", "co", []), ("007", "", "", "cr", []), ("008", "", "", "240131s2000    xxu     o           eng d", []),
+        f("490", "1", " ", ("a", "Tales ;"), ("v", "3")), f("490", "0", " ", ("a", "Other")), f("780", "0", "0", ("t", "Old paper"), ("x", "1234-5678")),
+        f("785", "0", "9", ("a", "Club.")), f("787", "0", " ", ("w", "x")), f("830", " ", "0", ("a", "Tales"), ("v", "3")), f("810", "2", " ", ("a", "Guild"), ("t", "Books")),
+    ]
+    df = spark.createDataFrame([(1, "00000nam a2200000   4500", fields)], f"_pos int, leader string, fields {schema.FIELDS}")
+    st = [(r["s"]["value"], r["p"]["value"].split("/")[-1].split("#")[-1], r["o"]["value"]) for r in bibframe.statements(df).collect()]
+    objects = lambda p: sorted(x[2].split("/")[-1] for x in st if x[1] == p)
+    assert objects("relationship") == ["continuationof", "series", "series", "series", "series", "succeededby"]
+    assert objects("carrier") == ["cd", "cr"] and objects("media") == ["c"] and objects("seriesEnumeration") == ["3", "3"]
+    assert objects("status") == ["t", "t", "tr"] and len([x for x in st if x[2].endswith("/Status")]) == 2
+    assert {"Tales", "Other", "Old paper", "Books"} <= set(objects("mainTitle")) and "1234-5678" in objects("value")
+    assert "7800 0$tOld paper$x1234-5678".replace("0 0", "00") in objects("label") and "830 0$aTales$v3" in objects("label")
+    hub = next(x[0] for x in st if x[1] == "type" and x[2].endswith("/Hub"))
+    assert (hub, "type", bibframe.BF + "Series") in st and any(x[2] == hub and x[1] == "associatedResource" for x in st)
+    back = df.select(F.explode("fields").alias("f")).where("f.tag > '009'").select(bibframe.parse_marc_key(bibframe.marc_key(F.col("f"))).alias("back"), "f").collect()
+    assert all(r["back"] == r["f"] for r in back) and spark.range(1).select(bibframe.parse_marc_key(F.lit("245 ")).alias("x")).first()["x"] is None
