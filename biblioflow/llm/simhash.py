@@ -162,9 +162,8 @@ def _links(nodes: DataFrame, parts: list[tuple[int, list[int]]], leaders: int, n
         a = a.withColumn("key", F.col("a_f0").bitwiseAND(F.lit(_long(mask))).bitwiseXOR(F.col("flip"))).drop("flip")
         b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns], F.col("f0").bitwiseAND(F.lit(_long(mask))).alias("key"))
         apart = F.col("a_f0").bitwiseXOR(F.col("b_f0"))
-        new = near & (F.col("a_label") != F.col("b_label"))
-        if leaders == 1:
-            new &= F.col("a_f0") < F.col("b_f0")
+        # with all nodes on both sides a pair is met both ways, and one way is enough
+        new = near & (F.col("a_label") < F.col("b_label") if leaders == 1 else F.col("a_label") != F.col("b_label"))
         for earlier, tried in parts[:k]:  # met there already
             new &= F.bit_count(apart.bitwiseAND(F.lit(_long(earlier)))) > max(f.bit_count() for f in tried)
         pairs = a.join(b, "key").where(new).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))

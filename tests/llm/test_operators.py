@@ -220,6 +220,12 @@ def test_pigeonhole_loses_no_link(spark, most):
     assert [label[int(f)] for f in prints.view(np.int64)] == brute_components(prints, most)
 
 
+def test_equal_first_fingerprints_are_compared_by_the_second(spark):
+    df = spark.createDataFrame([(1, 5, 0), (2, 5, 7), (3, 5, -1), (4, 4, 0)], "doc_id long, f0 long, f1 long")
+    got = {(r["f0"], r["f1"]): r["label"] for r in simhash.near_groups(df, 8, ("f1", 20), leaders=(64, 1)).collect()}
+    assert got == {(5, 0): 1, (5, 7): 1, (5, -1): 3, (4, 0): 1}
+
+
 def test_simhash_of_odd_rows(odd):
     got = rows(simhash.near_duplicates(odd).select("doc_id", "fingerprint"))
     assert len(got) == len(ODD) and (1, "0" * 16) in got and (2, "0" * 16) in got
