@@ -152,23 +152,26 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _number(x: int) -> str:
+    return f"{_long(x)}L" if _long(x) != -(1 << 63) else "(-9223372036854775807L - 1L)"
+
+
 def _links(nodes: DataFrame, parts: list[tuple[int, list[int]]], leaders: int, near: Column) -> DataFrame:
-    """Pairs of group labels that some verified pair of fingerprints of two groups links."""
-    out = None
-    for k, (mask, flips) in enumerate(parts):
-        left = nodes if leaders == 1 else nodes.where(F.pmod(F.xxhash64("f0"), F.lit(leaders)) == 0)
-        ways = F.expr(f"array({','.join(f'{_long(f)}L' if _long(f) != -(1 << 63) else '(-9223372036854775807L - 1L)' for f in flips)})")
-        a = left.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], F.explode(ways).alias("flip"))
-        a = a.withColumn("key", F.col("a_f0").bitwiseAND(F.lit(_long(mask))).bitwiseXOR(F.col("flip"))).drop("flip")
-        b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns], F.col("f0").bitwiseAND(F.lit(_long(mask))).alias("key"))
-        apart = F.col("a_f0").bitwiseXOR(F.col("b_f0"))
-        # with all nodes on both sides a pair is met both ways, and one way is enough
-        new = near & (F.col("a_label") < F.col("b_label") if leaders == 1 else F.col("a_label") != F.col("b_label"))
-        for earlier, tried in parts[:k]:  # met there already
-            new &= F.bit_count(apart.bitwiseAND(F.lit(_long(earlier)))) > max(f.bit_count() for f in tried)
-        pairs = a.join(b, "key").where(new).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    """Pairs of group labels that some verified pair of fingerprints of two groups links. All parts are probed in one join."""
+    left = nodes if leaders == 1 else nodes.where(F.pmod(F.xxhash64("f0"), F.lit(leaders)) == 0)
+    ways = [f"named_struct('part',{k},'mask',{_number(m)},'flip',{_number(f)})" for k, (m, flips) in enumerate(parts) for f in flips]
+    filed = [f"named_struct('part',{k},'mask',{_number(m)})" for k, (m, _) in enumerate(parts)]
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], F.explode(F.expr(f"array({','.join(ways)})")).alias("way"))
+    a = a.select("*", F.col("way.part").alias("part"), F.col("a_f0").bitwiseAND(F.col("way.mask")).bitwiseXOR(F.col("way.flip")).alias("key")).drop("way")
+    b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns], F.explode(F.expr(f"array({','.join(filed)})")).alias("way"))
+    b = b.select("*", F.col("way.part").alias("part"), F.col("b_f0").bitwiseAND(F.col("way.mask")).alias("key")).drop("way")
+    apart = F.col("a_f0").bitwiseXOR(F.col("b_f0"))
+    # with all nodes on both sides a pair is met both ways, and one way is enough
+    new = near & (F.col("a_label") < F.col("b_label") if leaders == 1 else F.col("a_label") != F.col("b_label"))
+    for k, (mask, flips) in enumerate(parts[:-1]):  # met in an earlier part already
+        radius = max(f.bit_count() for f in flips)
+        new &= (F.col("part") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_long(mask)))) > radius)
+    return a.join(b, ["part", "key"]).where(new).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
 
 
 def near_groups(prints: DataFrame, max_bits: int = 4, check: tuple[str, int] | None = None, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
