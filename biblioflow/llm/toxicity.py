@@ -151,7 +151,7 @@ class Model:
     """Weights of features; those without one count nothing."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         self.keys, self.weights, self.bias = keys[order], weights[order], bias
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.keys.view(np.uint32) >> 12] = True
@@ -173,9 +173,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows), "doc_id")  # at most `sample` rows
-    table = features(known).toArrow()
+
+    def run(batches):  # one task gets the features of at most `sample` rows, so that the driver holds the model alone
+        got = list(batches)
+        if got:
+            m = train(pa.Table.from_batches(got))
+            yield pa.RecordBatch.from_arrays([pa.array(m.keys), pa.array(m.weights), pa.array(np.full(len(m.keys), m.bias))], ["key", "weight", "bias"])
+
+    out = features(known).repartition(1).mapInArrow(run, "key int, weight double, bias double").toArrow()
+    if not out.num_rows:
+        return train(None)
+    return Model(out["key"].to_numpy(), out["weight"].to_numpy(), float(out["bias"][0].as_py()))
+
+
+def train(table: pa.Table | None) -> Model:
+    """The model of a table of features(), or what the lexicon alone says if it has no row or only one label."""
     lexicon = np.array(sorted({word_feature(w) for w in LEXICON}), np.int32)
-    gold = table["toxic"].to_numpy().astype(np.int64)
+    gold = np.zeros(0, np.int64) if table is None else table["toxic"].to_numpy().astype(np.int64)
     if not len(gold) or gold.min() == gold.max():
         return Model(lexicon, np.full(len(lexicon), PRIOR), -3.0)
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")  # rows may come in any order
@@ -191,7 +205,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = keys[at] == values if len(keys) else np.zeros(len(values), bool)
     row, col = row[own], at[own]
     del values, at, own
-    pa.default_memory_pool().release_unused()
     toxic = np.bincount(col, gold[row], len(keys))
     rate = np.log((toxic + 0.1) / (gold.sum() + 1)) - np.log((count - toxic + 0.1) / (len(gold) - gold.sum() + 1))
     good = np.flatnonzero((toxic >= max(3, 0.002 * gold.sum())) & (rate > 3))
