@@ -573,6 +573,7 @@ def graph_names(df):
     f"""SELECT _pos, tag, code, value FROM (
     SELECT _pos, tag, code, {_t('v')} AS value FROM fld WHERE tag = '245' AND code IN ('a', 'b', 'c') UNION ALL SELECT _pos, tag, code, {_t('v')} FROM fld WHERE tag IN ('020', '022')
     UNION ALL SELECT _pos, tag, code, {_t('v')} FROM fld WHERE tag IN ('100', '110', '700', '710', '250') AND code = 'a' UNION ALL SELECT _pos, tag, code, rtrim(v, ' ') FROM fld WHERE tag = '520'
+    UNION ALL SELECT _pos, tag, code, {_t('v')} FROM fld WHERE tag = '490'
     UNION ALL SELECT _pos, '001', '', v FROM fld WHERE tag = '001' UNION ALL SELECT _pos, tag, code, v FROM fld WHERE tag = '856' AND code = 'u') WHERE value <> ''""",
 )
 def bibframe_round_trip(df):
@@ -580,7 +581,7 @@ def bibframe_round_trip(df):
     from biblioflow.operators import bibframe, bibframe_reverse
 
     back = bibframe_reverse.records(bibframe.statements(df))
-    rows = back.select("_pos", F.explode("fields").alias("f")).where(F.col("f.tag").isin("001", "020", "022", "100", "110", "245", "250", "520", "700", "710", "856"))
+    rows = back.select("_pos", F.explode("fields").alias("f")).where(F.col("f.tag").isin("001", "020", "022", "100", "110", "245", "250", "490", "520", "700", "710", "856"))
     parts = F.when(F.col("f.tag") < "010", F.array(F.struct(F.lit("").alias("code"), F.col("f.value").alias("value")))).otherwise(F.col("f.subfields"))
     rows = rows.select("_pos", F.col("f.tag").alias("tag"), F.explode(parts).alias("s")).select("_pos", "tag", "s.code", "s.value")
     keep = F.when(F.col("tag").isin("100", "110", "700", "710"), F.col("code") == "a").when(F.col("tag") == "856", F.col("code") == "u").otherwise(True)

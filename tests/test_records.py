@@ -232,5 +232,11 @@ def test_bibframe_relations_and_carriers(spark):
     assert "7800 0$tOld paper$x1234-5678".replace("0 0", "00") in objects("label") and "830 0$aTales$v3" in objects("label")
     hub = next(x[0] for x in st if x[1] == "type" and x[2].endswith("/Hub"))
     assert (hub, "type", bibframe.BF + "Series") in st and any(x[2] == hub and x[1] == "associatedResource" for x in st)
+    from biblioflow.operators import bibframe_reverse
+
+    made = bibframe_reverse.records(bibframe.statements(df)).first()["fields"]
+    shown = [f"{x['tag']} {x['ind1']}{x['ind2']} {x['value']}" + "".join(f"${y['code']}{y['value']}" for y in x["subfields"]) for x in made]
+    want = ["007  co", "007  cr", "337    $bc$2rdamedia", "338    $bcd$2rdacarrier", "338    $bcr$2rdacarrier", "490 1  $aTales$v3", "490 0  $aOther", "780 00 $tOld paper$x1234-5678", "785 09 $aClub.", "810 2  $aGuild$tBooks", "830  0 $aTales$v3"]
+    assert sorted(want) == sorted(x for x in shown if x[:3] not in ("001", "005", "245", "260")), shown
     back = df.select(F.explode("fields").alias("f")).where("f.tag > '009'").select(bibframe.parse_marc_key(bibframe.marc_key(F.col("f"))).alias("back"), "f").collect()
     assert all(r["back"] == r["f"] for r in back) and spark.range(1).select(bibframe.parse_marc_key(F.lit("245 ")).alias("x")).first()["x"] is None
