@@ -257,6 +257,42 @@ def resolve(thesaurus: DataFrame, kind: str) -> DataFrame:
     return joined.select("uri", "n", "target", F.coalesce("_id", last_segment(F.col("target"))).alias("target_id"), F.coalesce("_label", last_segment(F.col("target"))).alias("target_label"))
 
 
+def tally(thesaurus: DataFrame) -> DataFrame:
+    """(what, key, n): concepts by the base of their IRI and by scheme, preferred labels by language."""
+    entry = lambda what, key: F.struct(F.lit(what).alias("what"), key.alias("key"))
+    base = F.regexp_replace("uri", "[^/]*$", "")
+    keys = F.concat(
+        F.array(entry("base", F.when(base == "", F.col("uri")).otherwise(base)), entry("scheme", F.col("scheme"))), F.transform("pref", lambda x: entry("language", x["lang"]))
+    )
+    rows = thesaurus.select(F.explode(keys).alias("k")).where((F.col("k.key") != "") | (F.col("k.what") == "base"))
+    return rows.groupBy("k.what", "k.key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(thesaurus: DataFrame) -> DataFrame:
+    """(uri, id, text): each concept as lines of text, with its labels and references; read in order of id."""
+    refs = None
+    for k, kind in enumerate(("broader", "narrower", "related")):
+        own = resolve(thesaurus, kind).select(F.col("uri").alias("_uri"), F.lit(k).alias("k"), "n", "target_id", "target_label")
+        refs = own if refs is None else refs.unionByName(own)
+    name = F.concat(F.when(F.col("target_label") == "", F.col("target_id")).otherwise(F.col("target_label")), F.lit(" ("), F.col("target_id"), F.lit(")"))
+    lists = refs.groupBy("_uri").agg(F.array_sort(F.collect_list(F.struct("k", "n", name.alias("name")))).alias("refs"))  # a concept's own references
+
+    def line(k: int, kind: str) -> Column:
+        names = F.transform(F.filter("refs", lambda x: x["k"] == k), lambda x: x["name"])
+        return F.when(F.size(names) > 0, F.concat(F.lit(f"  {kind}: "), F.array_join(names, ", "), F.lit("\n"))).otherwise("")
+
+    english = F.get(F.filter("pref", lambda x: (x["lang"] == "en") | x["lang"].startswith("en-")), F.lit(0))["lang"]
+    lang = F.coalesce(english, F.get("pref", F.lit(0))["lang"], F.lit(""))
+    mark = lambda v: F.when(v == "", "").otherwise(F.concat(F.lit(" ["), v, F.lit("]")))
+    others = F.array_join(F.transform("alt", lambda x: F.concat(x["text"], mark(x["lang"]))), ", ")
+    said = lambda head, v: F.when(v == "", "").otherwise(F.concat(F.lit(head), v, F.lit("\n")))
+    text = F.concat(
+        F.col("id"), F.lit("  "), english_first(F.col("pref")), mark(lang), F.lit("\n"), said("  uri: ", F.col("uri")), said("  alt: ", others),
+        line(0, "broader"), line(1, "narrower"), line(2, "related"),
+    )
+    return thesaurus.join(lists, F.col("uri") == F.col("_uri"), "left").select("uri", "id", text.alias("text"))
+
+
 AUTHORITY_LEADER = "00000nz  a2200000n  4500"
 
 

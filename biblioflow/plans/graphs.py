@@ -172,10 +172,26 @@ def skos_references(spark, sf_dir):
     return rdf.resolve(rdf.concepts(_thesaurus(spark, sf_dir)), "broader")
 
 
-@query("a2_skos_tally", "SELECT 'language' AS what, 'en' AS key, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation WHERE n_nationkey % 3 <> 0) AS n UNION ALL SELECT 'language', 'fr', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation)")
+@query(
+    "a2_skos_tally",
+    f"""SELECT 'language' AS what, 'en' AS key, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation WHERE n_nationkey % 3 <> 0) AS n
+    UNION ALL SELECT 'language', 'fr', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) UNION ALL SELECT 'scheme', '{BASE}scheme', count(*) FROM region
+    UNION ALL SELECT 'base', '{BASE}region/', count(*) FROM region UNION ALL SELECT 'base', '{BASE}nation/', count(*) FROM nation""",
+)
 def skos_tally(spark, sf_dir):
-    rows = rdf.concepts(_thesaurus(spark, sf_dir)).select(F.explode("pref.lang").alias("key"))
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.lit("language").alias("what"), "key", "n")
+    return rdf.tally(rdf.concepts(_thesaurus(spark, sf_dir)))
+
+
+@query(
+    "k15_skos_report",
+    f"""SELECT '{BASE}region/R' || r_regionkey AS uri, 'R' || r_regionkey || '  ' || r_name || ' [en]' || chr(10) || '  uri: {BASE}region/R' || r_regionkey || chr(10) AS text FROM region
+    UNION ALL SELECT '{BASE}nation/N' || n_nationkey, 'N' || n_nationkey || '  ' || CASE WHEN n_nationkey % 3 <> 0 THEN n_name || ' [en]' ELSE 'FR ' || n_name || ' [fr]' END || chr(10) ||
+      '  uri: {BASE}nation/N' || n_nationkey || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '  alt: ' || lower(n_name) || ' [en]' || chr(10) ELSE '' END ||
+      '  broader: ' || r_name || ' (R' || n_regionkey || ')' || CASE WHEN n_nationkey % 5 = 0 THEN ', other (other)' ELSE '' END || chr(10)
+    FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
+def skos_report(spark, sf_dir):
+    return rdf.report(rdf.concepts(_thesaurus(spark, sf_dir))).select("uri", "text")
 
 
 def _works(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
