@@ -11,6 +11,9 @@ sample). Equal fingerprints are one node. Before all pairs are met, ever denser
 merged, and later rounds only meet nodes of different groups, so a large group of near copies gives about as many
 links as it has members, times a constant, and not the square.
 
+The pipeline's stage asks for the Jaccard similarity of the shingle sets itself: bands of least hashes name the pairs, whose
+exact similarity is then computed, in the same rounds of leaders.
+
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); a null doc_id keeps its row and gets
 the component of its fingerprint. Repeated rows stay as rows. An empty table gives an empty result. Extra columns
 are ignored.
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflow.llm.common import read, saved
+from biblioflow.llm.common import mix, read, saved
 from biblioflow.llm.graph import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -37,6 +40,11 @@ PLAN_SAMPLE = 2048
 PROBE_COST = 10
 #: One in so many fingerprints leads in each round; the last round has all.
 LEADERS = (4096, 64, 1)
+#: The pipeline's stage: the least Jaccard similarity of near copies, as a fraction, and the bands of least hashes that find them.
+SHARE = (4, 5)
+ROWS, BANDS = 6, 24
+_TIMES, _PLUS = np.random.default_rng(11).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.random.default_rng(12).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -204,15 +212,100 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     )
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 5, max_bits: int = 8, both_bits: int = 20) -> DataFrame:
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The BANDS keys of each set of shingle hashes: each mixes the least values of ROWS hash functions over the set."""
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for k, own in enumerate(sets):
+        if len(own):
+            least = np.full(len(_TIMES), np.iinfo(np.uint64).max)
+            for i in range(0, len(own), 4096):
+                least = np.minimum(least, (own[None, i : i + 4096] * _TIMES[:, None] + _PLUS[:, None]).min(1))
+            out[k] = (mix(least).reshape(BANDS, ROWS) * _PLACES).sum(1)
+    return mix(out + np.arange(BANDS, dtype=np.uint64) * _TIMES[0])
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    pieces = shingle_bytes(text, shingle)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in pieces), np.uint64, len(pieces)))
+
+
+def _set_id(own: np.ndarray) -> int:
+    return _long(xxhash.xxh3_64_intdigest(own.tobytes()))
+
+
+def bands(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text, id, n, keys) of every row: a hash of the text, a hash of its shingle set, the set's size and band keys."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            keys = minima(sets).view(np.int64)
+            cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "id", "n", "keys"])
+
+    own = docs.select(F.col("doc_id").cast("long"), _text_hash(), "text")
+    return own.mapInArrow(run, "doc_id long, text long, id long, n int, keys array<long>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(id, own) of the texts whose hash is wanted: the distinct shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "own"])
+
+    some = docs.select("text", _text_hash().alias("hash")).join(wanted, "hash", "left_semi").dropDuplicates(["hash"])
+    return some.select("text").mapInArrow(run, "id long, own array<long>")
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
+    """(id, label) of the shingle sets of bands() that met another: label is the least id that links of a Jaccard similarity of
+    SHARE or more reach. Sets meet under a shared band key, and every met pair is held against its exact similarity."""
+    met = prints.groupBy("id", "n").agg(F.first("keys").alias("keys")).select("id", "n", F.explode("keys").alias("key"))
+    met = saved(met, "bands")
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    met = saved(met.join(shared, "key").select("key", "id", "n", F.col("id").alias("label")), "shared")
+    wanted = prints.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("hash")).select("hash")
+    sets = saved(_sets(docs, wanted, shingle), "sets")
+    times, of = SHARE
+    for every in leaders:
+        # a key whose sets are all in one group has nothing left to link
+        mixed = met.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        open_ = saved(met.join(mixed, "key", "left_semi"), "open")
+        a, b = [open_.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "label")]) for s in "ab"]
+        if every > 1:
+            a = a.where(F.pmod(F.xxhash64("a_id"), F.lit(every)) == 0)
+        new = F.col("a_label") < F.col("b_label") if every == 1 else F.col("a_label") != F.col("b_label")
+        sizes = of * F.least("a_n", "b_n") >= times * F.greatest("a_n", "b_n")
+        pairs = saved(a.join(b, "key").where(new & sizes).select("a_id", "b_id", "a_n", "b_n", "a_label", "b_label").distinct(), "pairs")
+        both = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("own").alias("a_own")), "a_id")
+        both = both.join(sets.select(F.col("id").alias("b_id"), F.col("own").alias("b_own")), "b_id")
+        common = F.size(F.array_intersect("a_own", "b_own"))
+        enough = of * common >= times * (F.col("a_n") + F.col("b_n") - common)
+        links = saved(both.where(enough).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            continue
+        merged = components(links).withColumnRenamed("id", "label")
+        met = saved(met.join(merged, "label", "left").select("key", "id", "n", F.coalesce("component", "label").alias("label")), "shared")
+    return met.select("id", "label").distinct()
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Documents without those that have a near copy of smaller doc_id in their group; all columns stay. Of rows with
     equal doc_id one stays; rows with a null doc_id all stay.
 
-    Two SimHashes with different seeds are compared: at most max_bits of the first and both_bits of the two together may
-    differ. At a shingle similarity of 0.8 about 19 of the 128 bits are expected to, and unrelated texts differ in 64."""
-    prints = saved(fingerprints(docs, shingle, (42, 43)), "fingerprints")
-    groups = near_groups(prints, max_bits, ("f1", both_bits))
-    keep = prints.join(groups, ["f0", "f1"]).where(F.col("doc_id") == F.col("label")).select("doc_id")
+    Near copies have a Jaccard similarity of SHARE or more of their sets of shingles (of five words), held exactly. A pair of
+    similarity s meets with the chance 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8."""
+    prints = saved(bands(docs, shingle), "prints")
+    groups = similar_groups(docs, prints, shingle)
+    own = prints.join(groups, "id", "left").select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("doc_id"), F.coalesce("label", "id").alias("label"))
+    keep = own.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = docs.join(keep.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
