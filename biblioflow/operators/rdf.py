@@ -141,11 +141,23 @@ _LITERAL_RE = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*
 _LINE_RE = rf"^\s*(?:{_IRI_RE}|{_BLANK_RE})\s*{_IRI_RE}\s*(?:{_IRI_RE}|{_BLANK_RE}|{_LITERAL_RE})\s*(?:{_IRI_RE}|{_BLANK_RE})?"
 
 
+_TOKEN_RE = r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\)"
+
+
 def _unescape(s: Column) -> Column:
-    """Backslash escapes of one character and \\u0000 forms of ASCII characters."""
-    s = F.replace(s, F.lit("\\\\"), F.lit("\x01"))
-    s = nested(s, [(f"\\u{k:04X}", chr(k)) for k in [*range(32, 48), 60, 62, 92, 94, 96, 123, 124, 125]])
-    return nested(s, [("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\x01", "\\")])
+    """Backslash escapes of one character and every \\uXXXX and \\UXXXXXXXX; other escaped characters stand for themselves."""
+
+    def plain(t: Column) -> Column:
+        code = F.conv(F.substring(t, 3, 8), 16, 10).cast("long")
+        bad = code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        point = F.decode(F.unhex(F.lpad(F.when(bad, "FFFD").otherwise(F.substring(t, 3, 8)), 8, "0")), "UTF-32")
+        out = F.when((F.length(t) < 2) | ~t.startswith("\\"), t).when(F.length(t) > 2, point)
+        for mark, char in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("b", "\b"), ("f", "\f")):
+            out = out.when(t == F.lit(f"\\{mark}"), char)
+        return out.otherwise(F.substring(t, 2, 1))
+
+    tokens = F.regexp_extract_all(s, F.lit(_TOKEN_RE), F.lit(1))
+    return F.when(F.contains(s, F.lit("\\")), F.array_join(F.transform(tokens, plain), "")).otherwise(s)
 
 
 def parse_nquads(lines: DataFrame, line: str = "value", pos: str = "pos") -> DataFrame:
@@ -158,7 +170,7 @@ def parse_nquads(lines: DataFrame, line: str = "value", pos: str = "pos") -> Dat
 
     text = F.struct(
         F.lit(schema.LITERAL).cast("tinyint").alias("kind"), _unescape(part(6)).alias("value"), part(7).alias("lang"),
-        F.when(part(7) != "", schema.RDF + "langString").when(part(8) != "", part(8)).otherwise(schema.XSD + "string").alias("datatype"),
+        F.when(part(7) != "", schema.RDF + "langString").when(part(8) != "", _unescape(part(8))).otherwise(schema.XSD + "string").alias("datatype"),
     )
     object_ = F.when(part(5) != "", blank(part(5))).when(part(4) != "", iri(_unescape(part(4)))).otherwise(text)
     graph = F.when((part(9) != "") | (part(10) != ""), simple(9, 10))

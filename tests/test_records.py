@@ -240,3 +240,10 @@ def test_bibframe_relations_and_carriers(spark):
     assert sorted(want) == sorted(x for x in shown if x[:3] not in ("001", "005", "245", "260")), shown
     back = df.select(F.explode("fields").alias("f")).where("f.tag > '009'").select(bibframe.parse_marc_key(bibframe.marc_key(F.col("f"))).alias("back"), "f").collect()
     assert all(r["back"] == r["f"] for r in back) and spark.range(1).select(bibframe.parse_marc_key(F.lit("245 ")).alias("x")).first()["x"] is None
+
+
+def test_nquads_escapes_of_any_code_point(spark):
+    line = r"""<http://h/\u00e9\U0001F600> <http://h/p> "\u00E9\U0001f600 \\u0041 \b\f\'\"\n\uD800" ."""
+    row = rdf.parse_nquads(spark.createDataFrame([(1, line)], "pos long, value string")).first()
+    assert row["_error"] is None and row["s"]["value"] == "http://h/é😀"
+    assert row["o"]["value"] == "é😀 \\u0041 \b\f'\"\n\ufffd"
