@@ -160,6 +160,12 @@ def keep_tags(df):
     return df.select("_pos", _tags(marc.keep_fields(FS(), "245", "650", "856")).alias("tags")).orderBy("_pos").limit(500)
 
 
+@query("p16_keep_tags_all", f"SELECT _pos, string_agg(tag, ' ' ORDER BY i) AS tags FROM {_TAGS} WHERE tag IN ('245', '650', '856') GROUP BY _pos")
+def keep_tags_all(df):
+    """Only some tags of every record."""
+    return df.select("_pos", _tags(marc.keep_fields(FS(), "245", "650", "856")).alias("tags"))
+
+
 @query(
     "f2_validate",
     """SELECT _pos, CASE _pos % 6 WHEN 1 THEN 'leader is 3 bytes, want 24' WHEN 2 THEN 'field tag 24 is not 3 bytes' WHEN 3 THEN 'data field 999 has no subfields'

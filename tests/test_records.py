@@ -247,3 +247,9 @@ def test_nquads_escapes_of_any_code_point(spark):
     row = rdf.parse_nquads(spark.createDataFrame([(1, line)], "pos long, value string")).first()
     assert row["_error"] is None and row["s"]["value"] == "http://h/é😀"
     assert row["o"]["value"] == "é😀 \\u0041 \b\f'\"\n\ufffd"
+
+
+def test_keep_tags_of_every_record(spark):
+    from biblioflow.plans import registry
+
+    assert registry.QUERIES["p16_keep_tags_all"](spark, "/root/testdata/sf0.01").count() == 1000
