@@ -3,8 +3,8 @@
 A CGK walk reads a string through random bits shared by all strings (at step j it emits the current character and goes
 on to the next one if bit (j, character) says so), which turns edit distance into Hamming distance. Sampling a few
 emitted positions gives an LSH key; several walks and samples give the recall. Walks start at every word of every
-benchmark item and at every ``STRIDE``-th word of every document, so a passage of an item meets several walks that stand
-at the same place of both. Each meeting says where the whole item would lie; the document's window of the item's size
+benchmark item with ``ROOM`` characters left and at every word of every document. Short items have few such words and take
+more walks from each (``walks_of``). Each meeting says where the whole item would lie; the document's window of the item's size
 there (with room for the edits allowed) is verified by the exact edit distance, in code points, of the item to the
 closest substring. A document is contaminated by an item if that distance is at most (1 - similarity) of its length.
 
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 
 from biblioflow.llm.common import read, text_blocks, words
 
-STRIDE = 2
-STEPS = 64
-WALKS = 3
+STEPS = 56
+WALKS = 16
 SAMPLES = 2  # of each walk
 SAMPLED = 14  # positions of each sample
-ROOM = 40  # characters an item must have left where a walk starts
+ROOM = 36  # characters an item must have left where a walk starts
 SIMILARITY = 0.8
 BLOCK_CHARS = 8 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,10 +62,15 @@ def normal(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return out, to, row, number
 
 
-def keys(text: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The LSH keys of the walks that start at the given places of a normal text."""
+def walks_of(size: int) -> int:
+    """Walks from each place of an item of so many bytes."""
+    return 16 if size < 180 else 8
+
+
+def keys(text: np.ndarray, at: np.ndarray, walks: int) -> list[np.ndarray]:
+    """The LSH keys of the first walks that start at the given places of a normal text."""
     out = []
-    for walk in range(WALKS):
+    for walk in range(walks):
         place = at.astype(np.int64)
         found = [np.zeros(len(at), np.uint64) for _ in range(SAMPLES)]
         for step in range(STEPS):
@@ -115,7 +119,8 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, str]], similarity: float):
         self.ids, self.texts, self.similarity = [], [], similarity
         self.phrases: list[tuple[int, bytes]] = []
-        places: list[list[tuple[int, int]]] = []
+        places: list[list[tuple[int, int]]] = [[] for _ in range(WALKS)]
+        self.walks = 0
         tables: list[list[np.ndarray]] = [[] for _ in range(WALKS * SAMPLES)]
         for item_id, text in rows:
             buf = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -126,15 +131,18 @@ class Items:
             self.ids.append(item_id)
             self.texts.append(bytes(out[:-1]))
             at = to[to + ROOM <= len(out)]
-            if len(at) < STRIDE:
+            if not len(at):
                 self.phrases.append((k, bytes(out[:-1])))
                 continue
-            for t, h in zip(tables, keys(out, at)):
+            walks = walks_of(len(out) - 1)
+            self.walks = max(self.walks, walks)
+            for t, h in zip(tables, keys(out, at, walks)):
                 t.append(h)
-            places.append([(k, int(a)) for a in at])
-        self.place = np.array([p for x in places for p in x] or np.zeros((0, 2)), np.int64)
+            for x in places[:walks]:
+                x += [(k, int(a)) for a in at]
+        self.places = [np.array(x, np.int64) for x in places[: self.walks]]
         self.tables = []
-        for t in tables:
+        for t in tables[: self.walks * SAMPLES]:
             h = np.concatenate(t) if t else np.zeros(0, np.uint64)
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
@@ -144,28 +152,28 @@ class Items:
     def candidates(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (walk, item, start of the item in text) of walks at the given places that meet a walk of an item."""
         out = []
-        for h, (index, order, bits) in zip(keys(text, at), self.tables):
+        for i, (h, (index, order, bits)) in enumerate(zip(keys(text, at, self.walks), self.tables)):
+            place = self.places[i // SAMPLES]
             some = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(index, h[some], "left"), np.searchsorted(index, h[some], "right")
             n = hi - lo
             which = order[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
             walk = np.repeat(some, n)
-            out.append(np.c_[walk, self.place[which, 0], at[walk] - self.place[which, 1]])
+            out.append(np.c_[walk, place[which, 0], at[walk] - place[which, 1]])
         return np.concatenate(out)
 
     def find(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(row, item, distance, similarity), one for each row and item it is contaminated by."""
-        text, to, row, number = normal(buf, off)
+        text, to, row, _ = normal(buf, off)
         if not len(to):
             return
         begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         low, high, of = to[begin], np.r_[to[begin[1:]], len(text)] - 1, row[begin]
         best: dict[tuple[int, int], int] = {}
-        if len(self.place):
-            walks = np.flatnonzero(number % STRIDE == 0)
-            c = self.candidates(text, to[walks])
+        if self.walks:
+            c = self.candidates(text, to)
             if len(c):
-                part = np.searchsorted(begin, walks[c[:, 0]], "right") - 1
+                part = np.searchsorted(begin, c[:, 0], "right") - 1
                 # starts a few places apart are verified together: the window has room for them
                 seen = np.unique(np.c_[part, c[:, 1], (c[:, 2] - low[part]) >> 5, c[:, 2]], axis=0)
                 first = np.r_[True, (seen[1:, :3] != seen[:-1, :3]).any(1)]
@@ -173,7 +181,7 @@ class Items:
                 for a, b in zip(group, np.r_[group[1:], len(seen)]):
                     p, item = int(seen[a, 0]), int(seen[a, 1])
                     goal = self.texts[item]
-                    most = int((1 - self.similarity) * len(goal.decode("utf-8", "surrogatepass")))
+                    most = int((1 - self.similarity) * len(goal.decode("utf-8", "surrogatepass")) + 1e-9)
                     if best.get((p, item)) == 0:
                         continue
                     room = 4 * most + 8

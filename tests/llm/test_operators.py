@@ -332,6 +332,20 @@ def test_recall_of_edited_passages(spark, sf_dir, texts):
     assert hits >= 180
 
 
+def test_recall_of_short_items_at_the_limit():
+    rng = random.Random(6)
+    items = [" ".join("".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(25))[:95].strip() for _ in range(100)]
+    block, hits, pairs = decontaminate.Items(list(enumerate(items)), 0.8), 0, 0
+    for k, item in enumerate(items):
+        s = list(item)
+        for p in rng.sample(range(len(s)), len(s) * 3 // 20):
+            s[p] = rng.choice(["", "q", s[p] + "z"])
+        whole = f"some words before {''.join(s)} and some after".encode()
+        pairs += decontaminate.edit_distance_within(item, whole.decode()) <= len(item) // 5
+        hits += any(i == k for _, i, _, _ in block.find(np.frombuffer(whole, np.uint8), np.array([0, len(whole)])))
+    assert hits >= 0.95 * pairs
+
+
 def test_short_and_empty_items(spark, odd):
     items = spark.createDataFrame([(1, "A short  one"), (2, ""), (3, None)], "item_id long, text string")
     some = spark.createDataFrame([(1, "this is a SHORT one here"), (2, "a shorter one"), (3, None)], "doc_id long, text string")
