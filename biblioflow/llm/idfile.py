@@ -1,29 +1,35 @@
 """Token ids in files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-An id is coded as one of eleven classes: the id that followed the last two ids before (order 2), the id that followed
-the last one before (order 1), or a width of 8 to 16 bits, with the bits below the leading one as they are. Three
-adaptive distributions over the classes, of order 0, 1 and 2 in the classes before, are mixed by weights that follow how
-well each of them has lately predicted; the mix drives a 48-bit range coder with carries. All of it is integer
-arithmetic, so any machine decodes what any other wrote.
-
-Blocks are coded ``LANES`` at a time, step by step in numpy arrays. Every block starts from nothing, and has its length
-and the CRC32 of its ids beside it, so a damaged block is known and loses no other.
-
-A file is "IDF1", then groups of (document ids, their id counts, blocks), each with its sizes before it. Documents are
+A block of ``BLOCK`` ids begins with the list of its distinct ids; within it an id is its place in that list. Three
+models predict the next one: order 2 and order 1 name the id that last followed the two ids, or the one id, before (how
+sure they are grows with their hits), and order 0 is a distribution over all ids of the block by how often each has come
+so far. Adaptive probabilities, one by how sure the order is and one of the block as a whole, mixed by weights that follow how well
+each has lately predicted, say how much of the range goes to either order's id; order 0 divides the rest. The range
+coder keeps 48 bits and carries. All of it is integer arithmetic (one division is done in doubles, which are exact at
+these sizes), so any machine decodes what any other wrote.
+
+Blocks are coded up to ``LANES`` at a time, step by step in numpy arrays; the order-0 distribution is drawn anew at steps
+that grow apart by a quarter. Every block starts from nothing, and has its sizes and the CRC32 of its ids beside it,
+so a damaged block is known and loses no other.
+
+A file is "IDF2", then groups of (document ids, their id counts, blocks), each with its sizes before it. Documents are
 range-partitioned and sorted by doc_id; a file holds one range. It is written under a temporary name and renamed when
 whole; the manifest lists the files that count.
 
-Nulls: a null text is empty, with the end id alone; rows with a null doc_id come first. Repeated rows are written one
-after the other. An empty table gives no files and an empty result. Extra columns are ignored. Ids must be below 65536.
+Nulls: a null text is empty, with the end id alone; rows with a null doc_id come first. Rows with equal doc_id come in the
+order of a hash of their text, repeated rows one after the other, and may be split over files. An empty table gives no files
+and an empty result. Extra columns are ignored. Ids must be below 65536.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,240 +39,318 @@ from pyspark.sql import functions as F
 from biblioflow.llm.common import new_path, read
 from biblioflow.llm.warc import Store
 
-LANES = 1024
+LANES = 4096
 BLOCK = 4096
-LEAST = 64
-CLASSES = 11
-_HASH = 12
-_ONE = 1 << 15
-_RATE = 4
-_M48 = np.uint64((1 << 48) - 1)
-_WIDTH = np.array([max(8, i.bit_length()) for i in range(1 << 16)], np.int64)
-_EDGE = np.arange(1, CLASSES)
+#: Bits of the share that each order's id gets, of the order-0 distribution, and of the table of pairs of ids.
+_KIND, _SLOT, _PAIRS = 12, 13, 11
+_TOTAL = _KIND + _SLOT
+#: What an id's coming adds to its weight of one.
+_STEP = 3
+_M48, _LEAST = (1 << 48) - 1, 1 << 32
 MANIFEST = "file string, first long, documents long, ids long, bytes long"
 
 
-class _Mixer:
-    """Class distributions and id predictions of all lanes."""
-
-    def __init__(self, lanes: int):
-        even = (_ONE * _EDGE // CLASSES).astype(np.int32)
-        self.lane = np.arange(lanes)
-        self.cdf0 = np.tile(even, (lanes, 1))
-        self.cdf1 = np.tile(even, (lanes * CLASSES, 1))
-        self.cdf2 = np.tile(even, (lanes * CLASSES * CLASSES, 1))
-        self.fit = np.full((3, lanes), 2048, np.int64)
-        self.next1 = np.zeros(lanes << _HASH, np.uint16)
-        self.next2 = np.zeros(lanes << _HASH, np.uint16)
-        self.id1 = np.zeros(lanes, np.int64)
-        self.id2 = np.zeros(lanes, np.int64)
-        self.class1 = np.zeros(lanes, np.int64)
-        self.class2 = np.zeros(lanes, np.int64)
+class _Model:
+    """What all lanes predict; sizes: the number of distinct ids of each."""
+
+    def __init__(self, sizes: np.ndarray, inverse: bool):
+        n, lane = len(sizes), np.arange(len(sizes))
+        self.sizes, self.inverse, self.next = sizes, inverse, 0
+        self.base = np.cumsum(sizes) - sizes
+        self.counts = np.ones(int(sizes.sum()), np.int64)
+        self.after1, self.after2 = np.zeros(len(self.counts), np.uint16), np.zeros(n << _PAIRS, np.uint16)
+        self.lane3, self.lane4, self.pairs, self.slots = lane << 3, lane << 4, lane << _PAIRS, lane << _SLOT
+        self.hit2, self.hit1 = np.full(n << 3, 1 << 13, np.int64), np.full(n << 4, 1 << 12, np.int64)
+        self.whole2, self.whole1 = np.full(n, 1 << 13, np.int64), np.full(n, 1 << 12, np.int64)
+        self.fit = np.full((4, n), 1 << 14, np.int64)
+        self.weight2 = self.weight1 = np.full(n, 128, np.int64)
+        self.at1, self.mark, self.before = self.base, np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def draw(self, seen: np.ndarray, step: int) -> None:
+        """The order-0 distribution of all that came before a step; seen: what came since the last time."""
+        if len(seen):
+            self.counts += _STEP * np.bincount((seen + self.base[: seen.shape[1]]).ravel(), minlength=len(self.counts))
+        room, sums = (1 << _SLOT) - self.sizes, np.add.reduceat(self.counts, self.base)
+        freq = 1 + self.counts * np.repeat(room, self.sizes) // np.repeat(sums, self.sizes)
+        freq[self.base + self.sizes - 1] += (1 << _SLOT) - np.add.reduceat(freq, self.base)
+        start = np.cumsum(freq) - freq - np.repeat(self.slots, self.sizes)
+        self.drawn = (start << _SLOT + 1 | freq).astype(np.int32)
+        if self.inverse:
+            own = (np.arange(len(freq)) - np.repeat(self.base, self.sizes)).astype(np.uint16)
+            self.symbol = np.repeat(own, freq)
+        self.next = step + max(32, step >> 2)
 
     def look(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The predicted ids of order 2 and 1 and the mixed class boundaries of the first n lanes."""
-        lane = self.lane[:n]
-        self.at1 = (lane << _HASH) + ((self.id1[:n] * 40503 >> 4) & ((1 << _HASH) - 1))
-        self.at2 = (lane << _HASH) + (((self.id1[:n] * 40503 + self.id2[:n] * 30011) >> 3) & ((1 << _HASH) - 1))
-        self.row1 = lane * CLASSES + self.class1[:n]
-        self.row2 = self.row1 * CLASSES + self.class2[:n]
-        self.seen = (self.cdf0[:n], self.cdf1[self.row1], self.cdf2[self.row2])
-        fit = self.fit[:, :n]
-        weight = ((fit << 8) // fit.sum(0)).astype(np.int32)
-        mixed = self.seen[0] * weight[0][:, None]
-        mixed += self.seen[1] * weight[1][:, None]
-        mixed += self.seen[2] * (256 - weight[0] - weight[1])[:, None]
-        mixed >>= 8
-        # every class keeps a part of at least one
-        mixed -= (mixed * CLASSES) >> 15
-        mixed += _EDGE.astype(np.int32)
-        return self.next2[self.at2], self.next1[self.at1], mixed
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
+        """The bounds of the shares of the order-2 and order-1 ids of the first n lanes, and what a slot of order 0 is worth."""
+        self.at1 = self.at1[:n]
+        self.at2 = self.pairs[:n] + (self.mark[:n] & ((1 << _PAIRS) - 1))
+        self.held1, self.held2 = self.after1.take(self.at1).astype(np.int64), self.after2.take(self.at2).astype(np.int64)
+        self.id1, self.id2 = self.held1 >> 3, self.held2 >> 3
+        self.sure2 = self.lane3[:n] + (self.held2 & 7)
+        self.sure1 = self.lane4[:n] + (self.held1 & 7) + ((self.id1 == self.id2) << 3)
+        self.p2, self.p1 = self.hit2.take(self.sure2), self.hit1.take(self.sure1)
+        whole2, whole1 = self.whole2[:n], self.whole1[:n]
+        two = whole2 + ((self.p2 - whole2) * self.weight2[:n] >> 8)
+        one = whole1 + ((self.p1 - whole1) * self.weight1[:n] >> 8)
+        # every share is at least one
+        first = (two * ((1 << _KIND) - 3) >> 15) + 1
+        second = (((1 << _KIND) - 2 - first) * one >> 15) + 1
+        return first << _SLOT, (first + second) << _SLOT, (1 << _KIND) - first - second
+
+    def share(self, at: np.ndarray, is2: np.ndarray, is1: np.ndarray, end2: np.ndarray, end1: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the part of the range that an id has."""
+        drawn = self.drawn.take(at).astype(np.int64)
+        begin, size = end1 + rest * (drawn >> _SLOT + 1), rest * (drawn & (1 << _SLOT + 1) - 1)
+        named = (is2 | is1).nonzero()[0]
+        if len(named):
+            two, end = is2[named], end2[named]
+            begin[named] = np.where(two, 0, end)
+            size[named] = np.where(two, end, end1[named] - end)
+        return begin, size
+
+    def learn(self, ids: np.ndarray, at: np.ndarray, is2: np.ndarray, is1: np.ndarray, step: int) -> None:
         n = len(ids)
-        lane = self.lane[:n]
-        target = (kind[:, None] < _EDGE) * np.int32(_ONE)
-        for k, cdf in enumerate(self.seen):
-            high = np.where(kind < CLASSES - 1, cdf[lane, np.minimum(kind, CLASSES - 2)], _ONE)
-            low = np.where(kind > 0, cdf[lane, np.maximum(kind - 1, 0)], 0)
-            self.fit[k, :n] += (high - low + 16 - self.fit[k, :n]) >> 5
-        self.fit = np.maximum(self.fit, 1)
-        self.cdf0[:n] += (target - self.seen[0]) >> (_RATE + 1)
-        self.cdf1[self.row1] = self.seen[1] + ((target - self.seen[1]) >> _RATE)
-        self.cdf2[self.row2] = self.seen[2] + ((target - self.seen[2]) >> _RATE)
-        self.next1[self.at1] = ids
-        self.next2[self.at2] = ids
-        self.id2[:n], self.id1[:n] = self.id1[:n], ids
-        self.class2[:n], self.class1[:n] = self.class1[:n], kind
-
-
-def _shape(count: int) -> tuple[int, int]:
-    """Lanes and block length for so many ids; only the last block may be shorter."""
-    block = min(BLOCK, max(LEAST, -(-count // LANES)))
-    return -(-count // block), block
-
-
-def _active(count: int, lanes: int, block: int, step: int) -> int:
-    return lanes if step < count - (lanes - 1) * block else lanes - 1
+        off2, off1 = (is2 << 15) - self.p2, (is1 << 15) - self.p1
+        if not step & 3:
+            for k, off, whole, came in ((0, off2, self.whole2, is2), (2, off1, self.whole1, is1)):
+                own, fit = (came << 15) - whole[:n], self.fit[:, :n]
+                fit[k] += ((1 << 15) - np.abs(off) - fit[k]) >> 5
+                fit[k + 1] += ((1 << 15) - np.abs(own) - fit[k + 1]) >> 5
+                whole[:n] += own >> 5
+        if not step & 15:
+            self.weight2, self.weight1 = (self.fit[0::2] << 8) // (self.fit[0::2] + self.fit[1::2])
+        self.hit2[self.sure2] = self.p2 + (off2 >> 5)
+        self.hit1[self.sure1] = self.p1 + (off1 >> 5)
+        for table, where, held, named in ((self.after2, self.at2, self.held2, self.id2), (self.after1, self.at1, self.held1, self.id1)):
+            # a hit is surer by one, a miss less sure by half, and what is not sure gives way
+            sure = held & 7
+            table[where] = np.where(ids == named, held + (sure < 7), np.where(sure > 1, held - (sure >> 1), (ids << 3) + 1))
+        self.mark = (ids * 40503 + self.before[:n]) >> 3
+        self.before, self.at1 = ids * 30011, at
+
+
+def _listed(ids: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The number of distinct ids of each block, their lists, and the ids as places in them, one column a block.
+
+    A list is written as the gaps between its ids, a byte each; longer gaps follow as 16-bit integers."""
+    lanes = -(-len(ids) // BLOCK)
+    seen, place = np.zeros(1 << 16, bool), np.zeros(1 << 16, np.uint16)
+    sizes, lists, sheet = np.zeros(lanes, np.int64), [], np.zeros((lanes, BLOCK), np.uint16)
+    for k in range(lanes):
+        own = ids[k * BLOCK : (k + 1) * BLOCK]
+        seen[own] = True
+        known = np.flatnonzero(seen)
+        seen[known] = False
+        place[known] = np.arange(len(known))
+        sheet[k, : len(own)] = place[own]
+        gaps = np.diff(known, prepend=0)
+        sizes[k] = len(known)
+        lists.append(np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[gaps >= 255].astype("<u2").tobytes())
+    return sizes, lists, np.ascontiguousarray(sheet.T)
+
+
+def _steps(model: _Model, steps: np.ndarray, count: int) -> Iterator[tuple[int, int]]:
+    """(step, lanes with an id there): only the last block may be shorter. Draws the model's order 0 when due."""
+    lanes, drawn = steps.shape[1], 0
+    tail = count - (lanes - 1) * BLOCK
+    for step in range(BLOCK if lanes > 1 else tail):
+        n = lanes if step < tail else lanes - 1
+        if step == model.next:
+            model.draw(steps[drawn:step, :n], step)
+            drawn = step
+        yield step, n
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
-    """Up to LANES * BLOCK ids as blocks: count, lanes, then CRC32 and words of each block, then the words."""
+    """Up to LANES * BLOCK ids as blocks: count and lanes; CRC32, bytes, coded words and distinct ids of each; the blocks."""
     count = len(ids)
-    if count and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids must be below 65536")
-    lanes, block = _shape(count)
     if not count:
         return struct.pack("<II", 0, 0)
-    sheet = np.zeros(lanes * block, np.uint16)
-    sheet[:count] = ids
-    steps = np.ascontiguousarray(sheet.reshape(lanes, block).T)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _M48, np.uint64)
-    out, used = np.zeros((lanes, 2 * block + 4), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(n: int, start: np.ndarray, size: np.ndarray, shift: np.ndarray | np.uint64, which: np.ndarray | None = None) -> None:
-        where = slice(0, n) if which is None else which
-        part = span[where] >> shift
-        lo, sp = low[where] + part * start, part * size
-        over = np.flatnonzero(lo > _M48)
-        if len(over):
+    if int(ids.max()) >= 1 << 16:
+        raise ValueError("ids must be below 65536")
+    sizes, lists, steps = _listed(ids.astype(np.int64))
+    lanes = len(sizes)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
+    out = np.zeros((2 * BLOCK + 8) * lanes, np.uint32)  # a row for each word of all lanes: lanes go on at about the same rate
+    at, model = np.arange(lanes), _Model(sizes, False)
+    for step, n in _steps(model, steps, count):
+        own = steps[step, :n].astype(np.int64)
+        end2, end1, rest = model.look(n)
+        is2 = own == model.id2
+        is1 = (own == model.id1) > is2
+        place = model.base[:n] + own
+        begin, size = model.share(place, is2, is1, end2, end1, rest)
+        part = span[:n] >> _TOTAL
+        lo, sp = low[:n] + part * begin, part * size
+        over = (lo > _M48).nonzero()[0]
+        if len(over):  # a word may hold a carry until all is written
             lo[over] &= _M48
-            lane = over if which is None else which[over]
-            at = used[lane] - 1
-            while len(lane):
-                out[lane, at] += np.uint16(1)
-                more = out[lane, at] == 0
-                lane, at = lane[more], at[more] - 1
-        small = np.flatnonzero(sp < np.uint64(1 << 32))
-        if len(small):
-            lane = small if which is None else which[small]
-            out[lane, used[lane]] = lo[small] >> np.uint64(32)
-            used[lane] += 1
-            lo[small] = (lo[small] << np.uint64(16)) & _M48
-            sp[small] <<= np.uint64(16)
-        low[where], span[where] = lo, sp
-
-    model = _Mixer(lanes)
-    for step in range(block):
-        n = _active(count, lanes, block, step)
-        if not n:
-            break
-        now = steps[step, :n]
-        order2, order1, cdf = model.look(n)
-        width = _WIDTH[now]
-        kind = np.where(now == order2, 0, np.where(now == order1, 1, width - 6))
-        lane = model.lane[:n]
-        start = np.where(kind > 0, cdf[lane, np.maximum(kind - 1, 0)], 0)
-        end = np.where(kind < CLASSES - 1, cdf[lane, np.minimum(kind, CLASSES - 2)], _ONE)
-        put(n, start.astype(np.uint64), (end - start).astype(np.uint64), np.uint64(15))
-        new = np.flatnonzero(kind > 1)
-        if len(new):
-            bits = np.where(width[new] > 8, width[new] - 1, 8)
-            rest = now[new].astype(np.int64) & ((1 << bits) - 1)
-            put(n, rest.astype(np.uint64), np.uint64(1), bits.astype(np.uint64), new)
-        model.learn(now, kind)
+            out[at[over] - lanes] += np.uint32(1)
+        small = (sp < _LEAST).nonzero()[0]
+        while len(small):
+            where, bits, wide = at[small], lo[small], sp[small] << 16
+            out[where] = bits >> 32
+            at[small] = where + lanes
+            lo[small], sp[small] = (bits << 16) & _M48, wide
+            small = small[wide < _LEAST]
+        low[:n], span[:n] = lo, sp
+        model.learn(own, place, is2, is1, step)
     for shift in (32, 16, 0):
-        out[model.lane, used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
-        used += 1
-    crcs = [zlib.crc32(sheet[a : min(a + block, count)].astype("<u4").tobytes()) for a in range(0, count, block)]
-    head = struct.pack("<II", count, lanes) + np.array(crcs, "<u4").tobytes() + used.astype("<u4").tobytes()
-    return head + b"".join(out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes))
+        out[at] = (low >> shift) & 0xFFFF
+        at += lanes
+    used = at // lanes
+    out = out[: int(used.max()) * lanes]
+    carry = np.flatnonzero(out > 0xFFFF)
+    while len(carry):
+        out[carry] &= np.uint32(0xFFFF)
+        carry -= lanes
+        out[carry] += np.uint32(1)
+        carry = carry[out[carry] > 0xFFFF]
+    out = np.ascontiguousarray(out.astype("<u2").reshape(-1, lanes).T)
+    blocks = [known + row[:n].tobytes() for known, row, n in zip(lists, out, used.tolist())]
+    crcs = [zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, count, BLOCK)]
+    heads = [np.array(x, "<u4").tobytes() for x in (crcs, list(map(len, blocks)), used, sizes)]
+    return b"".join([struct.pack("<II", count, lanes), *heads, *blocks])
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
     count, lanes = struct.unpack_from("<II", data)
     if not count:
         return np.zeros(0, np.uint32)
-    shape = _shape(count)
-    if shape[0] != lanes:
+    if lanes != -(-count // BLOCK):
         raise ValueError("damaged block header")
-    block = shape[1]
-    crcs, used = np.frombuffer(data, "<u4", lanes, 8), np.frombuffer(data, "<u4", lanes, 8 + 4 * lanes).astype(np.int64)
-    words = np.zeros(int(used.sum()) + 4, np.uint16)
-    words[:-4] = np.frombuffer(data, "<u2", int(used.sum()), 8 + 8 * lanes)
-    at = np.cumsum(used) - used
-    code = (words[at].astype(np.uint64) << np.uint64(32)) | (words[at + 1].astype(np.uint64) << np.uint64(16)) | words[at + 2]
-    at += 3
-    span = np.full(lanes, _M48, np.uint64)
-
-    def take(co: np.ndarray, sp: np.ndarray, lane: np.ndarray) -> None:
-        small = np.flatnonzero(sp < np.uint64(1 << 32))
-        if len(small):
-            own = lane[small]
-            co[small] = (co[small] << np.uint64(16)) | words[at[own]]
-            at[own] += 1
-            sp[small] <<= np.uint64(16)
-        code[lane], span[lane] = co, sp
-
-    model, sheet = _Mixer(lanes), np.zeros((block, lanes), np.uint16)
-    for step in range(block):
-        n = _active(count, lanes, block, step)
-        if not n:
-            break
-        order2, order1, cdf = model.look(n)
-        lane = model.lane[:n]
-        part = span[:n] >> np.uint64(15)
-        value = np.minimum(code[:n] // part, np.uint64(_ONE - 1)).astype(np.int64)
-        kind = (cdf <= value[:, None]).sum(1)
-        start = np.where(kind > 0, cdf[lane, np.maximum(kind - 1, 0)], 0)
-        end = np.where(kind < CLASSES - 1, cdf[lane, np.minimum(kind, CLASSES - 2)], _ONE)
-        take(code[:n] - part * start.astype(np.uint64), part * (end - start).astype(np.uint64), lane)
-        now = np.where(kind == 0, order2, order1)
-        new = np.flatnonzero(kind > 1)
-        if len(new):
-            width = kind[new] + 6
-            bits = np.where(width > 8, width - 1, 8).astype(np.uint64)
-            part = span[new] >> bits
-            rest = np.minimum(code[new] // part, (np.uint64(1) << bits) - np.uint64(1))
-            take(code[new] - part * rest, part, new)
-            now[new] = rest + np.where(width > 8, 1 << bits.astype(np.int64), 0).astype(np.uint64)
-        sheet[step, :n] = now
-        model.learn(now, kind)
-    ids = np.ascontiguousarray(sheet.T).reshape(-1)[:count].astype("<u4")
-    for k, a in enumerate(range(0, count, block)):
-        if zlib.crc32(ids[a : a + block].tobytes()) != crcs[k]:
+    crcs, size, used, sizes = np.frombuffer(data, "<u4", 4 * lanes, 8).reshape(4, lanes).astype(np.int64)
+    ends = 8 + 16 * lanes + np.cumsum(size)
+    lists, words = [], np.zeros((lanes, int(used.max()) + 1), np.uint16)
+    for k, b in enumerate(ends.tolist()):
+        block = data[b - int(size[k]) : b]
+        gaps = np.frombuffer(block, np.uint8, int(sizes[k])).astype(np.int64)
+        wide = np.flatnonzero(gaps == 255)
+        if len(block) != len(gaps) + 2 * (len(wide) + int(used[k])):
+            raise ValueError(f"block {k} is damaged")
+        gaps[wide] = np.frombuffer(block, "<u2", len(wide), len(gaps))
+        lists.append(np.cumsum(gaps))
+        words[k, : int(used[k])] = np.frombuffer(block, "<u2", int(used[k]), len(gaps) + 2 * len(wide))
+    words = np.ascontiguousarray(words.T)
+    code = words[0].astype(np.int64) << 32 | words[1].astype(np.int64) << 16 | words[2]
+    words, at = words.ravel(), np.arange(lanes) + 3 * lanes
+    span, steps, model = np.full(lanes, _M48, np.int64), np.zeros((BLOCK, lanes), np.uint16), _Model(sizes, True)
+    for step, n in _steps(model, steps, count):
+        end2, end1, rest = model.look(n)
+        part = span[:n] >> _TOTAL
+        # quotients are below 2**26 and dividends below 2**48, so the doubles' floors are exact
+        value = np.minimum((code[:n] / part).astype(np.int64), (1 << _TOTAL) - 1)
+        is2 = value < end2
+        is1 = (value < end1) > is2
+        slot = (np.maximum(value - end1, 0) / rest).astype(np.int64) + model.slots[:n]
+        own = np.where(is2, model.id2, np.where(is1, model.id1, model.symbol.take(slot)))
+        place = model.base[:n] + own
+        begin, size = model.share(place, is2, is1, end2, end1, rest)
+        co, sp = code[:n] - part * begin, part * size
+        small = (sp < _LEAST).nonzero()[0]
+        while len(small):
+            where, wide = at[small], sp[small] << 16
+            co[small] = co[small] << 16 | words.take(where, mode="clip")
+            at[small], sp[small] = where + lanes, wide
+            small = small[wide < _LEAST]
+        code[:n], span[:n] = co, sp
+        steps[step, :n] = own
+        model.learn(own, place, is2, is1, step)
+    ids = np.zeros(lanes * BLOCK, "<u4")
+    for k, (known, own) in enumerate(zip(lists, np.ascontiguousarray(steps.T))):
+        ids[k * BLOCK : (k + 1) * BLOCK] = known[own]
+        if zlib.crc32(ids[k * BLOCK : min(count, (k + 1) * BLOCK)].tobytes()) != crcs[k]:
             raise ValueError(f"block {k} is damaged")
-    return ids
+    return ids[:count]
 
 
 class WordIds:
-    """Encodes by the tokenizers library, one piece of a text between spaces or line feeds at a time, and remembers."""
+    """Encodes by the tokenizers library and remembers what each word gave.
+
+    A text of printable Latin letters and marks is lower-cased and cut by the tokenizer's own pattern, and its words are given
+    to the library's BPE model. Other texts are cut at spaces and line feeds, and what is not Latin goes through the whole library.
+    All texts go that way if the tokenizer's parts are not those this rests on, or the two ways differ on any single character."""
 
     KNOWN = 600_000
+    SPACE = r"\t\n\x0b\x0c\r\x20"
+    OTHER = re.compile(rf"[^!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f\u2010-\u2027\u20ac{SPACE}]|<\|")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": b""}
         self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("this vocabulary has no id of its own for the separator")
+        parts = json.loads(self.tokenizer.to_str())
+        before = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.latin = (
+            before == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed"
+            and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and parts["post_processor"] is None
+        )
+        if self.latin:
+            every = [chr(c) for c in range(0x2100) if not self.OTHER.match(chr(c))]
+            kinds = {k: "".join(re.escape(c) for c in every if unicodedata.category(c)[0] == k) for k in "LN"}
+            pattern = cuts[0]["pattern"]["Regex"].replace(r"\s", self.SPACE)
+            for k, c in kinds.items():
+                pattern = pattern.replace(rf"[\p{{{k}}}]", f"[{c}]").replace(rf"\p{{{k}}}", c)
+            self.cut = re.compile(pattern).findall
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+            self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+            tries = [*every, *(f"a{c}B1" for c in every), *(f"{c}'s{c}" for c in every)]
+            self.latin = [self.of_words(x) for x in tries] == [self.ids(x) for x in tries]
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_words(self, text: str) -> bytes:
+        words = self.cut(text.lower())
+        try:
+            return b"".join(map(self.words.get, words))
+        except TypeError:  # some are new
+            if len(self.words) > self.KNOWN:
+                self.words.clear()
+            known, model = self.words, self.tokenizer.model
+            for w in words:
+                if w not in known:
+                    found = model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))
+                    known[w] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
+            return b"".join(map(known.__getitem__, words))
+
+    def of_pieces(self, text: str) -> bytes:
+        pieces = text.replace("\n", " ").split(" ")
+        new = [p for p in set(pieces) if p not in self.known]
+        if new:
+            if len(self.known) > self.KNOWN:
+                self.known, new = {"": b""}, [p for p in set(pieces) if p]
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.KNOWN:
-            self.known = {"": b""}
-        plain = [p for p in pieces if "\x00" not in p]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" \x00 ".join(some), add_special_tokens=False).ids, "<u4")
+        rest = []
+        for p in pieces:
+            if self.latin and not self.OTHER.search(p):
+                self.known[p] = self.of_words(p)
+            elif "\x00" in p:
+                self.known[p] = self.ids(p)
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            ids = np.frombuffer(self.ids(" \x00 ".join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(some) - 1:
                 raise ValueError("the separator is not unique")
             raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts, ends))
-        for p in pieces:
-            if "\x00" in p:
-                self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        every = set(chain.from_iterable(split))
-        new = every.difference(self.known)
-        if new:
-            self.learn(list(every - {""} if len(self.known) + len(new) > self.KNOWN else new))
-        get, last = self.known.__getitem__, np.uint32(end).tobytes()
-        return [np.frombuffer(b"".join(map(get, s)) + last, "<u4") for s in split]
+        last, other = np.uint32(end).tobytes(), self.OTHER.search
+        found = (self.of_words(t) if self.latin and not other(t) else self.of_pieces(t) for t in (t or "" for t in texts))
+        return [np.frombuffer(x + last, "<u4") for x in found]
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -277,7 +361,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(max(1, -(-total // range_bytes)))
-    rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows of equal doc_id and text are alike, so that any of them may go to either of two files
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
     types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     names = [x.split(" ")[0] for x in MANIFEST.split(", ")]
 
@@ -306,7 +392,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
             for key, ids in zip(doc_ids, _TOKENIZERS[tokenizer].encode(batch.column(1).to_pylist(), end)):
                 if file is None:
                     file, first = store.create(f".{name}.tmp"), key
-                    file.write(b"IDF1")
+                    file.write(b"IDF2")
                 keys.append(key)
                 lists.append(ids)
                 docs_, total_, held = docs_ + 1, total_ + len(ids), held + len(ids)
@@ -326,7 +412,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
 
 def documents(stream) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a file, in its order."""
-    if stream.read(4) != b"IDF1":
+    if stream.read(4) != b"IDF2":
         raise ValueError("not a file of ids")
     while head := stream.read(16):
         n, groups, _ = struct.unpack("<IIQ", head)
