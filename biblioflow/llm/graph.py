@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating stars over DataFrames.
 
 Each round points every node's larger (then smaller) neighbours at the least id next to it. The number of
-rounds grows with the logarithm of the longest chain. Minima are aggregated before the shuffle, so a node that
-a third of all links touch costs no task more than its share, and nothing is gathered on the driver.
+rounds grows with the logarithm of the longest chain. Minima are aggregated before the shuffle, and written before they
+are joined again: a join of two plain shuffles can be split, so a node that a third of all links touch costs no
+task more than its share. Nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(saved(_least(both), "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.where("u <> v").distinct(), "large")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         now = saved(small.where("u <> v").distinct(), "links")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -15,8 +15,8 @@ The pipeline's stage asks for the Jaccard similarity of the shingle sets itself:
 exact similarity is then computed, in the same rounds of leaders.
 
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); a null doc_id keeps its row and gets
-the component of its fingerprint. Repeated rows stay as rows. An empty table gives an empty result. Extra columns
-are ignored.
+the component of its fingerprint, which is the least doc_id that is not null, and null if there is none. Repeated rows
+stay as rows. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ PLAN_SAMPLE = 2048
 PROBE_COST = 10
 #: One in so many fingerprints leads in each round; the last round has all.
 LEADERS = (4096, 64, 1)
+#: The same where only a part of a group's pairs link, so that a denser sample is worth taking only of what the last one left.
+FINE_LEADERS = (4096, 1024, 256, 64, 8, 1)
 #: The pipeline's stage: the least Jaccard similarity of near copies, as a fraction, and the bands of least hashes that find them.
 SHARE = (4, 5)
 ROWS, BANDS = 6, 24
@@ -184,9 +186,13 @@ def _links(nodes: DataFrame, parts: list[tuple[int, list[int]]], leaders: int, n
 
 def near_groups(prints: DataFrame, max_bits: int = 4, check: tuple[str, int] | None = None, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """Distinct fingerprints of (doc_id, f0[, f1]) -> (f0[, f1], label): label is the least doc_id that links of at most
-    max_bits differing bits of f0 reach. check=("f1", n) also asks for at most n differing bits in f0 and f1 together."""
+    max_bits differing bits of f0 reach, or null if all of theirs are null. check=("f1", n) also asks for at most n differing
+    bits in f0 and f1 together."""
     own = [c for c in prints.columns if c != "doc_id"]
-    nodes = saved(prints.groupBy(*own).agg(F.min(F.coalesce("doc_id", F.lit(-(2**63) + 1))).alias("label")), "nodes")
+    # while groups grow they go by a fingerprint of theirs, which is never null
+    name = F.col("f0") if own == ["f0"] else F.xxhash64(*own)
+    first = saved(prints.groupBy(*own).agg(F.min("doc_id").alias("first")).withColumn("label", name), "nodes")
+    nodes = first.select(*own, "label")
     count = nodes.count()
     sample = np.array([r[0] for r in nodes.select("f0").orderBy(F.xxhash64("f0"), "f0").limit(PLAN_SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, count, max_bits)
@@ -200,7 +206,9 @@ def near_groups(prints: DataFrame, max_bits: int = 4, check: tuple[str, int] | N
             continue
         merged = components(links).withColumnRenamed("id", "label")
         nodes = saved(nodes.join(merged, "label", "left").select(*own, F.coalesce("component", "label").alias("label")), "nodes")
-    return nodes
+    both = saved(nodes.join(first.drop("label"), own), "nodes")
+    least = saved(both.groupBy("label").agg(F.min("first").alias("least")), "least")
+    return both.join(least, "label").select(*own, F.col("least").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -234,17 +242,23 @@ def _set_id(own: np.ndarray) -> int:
 
 
 def bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text, id, n, keys) of every row: a hash of the text, a hash of its shingle set, the set's size and band keys."""
+    """(doc_id, mark, other, id, n, keys) of every row: hashes of the text and of the other columns, then a hash of the text's
+    shingle set, the set's size and band keys."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            sets = [shingle_set(t, shingle) for t in batch.column(3).to_pylist()]
             keys = minima(sets).view(np.int64)
             cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["doc_id", "mark", "other", "id", "n", "keys"])
 
-    own = docs.select(F.col("doc_id").cast("long"), _text_hash(), "text")
-    return own.mapInArrow(run, "doc_id long, text long, id long, n int, keys array<long>")
+    return docs.select(*_identity(docs), "text").mapInArrow(run, "doc_id long, mark long, other long, id long, n int, keys array<long>")
+
+
+def _identity(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: doc_id, and hashes of the text and of the other columns (maps, which have no hash, left out)."""
+    other = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    return [F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("mark"), (F.xxhash64(*other) if other else F.lit(0).cast("long")).alias("other")]
 
 
 def _text_hash() -> Column:
@@ -264,26 +278,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return some.select("text").mapInArrow(run, "id long, own array<long>")
 
 
-def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
+def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tuple[int, ...] = FINE_LEADERS) -> DataFrame:
     """(id, label) of the shingle sets of bands() that met another: label is the least id that links of a Jaccard similarity of
     SHARE or more reach. Sets meet under a shared band key, and every met pair is held against its exact similarity."""
     met = prints.groupBy("id", "n").agg(F.first("keys").alias("keys")).select("id", "n", F.explode("keys").alias("key"))
     met = saved(met, "bands")
-    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    shared = saved(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
     met = saved(met.join(shared, "key").select("key", "id", "n", F.col("id").alias("label")), "shared")
-    wanted = prints.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("hash")).select("hash")
+    wanted = prints.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("mark").alias("hash")).select("hash")
     sets = saved(_sets(docs, wanted, shingle), "sets")
     times, of = SHARE
     for every in leaders:
-        # a key whose sets are all in one group has nothing left to link
-        mixed = met.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        open_ = saved(met.join(mixed, "key", "left_semi"), "open")
-        a, b = [open_.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "label")]) for s in "ab"]
-        if every > 1:
-            a = a.where(F.pmod(F.xxhash64("a_id"), F.lit(every)) == 0)
-        new = F.col("a_label") < F.col("b_label") if every == 1 else F.col("a_label") != F.col("b_label")
+        # a key whose sets are all in one group has nothing left to link; in the others some set of a pair is not of the commonest group
+        held = met.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+        mixed = saved(held.agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("c", "label")).alias("most")).where("groups > 1").select("key", F.col("most.label").alias("most")), "mixed")
+        open_ = saved(met.join(mixed, "key"), "open")
+        a, b = [open_.select("key", "most", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "label")]) for s in "ab"]
+        a = a.where(F.pmod(F.xxhash64("a_id"), F.lit(every)) == 0) if every > 1 else a.where("a_label <> most")
         sizes = of * F.least("a_n", "b_n") >= times * F.greatest("a_n", "b_n")
-        pairs = saved(a.join(b, "key").where(new & sizes).select("a_id", "b_id", "a_n", "b_n", "a_label", "b_label").distinct(), "pairs")
+        pairs = a.drop("most").join(b.drop("most"), "key").where((F.col("a_label") != F.col("b_label")) & sizes)
+        turned = F.col("a_id") > F.col("b_id")  # each pair once, whichever way it was met
+        both = [F.when(turned, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for c in ("id", "n", "label") for x, y in ("ab", "ba")]
+        pairs = saved(pairs.select(*both).distinct(), "pairs")
         both = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("own").alias("a_own")), "a_id")
         both = both.join(sets.select(F.col("id").alias("b_id"), F.col("own").alias("b_own")), "b_id")
         common = F.size(F.array_intersect("a_own", "b_own"))
@@ -293,21 +309,25 @@ def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tu
             continue
         merged = components(links).withColumnRenamed("id", "label")
         met = saved(met.join(merged, "label", "left").select("key", "id", "n", F.coalesce("component", "label").alias("label")), "shared")
-    return met.select("id", "label").distinct()
+    return saved(met.select("id", "label").distinct(), "groups")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Documents without those that have a near copy of smaller doc_id in their group; all columns stay. Of rows with
-    equal doc_id one stays; rows with a null doc_id all stay.
+    """The first document of each group of near copies, by doc_id (null after all others), then by hashes of the text and of
+    the other columns; all columns stay, and repeated rows are one. Texts without words are copies of each other.
 
     Near copies have a Jaccard similarity of SHARE or more of their sets of shingles (of five words), held exactly. A pair of
     similarity s meets with the chance 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8."""
     prints = saved(bands(docs, shingle), "prints")
     groups = similar_groups(docs, prints, shingle)
-    own = prints.join(groups, "id", "left").select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("doc_id"), F.coalesce("label", "id").alias("label"))
-    keep = own.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(keep.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    row = ["doc_id", "mark", "other"]
+    own = prints.join(groups, "id", "left").select(*row, F.coalesce("label", "id").alias("label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *row)).alias("first")
+    keep = own.groupBy("label").agg(first).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in row])
+    keys = [c.alias(f"__own_{n}") for c, n in zip(_identity(docs), row)]
+    same = F.col("__own_doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_mark") == F.col("__mark")) & (F.col("__own_other") == F.col("__other"))
+    kept = docs.select("*", *keys).join(keep, same, "left_semi").dropDuplicates([f"__own_{n}" for n in row])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,32 @@ import hashlib
 import numpy as np
 import pytest
 
-from biblioflow.llm import secrets, simhash, toxicity
+from biblioflow.llm import decontaminate, secrets, simhash, toxicity
 from tests.llm.test_operators import brute_components
 
 P = pytest.importorskip("public_tokenizers")
 
 
+def first_of_groups(ids, texts):
+    """The ids of which no smaller one is reached by links of a Jaccard similarity of five-word shingles of 0.8 or more."""
+    sets, parent, holders = {i: set(simhash.shingle_bytes(texts[i], 5)) for i in ids}, {i: i for i in ids}, {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in ids:
+        near = {j for p in sets[i] for j in holders.get(p, ())} if sets[i] else {j for j in parent if j < i and not sets[j]}
+        for j in near:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        for p in sets[i]:
+            holders.setdefault(p, []).append(i)
+    return [i for i in ids if find(i) == i]
+
+
 def test_pipeline(spark, sf_dir):
     import sentencepiece
 
@@ -21,24 +41,11 @@ def test_pipeline(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, toxicity.fit(docs, toxicity.training(labels))).collect()}
     left = sorted(i for i in data if score[i] < 0.3)
-    prints = {r["doc_id"]: (r["f0"], r["f1"]) for r in simhash.fingerprints(docs, 5, (42, 43)).collect()}
-    f = np.array([prints[i] for i in left], np.int64).view(np.uint64)
-    apart = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]).astype(int)
-    both = apart + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1])
-    parent = list(range(len(left)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in zip(*np.where((apart <= 8) & (both <= 20))):
-        a, b = find(i), find(j)
-        parent[max(a, b)] = min(a, b)
-    left = [i for k, i in enumerate(left) if find(k) == k]
+    left = first_of_groups(left, {i: data[i]["text"] for i in left})
     flat = lambda t: " ".join(t.encode().lower().decode().split())
     items = [flat(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    left = [i for i in left if not any(x in flat(data[i]["text"]) for x in items)]
+    held = lambda x, t: decontaminate.edit_distance_within(x, t) <= len(x) // 5
+    left = [i for i in left if not any(held(x, flat(data[i]["text"])) for x in items)]
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     want = {i: hashlib.sha256(",".join(map(str, model.encode(masked[i]))).encode()).hexdigest() for i in left}
