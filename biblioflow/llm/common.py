@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share. Only a local session may go without one; it then gets a folder in /tmp."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
-        return known.rstrip("/")
+        # a folder without a scheme is on the cluster's own file system, as Spark takes it
+        plain = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///") if known.startswith("/") else "file:///"
+        return (known if plain.startswith("file:") else plain.rstrip("/") + known).rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file:///tmp/biblioflow-checkpoints"

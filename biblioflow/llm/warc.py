@@ -1,38 +1,46 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are cut into shards of equal id width (so that a shard holds about ``shard_bytes`` of payload on average),
-sorted by id within each, and written as gzip members. A file is rolled when its compressed size passes
-``roll_bytes``. All headers and digests are made anew from the payload. A task writes under a temporary name that no
-other attempt uses and renames when the file is whole; only files that the manifest lists count, so a task that
-is run again, or twice at once, changes nothing. Neither the number of partitions nor their order shows in the files.
-
-Of records with equal payloads of at least ``min_revisit_bytes``, that with the least id is the response and the
-others revisit it; the payload is shuffled once, and for revisits not at all. Equal payloads are found by aggregating
-digests, so a payload that a third of all pages share costs no task more than its share.
-
-Nulls: a null payload or url is empty; rows with a null id come before all others in the first shard, and no record
-revisits them (they may revisit others). Repeated rows are written one after the other; those of the least id and url
-with a payload are all its responses. An empty table gives no files and an empty result. Extra columns are ignored.
+Records are sorted by id, then by a hash of the payload, and cut into shards where the payload bytes before a record pass
+a multiple of ``shard_bytes``; so shards are even however ids lie, and an id that a third of all records share is cut too.
+The sums come from a table of ids and sizes alone. A shard is written as gzip members in order; a file is rolled when its
+compressed size passes ``roll_bytes``. All headers and digests are made anew from the payload. A task writes under a
+temporary name that no other attempt uses and renames when the file is whole; only files that the manifest lists count,
+so a task that is run again, or twice at once, changes nothing, and what is left of broken attempts is removed when the
+manifest is there. Neither the number of partitions nor their order shows in the files.
+
+Of records with equal payloads of at least ``min_revisit_bytes``, that with the least id (then url) is the response and
+the others revisit it. Equal payloads are found by aggregating digests, which are written before they are joined: a
+join of two plain shuffles can be split, so a payload that a third of all pages share costs no task more than its share.
+
+Nulls: a null payload or url is empty; rows with a null id come before all others, and no record revisits them (they may
+revisit others). Of repeated rows the first is the response and the others revisit it. Control characters of a url are
+percent-encoded in its header, and the url itself is kept beside it. An empty table gives no files and an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblioflow.llm.common import new_path, read, saved
 
 _DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+MOST_SHARDS = 1 << 16
+_CONTROL = re.compile(r"[\x00-\x20\x7f]")
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string"
 
@@ -64,6 +72,18 @@ class Store:
             self.fs.move(f"{self.root}/{temporary}", f"{self.root}/{name}")
 
 
+    def sweep(self) -> None:
+        """Removes the temporary files of attempts that ended before their rename."""
+        if self.local:
+            names = [n for n in os.listdir(self.root) if n.endswith(".tmp")]
+        else:
+            from pyarrow import fs
+
+            names = [f.base_name for f in self.fs.get_file_info(fs.FileSelector(self.root)) if f.base_name.endswith(".tmp")]
+        for n in names:
+            os.remove(f"{self.root}/{n}") if self.local else self.fs.delete_file(f"{self.root}/{n}")
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -72,6 +92,14 @@ def record_id(key: int | None, url: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{key} {url}')}>"
 
 
+def _uri(name: str, url: str) -> list[str]:
+    """A url as a header; where it has characters that a header cannot hold, the url itself follows in base64."""
+    if not _CONTROL.search(url):
+        return [f"{name}: {url}"]
+    shown = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    return [f"{name}: {shown}", f"X-{name}-Base64: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}"]
+
+
 def record(key: int | None, url: str, payload: bytes | None, digest: str, size: int, refers: tuple[int, str] | None) -> bytes:
     """One WARC/1.1 record; refers: id and url of the response that a revisit refers to (its payload is not kept)."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -81,7 +109,7 @@ def record(key: int | None, url: str, payload: bytes | None, digest: str, size:
         f"WARC-Type: {'revisit' if refers else 'response'}",
         f"WARC-Record-ID: {record_id(key, url)}",
         f"WARC-Date: {_DATE}",
-        f"WARC-Target-URI: {url}",
+        *_uri("WARC-Target-URI", url),
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
@@ -89,7 +117,7 @@ def record(key: int | None, url: str, payload: bytes | None, digest: str, size:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {record_id(*refers)}",
-            f"WARC-Refers-To-Target-URI: {refers[1]}",
+            *_uri("WARC-Refers-To-Target-URI", refers[1]),
             f"WARC-Refers-To-Date: {_DATE}",
             f"X-Refers-To-Key: {refers[0]}",
         ]
@@ -128,6 +156,44 @@ class _Shard:
         self.file, self.number = None, self.number + 1
 
 
+def _mark() -> Column:
+    """The first 15 digits of the payload's hash as a number: the order of records of one id."""
+    return F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
+
+
+def _cuts(ids: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
+    """(not null, key, mark) of the first record of each shard but the first one, at most MOST_SHARDS of them. Bytes are summed
+    within ranges of records, then over the ranges' totals, so that any dealing into ranges gives the same cuts."""
+    order = ["some", "key", "mark"]
+    sums = ids.select(F.col("key").isNotNull().alias("some"), F.coalesce("key", F.lit(0)).alias("key"), _mark().alias("mark"), "size").groupBy(*order).agg(F.sum("size").alias("size"))
+    sums = saved(sums.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "warc-sums")
+    totals = {r["range"]: r["size"] for r in sums.groupBy("range").agg(F.sum("size").alias("size")).collect()}
+    total, before = 0, []
+    for k in sorted(totals):
+        before.append((k, total))
+        total += totals[k]
+    size = max(shard_bytes, -(-total // MOST_SHARDS))
+    if total <= size:
+        return []
+    start = F.broadcast(ids.sparkSession.createDataFrame(before, "range int, before long"))
+    run = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.join(start, "range").withColumn("shard", F.floor((F.col("before") + F.coalesce(run, F.lit(0))) / size))
+    firsts = sums.groupBy("shard").agg(F.min(F.struct(*order)).alias("first")).where("shard > 0").collect()
+    return sorted((r["first"]["some"], r["first"]["key"], r["first"]["mark"]) for r in firsts)
+
+
+def _shard(cuts: list[tuple[bool, int, int]]) -> Column:
+    """The number of cuts at or before a record. Only its id and hash go to Python, not the payload."""
+    if not cuts:
+        return F.lit(0)
+
+    @F.pandas_udf("int")
+    def of(key: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(cuts, (False, 0, m) if k is None else (True, int(k), m)) for k, m in zip(key.tolist(), mark.tolist())])
+
+    return of(F.col("key").cast("string"), _mark())  # as text: a long with nulls would become a double in pandas
+
+
 def write(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0,
     shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, level: int = 6,
@@ -138,38 +204,38 @@ def write(
         F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"),
         F.octet_length(body).cast("long").alias("size"), F.sha1(body).alias("sha"),
     )
-    low, high, total = rows.agg(F.min("key"), F.max("key"), F.sum("size")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    shards = max(1, min(high - low + 1, -(-(total or 0) // shard_bytes)))
-    width = -(-(high - low + 1) // shards)
-    shard = F.coalesce(F.floor((F.col("key") - low) / width), F.lit(0)).cast("int")
+    ids = saved(rows.select("key", "url", "sha", "size"), "warc-ids")
+    cuts = _cuts(ids, shard_bytes)
     first = F.min(F.struct("key", "url"))
-    firsts = rows.where((F.col("size") >= min_revisit_bytes) & F.col("key").isNotNull()).groupBy("sha", "size").agg(first.alias("first"))
-    ids = rows.select("key", "url", "sha", "size")
-    refers = ids.join(firsts, ["sha", "size"]).where(F.struct("key", "url") != F.col("first"))
+    firsts = ids.where((F.col("size") >= min_revisit_bytes) & F.col("key").isNotNull()).groupBy("sha", "size").agg(first.alias("first"))
+    refers = ids.distinct().join(saved(firsts, "warc-firsts"), ["sha", "size"])
     none = F.lit(None)
     refers = refers.select(
-        shard.alias("shard"), "key", "url", F.lit(0).alias("what"), "sha", "size", none.cast("binary").alias("body"),
+        _shard(cuts).alias("shard"), "key", "url", F.lit(0).alias("what"), "sha", "size", none.cast("binary").alias("body"),
         F.col("first.key").alias("r_key"), F.col("first.url").alias("r_url"),
     )
-    bodies = rows.select(shard.alias("shard"), "key", "url", F.lit(1).alias("what"), "sha", "size", "body", none.cast("long").alias("r_key"), none.cast("string").alias("r_url"))
-    ready = refers.unionByName(bodies).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "url", "sha", "what")
+    bodies = rows.select(_shard(cuts).alias("shard"), "key", "url", F.lit(1).alias("what"), "sha", "size", "body", none.cast("long").alias("r_key"), none.cast("string").alias("r_url"))
+    ready = refers.unionByName(bodies).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "sha", "url", "what")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         store, at, refer, out = Store(folder), None, None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["what"] == 0:
-                    refer = (r["key"], r["url"], r["sha"], r["r_key"], r["r_url"])
-                    continue
-                if at is None or at.shard != r["shard"]:
-                    if at:
-                        at.close()
-                        out += at.done
-                    at = _Shard(store, r["shard"], roll_bytes, level)
-                to = refer[3:] if refer and refer[:3] == (r["key"], r["url"], r["sha"]) else None
-                digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                at.add(record(r["key"], r["url"], r["body"], digest, r["size"], to))
+        for whole in batches:
+            for batch in (whole.slice(i, 16) for i in range(0, whole.num_rows, 16)):
+                for r in batch.to_pylist():
+                    own = r["key"], r["url"], r["sha"]
+                    if r["what"] == 0:
+                        # the first of repeated rows is the response itself, if they are the least
+                        refer, again = (own, (r["r_key"], r["r_url"])), own[:2] != (r["r_key"], r["r_url"])
+                        continue
+                    if at is None or at.shard != r["shard"]:
+                        if at:
+                            at.close()
+                            out += at.done
+                        at = _Shard(store, r["shard"], roll_bytes, level)
+                    known = refer is not None and refer[0] == own
+                    digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
+                    at.add(record(r["key"], r["url"], r["body"], digest, r["size"], refer[1] if known and again else None))
+                    again = True
         if at:
             at.close()
             out += at.done
@@ -179,6 +245,7 @@ def write(
 
     manifest = ready.mapInArrow(run, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    Store(folder).sweep()
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -207,14 +274,16 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
         raise ValueError(f"block digest of {fields['WARC-Record-ID']} differs")
-    own = fields["WARC-Type"] == "response"
+    own, url = fields["WARC-Type"] == "response", fields["WARC-Target-URI"]
+    if "X-WARC-Target-URI-Base64" in fields:
+        url = base64.b64decode(fields["X-WARC-Target-URI-Base64"]).decode("utf-8", "surrogatepass")
     payload = block.partition(b"\r\n\r\n")[2] if own else None
     digest = base32_sha1(payload) if own else fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if own and f"sha1:{digest}" != fields["WARC-Payload-Digest"]:
         raise ValueError(f"payload digest of {fields['WARC-Record-ID']} differs")
     number = lambda k: int(fields[k]) if k in fields else None
     return {
-        "page_id": number("X-Key"), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Key"),
+        "page_id": number("X-Key"), "url": url, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Key"),
         "payload_bytes": len(payload) if own else number("X-Payload-Length"), "payload_digest": digest, "payload": payload,
     }
 

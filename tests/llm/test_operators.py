@@ -65,6 +65,21 @@ def test_warc_round_trip(spark):
         assert r["payload"] == (body if lead == k else None)
 
 
+def test_warc_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, key long, sha string, body string"
+    data = [(1, "u", "a"), (1, "u", "a"), (1, "v", "a"), (2, "a\r\nX: y %20é", "b"), (None, "u", "a"), (None, None, None), (3, "u", None), (10**15, "w", "c" * 5000)]
+    data += [(7, f"u{k}", f"page {k} " * 50) for k in range(60)]  # one id for most pages
+    pages = spark.createDataFrame([(*r, 0, "s", "b") for r in data], schema)
+    folder = new_path(spark, "w")
+    manifest = warc.write(pages, folder, shard_bytes=4000)
+    got = warc.read_back(manifest, folder, True).collect()
+    assert manifest.select("shard").distinct().count() > 4 and len(got) == len(data)
+    assert sorted(((r["page_id"], r["url"]) for r in got), key=str) == sorted(((i, u or "") for i, u, _ in data), key=str)
+    same = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 1 and r["page_id"] != 2), key=str)
+    assert same == [(1, "u", "response", None), (1, "u", "revisit", 1), (1, "v", "revisit", 1), (None, "u", "revisit", 1)]
+    assert sorted((r["record_type"], r["refers_to"]) for r in got if not r["payload_bytes"]) == [("response", None), ("revisit", 3)]
+
+
 def test_warc_keeps_small_payloads(spark):
     pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     folder = new_path(spark, "w")
