@@ -6,12 +6,14 @@ Nothing here keeps state on a machine: intermediate tables go to the folder the
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts average a few kB, so a batch stays near ten MB.
@@ -53,6 +55,44 @@ def fold(column: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Ranges of rows are at most so many; beyond, each holds more bytes. What a task does with a range is a stream.
+MOST_RANGES = 1 << 16
+
+
+def byte_cuts(sizes: DataFrame, each: int) -> list[tuple[bool, int, int]]:
+    """Cuts of (key, mark, size) rows, in the order of key (null first), then mark, into ranges of about `each` bytes: (not
+    null, key, mark) of the first row of each range but the first one. Bytes are summed within ranges of rows, then over
+    the ranges' totals, so that any dealing into ranges gives the same cuts. Rows alike in key and mark are not parted."""
+    order = ["some", "key", "mark"]
+    rows = sizes.select(F.col("key").isNotNull().alias("some"), F.coalesce("key", F.lit(0)).alias("key"), "mark", "size")
+    sums = saved(rows.groupBy(*order).agg(F.sum("size").alias("size")).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "sums")
+    totals = sorted((r["range"], r["size"]) for r in sums.groupBy("range").agg(F.sum("size").alias("size")).collect())
+    total, before = 0, []
+    for k, size in totals:
+        before.append((k, total))
+        total += size
+    size = max(each, -(-total // MOST_RANGES))
+    if total <= size:
+        return []
+    start = F.broadcast(sizes.sparkSession.createDataFrame(before, "range int, before long"))
+    run = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.join(start, "range").withColumn("cut", F.floor((F.col("before") + F.coalesce(run, F.lit(0))) / size))
+    firsts = sums.groupBy("cut").agg(F.min(F.struct(*order)).alias("first")).where("cut > 0").collect()
+    return sorted((r["first"]["some"], r["first"]["key"], r["first"]["mark"]) for r in firsts)
+
+
+def cut_number(cuts: list[tuple[bool, int, int]], key: Column, mark: Column) -> Column:
+    """The number of cuts at or before a row. Only key and mark go to Python."""
+    if not cuts:
+        return F.lit(0)
+
+    @F.pandas_udf("int")
+    def of(key: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(cuts, (False, 0, m) if k is None else (True, int(k), m)) for k, m in zip(key.tolist(), mark.tolist())], dtype="int32")
+
+    return of(key.cast("string"), mark)  # as text: a long with nulls would become a double in pandas
+
+
 def text_blocks(ids: pa.Array, texts: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of rows; a null text is empty. Every row is in one block."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts

@@ -1,18 +1,18 @@
 """Document fingerprints by a threshold-scaled sketch of word shingles.
 
-A sketch keeps every distinct shingle hash below 2**64 / scale. Whether a hash is kept depends on nothing but the
-hash, so sketches of parts of a text merge by union, and the containment of a short text in a very long one can be
-estimated from the two sketches alone. Texts of at most ``SHORT`` distinct shingles are written at scale 1, where the
-sketch is the whole set; two sketches are compared at the coarser scale of the two.
+A sketch keeps every distinct shingle hash below 2**64 / scale, and the least one in any case. Whether a hash is kept depends
+on nothing but the hash (and on there being none below), so sketches of parts of a text merge into that of the whole, and
+the containment of a short text in a very long one can be estimated from the two sketches alone. All texts are sketched at
+one scale; sketches of different scales are compared and merged at the coarser one.
 
 As a string a sketch is "scale:base64 of the sorted hashes as little-endian unsigned 64-bit integers".
 
-The query also pairs each document with the next one by ascending doc_id. Documents are dealt into ranges of ids, the
-first document of each range also to the range before it, and each range is streamed in order, so a document only
-ever waits for one other.
+The query also pairs each document with the next one by ascending doc_id. Documents are dealt into ranges of ids, cut where
+the bytes before them pass a multiple of a fixed size, the first document of each range also to the range before it, and
+each range is streamed in order, so a document only ever waits for one other.
 
 Nulls: a null text is empty (no shingle; two empty sketches are alike by 1, an empty and another by 0); a null doc_id
-comes first. Repeated rows stay as rows, one after the other. A lone document is its own next one. An empty table
+comes first. Rows of equal doc_id come in the order of a hash of their text; repeated rows stay as rows, one after the other. A lone document is its own next one. An empty table
 gives an empty result. Extra columns are ignored.
 """
 
@@ -26,35 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflow.llm.common import read, shingles, word_hashes, words
+from biblioflow.llm.common import byte_cuts, cut_number, read, shingles, word_hashes, words
 
 SHINGLE = 5
-SCALE = 8
-SHORT = 128
-_FIRST = -(2**63)
+SCALE = 2
 
 
 def sketch(text: str | None, k: int = SHINGLE, scale: int = SCALE) -> tuple[int, np.ndarray]:
-    """(scale, sorted distinct hashes below 2**64 / scale)."""
+    """(scale, sorted distinct hashes below 2**64 / scale, or the least one)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     buf = np.frombuffer(raw, np.uint8)
     starts, ends, row = words(buf, np.array([0, len(buf)]))
     hashes, _ = shingles(word_hashes(buf, starts, ends), row, k)
-    if len(hashes) <= SHORT * scale:
-        all_ = np.unique(hashes)
-        return (1, all_) if len(all_) <= SHORT else (scale, _below(all_, scale))
-    kept = np.unique(_below(hashes, scale))
-    return scale, kept
+    return scale, np.unique(_below(hashes, scale))
 
 
 def _below(hashes: np.ndarray, scale: int) -> np.ndarray:
-    return hashes[hashes < np.uint64((1 << 64) // scale)] if scale > 1 else hashes
+    kept = hashes[hashes < np.uint64((1 << 64) // scale)] if scale > 1 else hashes
+    return kept if len(kept) or not len(hashes) else hashes.min(keepdims=True)
 
 
 def merged(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
     """The sketch of two texts' shingles together."""
     scale = max(a[0], b[0])
-    return scale, np.union1d(_below(a[1], scale), _below(b[1], scale))
+    return scale, _below(np.union1d(a[1], b[1]), scale)
 
 
 def _common(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, int, int]:
@@ -100,30 +95,20 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataF
 def with_next(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     """(part, spare, key, doc_id, text) in ranges of ascending doc_id, sorted within partitions. The row after a range's
     last one, which is the first row of the next range (of all, for the last), is there too, with spare = 1."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(_FIRST)))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(max(1, min(4000, total // range_bytes)))
-    cuts = []
-    if ranges > 1:
-        cuts = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []))
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("key")))
-    rows = rows.withColumn("part", part.cast("int"))
-    firsts = rows.groupBy("part").agg(F.min(F.struct("key", F.xxhash64("text").alias("mark"))).alias("f")).orderBy("part").collect()
-    before = {r["f"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    if not before:
-        return rows.select("part", F.lit(0).alias("spare"), "key", "doc_id", "text")
-    ids = [f["key"] for f in before]
-    spare = rows.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull() & F.lit(_FIRST in ids))
-    target = F.create_map(*[x for f, p in before.items() for x in (F.lit(f"{f['key']} {f['mark']}"), F.lit(p))])
-    spare = spare.withColumn("part", F.get(F.array(target[F.concat_ws(" ", F.col("key").cast("string"), F.xxhash64("text").cast("string"))]), F.lit(0)))
-    spare = spare.where(F.col("part").isNotNull())
-    cols = ["part", "spare", "key", "doc_id", "text"]
-    both = rows.withColumn("spare", F.lit(0)).select(*cols).unionByName(spare.withColumn("spare", F.lit(1)).select(*cols))
-    return both.repartitionById(max(r["part"] for r in firsts) + 1, F.col("part")).sortWithinPartitions("part", "spare", "key", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    sizes = rows.select("key", "mark", F.octet_length("text").cast("long").alias("size"))
+    cuts = byte_cuts(sizes, range_bytes)
+    least = sizes.agg(F.min(F.struct(F.col("key").isNotNull().alias("some"), F.coalesce("key", F.lit(0)).alias("key"), "mark"))).first()[0]
+    last, cols = len(cuts), ["part", "spare", "key", "doc_id", "text", "mark"]
+    own = rows.select(cut_number(cuts, F.col("key"), F.col("mark")).alias("part"), F.lit(0).alias("spare"), "key", F.col("key").alias("doc_id"), "text", "mark")
+    if least is None:
+        return own.select(cols[:-1])
+    firsts = [(last, *least), *((k, *c) for k, c in enumerate(cuts))]  # one row a range
+    small = docs.sparkSession.createDataFrame([(p, k if some else None, m) for p, some, k, m in firsts], "part int, f_key long, f_mark long")
+    same = F.col("key").eqNullSafe(F.col("f_key")) & (F.col("mark") == F.col("f_mark"))
+    spare = rows.join(F.broadcast(small), same).select("part", F.lit(1).alias("spare"), "key", F.col("key").alias("doc_id"), "text", "mark")
+    both = own.unionByName(spare).repartitionById(last + 1, F.col("part"))
+    return both.sortWithinPartitions("part", "spare", "key", "mark").select(cols[:-1])
 
 
 def edited_text(text: str, following: str) -> str:

@@ -21,7 +21,6 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import io
 import os
@@ -30,16 +29,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflow.llm.common import new_path, read, saved
+from biblioflow.llm.common import byte_cuts, cut_number, new_path, read, saved
 
 _DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-MOST_SHARDS = 1 << 16
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string"
@@ -161,39 +158,6 @@ def _mark() -> Column:
     return F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
 
 
-def _cuts(ids: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
-    """(not null, key, mark) of the first record of each shard but the first one, at most MOST_SHARDS of them. Bytes are summed
-    within ranges of records, then over the ranges' totals, so that any dealing into ranges gives the same cuts."""
-    order = ["some", "key", "mark"]
-    sums = ids.select(F.col("key").isNotNull().alias("some"), F.coalesce("key", F.lit(0)).alias("key"), _mark().alias("mark"), "size").groupBy(*order).agg(F.sum("size").alias("size"))
-    sums = saved(sums.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "warc-sums")
-    totals = {r["range"]: r["size"] for r in sums.groupBy("range").agg(F.sum("size").alias("size")).collect()}
-    total, before = 0, []
-    for k in sorted(totals):
-        before.append((k, total))
-        total += totals[k]
-    size = max(shard_bytes, -(-total // MOST_SHARDS))
-    if total <= size:
-        return []
-    start = F.broadcast(ids.sparkSession.createDataFrame(before, "range int, before long"))
-    run = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.join(start, "range").withColumn("shard", F.floor((F.col("before") + F.coalesce(run, F.lit(0))) / size))
-    firsts = sums.groupBy("shard").agg(F.min(F.struct(*order)).alias("first")).where("shard > 0").collect()
-    return sorted((r["first"]["some"], r["first"]["key"], r["first"]["mark"]) for r in firsts)
-
-
-def _shard(cuts: list[tuple[bool, int, int]]) -> Column:
-    """The number of cuts at or before a record. Only its id and hash go to Python, not the payload."""
-    if not cuts:
-        return F.lit(0)
-
-    @F.pandas_udf("int")
-    def of(key: pd.Series, mark: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(cuts, (False, 0, m) if k is None else (True, int(k), m)) for k, m in zip(key.tolist(), mark.tolist())])
-
-    return of(F.col("key").cast("string"), _mark())  # as text: a long with nulls would become a double in pandas
-
-
 def write(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0,
     shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, level: int = 6,
@@ -205,16 +169,16 @@ def write(
         F.octet_length(body).cast("long").alias("size"), F.sha1(body).alias("sha"),
     )
     ids = saved(rows.select("key", "url", "sha", "size"), "warc-ids")
-    cuts = _cuts(ids, shard_bytes)
+    cuts = byte_cuts(ids.select("key", _mark().alias("mark"), "size"), shard_bytes)
     first = F.min(F.struct("key", "url"))
     firsts = ids.where((F.col("size") >= min_revisit_bytes) & F.col("key").isNotNull()).groupBy("sha", "size").agg(first.alias("first"))
     refers = ids.distinct().join(saved(firsts, "warc-firsts"), ["sha", "size"])
     none = F.lit(None)
     refers = refers.select(
-        _shard(cuts).alias("shard"), "key", "url", F.lit(0).alias("what"), "sha", "size", none.cast("binary").alias("body"),
+        cut_number(cuts, F.col("key"), _mark()).alias("shard"), "key", "url", F.lit(0).alias("what"), "sha", "size", none.cast("binary").alias("body"),
         F.col("first.key").alias("r_key"), F.col("first.url").alias("r_url"),
     )
-    bodies = rows.select(_shard(cuts).alias("shard"), "key", "url", F.lit(1).alias("what"), "sha", "size", "body", none.cast("long").alias("r_key"), none.cast("string").alias("r_url"))
+    bodies = rows.select(cut_number(cuts, F.col("key"), _mark()).alias("shard"), "key", "url", F.lit(1).alias("what"), "sha", "size", "body", none.cast("long").alias("r_key"), none.cast("string").alias("r_url"))
     ready = refers.unionByName(bodies).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "sha", "url", "what")
 
     def run(batches) -> Iterator[pa.RecordBatch]:

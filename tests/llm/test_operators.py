@@ -107,8 +107,24 @@ def test_sketch_likeness(texts):
     long = " ".join(f"w{k}" for k in range(20000))
     part = " ".join(f"w{k}" for k in range(5000, 9000))
     assert sketches.containment(sketches.sketch(part), sketches.sketch(long)) == 1
-    halves = sketches.merged(sketches.sketch(long[:60000]), sketches.sketch(long[59000:]))
-    assert sketches.containment(sketches.sketch(long), halves) > 0.99
+    for text, a, b, scale in ((long, long[:60000], long[59900:], 2), (long, long[:60000], long[59900:], 64), ("a b c d e f g", "a b c d e", "b c d e f g", 64)):
+        cut = len(b) if text == long else 0
+        b = b[b.index(" ") + 1 :] if cut else b
+        a = a[: a.rindex(" ")] if cut else a
+        whole, both = sketches.sketch(text, scale=scale), sketches.merged(sketches.sketch(a, scale=scale), sketches.sketch(b, scale=scale))
+        assert whole[0] == both[0] and (whole[1] == both[1]).all()
+
+
+def brute_sketch(text, scale):
+    """Each shingle hashed by itself, as a text of its own."""
+    w, found = text.encode().split(), set()
+    for k in range(max(1, len(w) - 4) if w else 0):
+        piece = b" ".join(w[k : k + 5])
+        buf = np.frombuffer(piece, np.uint8)
+        starts, ends, row = words(buf, np.array([0, len(buf)]))
+        found.add(int(shingles(word_hashes(buf, starts, ends), row, 5)[0][0]))
+    kept = sorted(h for h in found if h < 2**64 // scale) or sorted(found)[:1]
+    return f"{scale}:{base64.b64encode(np.array(kept, '<u8').tobytes()).decode()}"
 
 
 def test_edits_across_ranges(spark, docs, texts, monkeypatch):
@@ -118,6 +134,9 @@ def test_edits_across_ranges(spark, docs, texts, monkeypatch):
     for k, (i, t) in enumerate(texts):
         e = sketches.edited_text(t, texts[(k + 1) % len(texts)][1])
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
+        follow = sketches.sketch(texts[(k + 1) % len(texts)][1])
+        assert got[i]["fingerprint"] == brute_sketch(t, sketches.SCALE) and got[i]["edited_fingerprint"] == brute_sketch(e, sketches.SCALE)
+        assert got[i]["near_next"] == sketches.likeness(sketches.sketch(t), follow) and got[i]["near_edited"] == sketches.likeness(sketches.sketch(t), sketches.sketch(e))
 
 
 def test_edits_of_odd_rows(odd):
