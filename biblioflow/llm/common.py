@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,11 +85,12 @@ def cut_number(cuts: list[tuple[bool, int, int]], key: Column, mark: Column) ->
     if not cuts:
         return F.lit(0)
 
-    @F.pandas_udf("int")
-    def of(key: pd.Series, mark: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(cuts, (False, 0, m) if k is None else (True, int(k), m)) for k, m in zip(key.tolist(), mark.tolist())], dtype="int32")
+    @F.arrow_udf("int")
+    def of(key: pa.Array, mark: pa.Array) -> pa.Array:
+        rows = zip(key.to_pylist(), mark.to_pylist())
+        return pa.array([bisect.bisect_right(cuts, (False, 0, m) if k is None else (True, k, m)) for k, m in rows], pa.int32())
 
-    return of(key.cast("string"), mark)  # as text: a long with nulls would become a double in pandas
+    return of(key, mark)
 
 
 def text_blocks(ids: pa.Array, texts: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -280,6 +280,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.bytes = bytes(b for b in range(256) if not self.OTHER.match(chr(b)))
         self.known: dict[str, bytes] = {"": b""}
         self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
         if len(self.mark) != 1:
@@ -308,17 +309,24 @@ class WordIds:
 
     def of_words(self, text: str) -> bytes:
         words = self.cut(text.lower())
+        found = list(map(self.words.get, words))
         try:
-            return b"".join(map(self.words.get, words))
+            return b"".join(found)
         except TypeError:  # some are new
             if len(self.words) > self.KNOWN:
                 self.words.clear()
+                found = [None] * len(words)
             known, model = self.words, self.tokenizer.model
-            for w in words:
-                if w not in known:
-                    found = model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))
-                    known[w] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
-            return b"".join(map(known.__getitem__, words))
+            for w in {w for w, x in zip(words, found) if x is None}:
+                ids = [x.id for x in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join([known[w] if x is None else x for w, x in zip(words, found)])
+
+    def is_latin(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, self.bytes) and "<|" not in text
+        except UnicodeEncodeError:
+            return not self.OTHER.search(text)
 
     def of_pieces(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
@@ -332,7 +340,7 @@ class WordIds:
     def learn(self, pieces: list[str]) -> None:
         rest = []
         for p in pieces:
-            if self.latin and not self.OTHER.search(p):
+            if self.latin and self.is_latin(p):
                 self.known[p] = self.of_words(p)
             elif "\x00" in p:
                 self.known[p] = self.ids(p)
@@ -348,8 +356,8 @@ class WordIds:
             self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts, ends))
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        last, other = np.uint32(end).tobytes(), self.OTHER.search
-        found = (self.of_words(t) if self.latin and not other(t) else self.of_pieces(t) for t in (t or "" for t in texts))
+        last = np.uint32(end).tobytes()
+        found = (self.of_words(t) if self.latin and self.is_latin(t) else self.of_pieces(t) for t in (t or "" for t in texts))
         return [np.frombuffer(x + last, "<u4") for x in found]
 
 

@@ -1,11 +1,12 @@
 """SentencePiece BPE encoding in vectorised merge rounds, and decoding.
 
-Texts fall into segments no piece of the vocabulary can span: a run of the space mark with what follows it, and each
-character that no longer piece has. The distinct segments of a batch that are not known yet lie in one flat symbol
-array; every round looks up the rank of all neighbouring pairs, takes the least of each segment (the leftmost of equal
-ones), merges there in all segments at once and compacts, until no pair is left. That is the order of merges of the
-sentencepiece library, one segment at a time: best score first, then the leftmost. Segments of over ``LONG`` characters
-go through a heap instead, which does the same merges without a round for each.
+Texts fall into segments no piece of the vocabulary can span: a run of the space mark with what follows it, cut again
+between characters that stand side by side in no piece. The distinct segments of a batch that are not known yet lie in one
+flat symbol array; every round looks up the rank of all neighbouring pairs, takes the least of each segment, merges all its
+places there at once in all segments (of overlapping ones the leftmost) and compacts, until no pair is left. That is the
+order of merges of the sentencepiece library, best score first, then the leftmost, as long as a merge makes no pair of its
+own rank or a better one. Which merges might is read from the vocabulary (in public ones those of white space and a few
+others); of these only the leftmost place is merged in a round.
 
 Nulls: a null text is empty, with no ids; a null doc_id keeps its row. Repeated rows stay as rows. An empty table gives
 an empty result. Extra columns are ignored by ``encode`` and the query.
@@ -14,7 +15,6 @@ an empty result. Extra columns are ignored by ``encode`` and the query.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from itertools import chain
 
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from biblioflow.llm.common import read
 
 MARK = "▁"
-LONG = 400
 #: Segments a worker remembers before it starts anew.
 KNOWN = 600_000
 _NONE = np.int64(1) << 60
+#: Texts that a normalizer, had the model one, would change.
+_PROBES = ["  a  b ", "ﬁ ½ Ａ①", "e\u0301 é ẛ", "\t\n\r\x0b x\u3000y\u00a0z", "\u200b\ufeff\u00ad", "ｶﾞ", "İIıß", " "]
 
 
 class Encoder:
@@ -71,9 +72,39 @@ class Encoder:
             self.keys[at], self.values[at] = key, r << 21 | i
         inner = {c for p in longer for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inner)
-        self.segments = re.compile(f"{MARK}+[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        cut = f"{MARK}+[^{MARK}{alone}]*|[{alone}]|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        # where runs of marks of every length up to some are pieces, all of one score, a long run is taken from its left in such lengths
+        runs = {len(p): m.get_score(i) for p, i in self.pieces.items() if len(p) > 1 and not p.strip(MARK)}
+        if runs and max(runs) == len(runs) + 1 and len(set(runs.values())) == 1:
+            cut = f"{MARK}{{{max(runs)}}}(?={MARK}{{{2 * max(runs)}}})|{cut}"
+        self.segments = re.compile(cut).findall
         self.shown = [str(i) for i in range(self.size)]
         self.known: dict[str, bytes] = {}  # the ids of a segment, as 32-bit integers
+        self.beside = np.zeros(1 << 20, bool)
+        codes = np.array([(ord(a), ord(b)) for p in longer for a, b in zip(p, p[1:])], np.int64).reshape(-1, 2)
+        self.beside[self._pair(codes[:, 0], codes[:, 1])] = True
+        self.slow = self._disorderly()
+        if self.encode(_PROBES) != m.encode(_PROBES):
+            raise ValueError("this model normalizes texts in a way that is not built")
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * 0x9E3779B1 + b * 0x85EBCA6B >> 9) & 0xFFFFF
+
+    def _disorderly(self) -> np.ndarray:
+        """Which ranks have a merge of a and b to ab that may open a pair (ab, x) or (x, ab) of its own rank or a better one,
+        where there is no pair (b, x) or (x, a) of better rank than ab, which would have been merged before."""
+        first: dict[int, list[tuple[int, int]]] = {}
+        second: dict[int, list[tuple[int, int]]] = {}
+        for (a, b), (r, _) in self.merge.items():
+            first.setdefault(a, []).append((b, r))
+            second.setdefault(b, []).append((a, r))
+        none, slow = (1 << 40, 0), np.zeros(self.size + 1, bool)
+        for (a, b), (r, new) in self.merge.items():
+            opened = [self.merge.get((b, x), none)[0] for x, q in first.get(new, ()) if q <= r]
+            opened += [self.merge.get((x, a), none)[0] for x, q in second.get(new, ()) if q <= r]
+            slow[r] |= any(q >= r for q in opened)
+        return slow
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank * 2**21 + merged symbol of each pair; _NONE if they don't merge."""
@@ -94,7 +125,10 @@ class Encoder:
         """The symbols that all segments end in, one after the other, and where each ends."""
         text = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, segments), np.int64, len(segments))
-        sym, of = self.symbol[text], np.repeat(np.arange(len(segments)), size)
+        owner = np.repeat(np.arange(len(segments)), size)
+        wide = text.astype(np.int64)
+        cut = np.r_[True, (owner[1:] != owner[:-1]) | ~self.beside[self._pair(wide[:-1], wide[1:])]][: len(text)]
+        sym, of, owner = self.symbol[text], np.cumsum(cut) - 1, owner[cut]
         done_sym, done_of = [], []
         while len(sym):
             rank = np.full(len(sym), _NONE)
@@ -112,39 +146,18 @@ class Encoder:
                 count, best = count[best != _NONE >> 21], best[best != _NONE >> 21]
                 if not len(sym):
                     break
-            first = np.r_[0, np.cumsum(count)[:-1]]
-            place = np.where(rank >> 21 == np.repeat(best, count), np.arange(len(sym)), len(sym))
-            at = np.minimum.reduceat(place, first)
+            at = np.flatnonzero(rank >> 21 == np.repeat(best, count))
+            # every other place of a run of overlapping ones; the first of a segment alone where more might be out of order
+            run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            once = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0
+            at = at[once & (~self.slow[rank[at] >> 21] | np.r_[True, of[at][1:] != of[at][:-1]])]
             sym[at] = rank[at] & ((1 << 21) - 1)
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             sym, of = sym[keep], of[keep]
         sym, of = np.concatenate(done_sym), np.concatenate(done_of)
         order = np.argsort(of, kind="stable")
-        return sym[order], np.cumsum(np.bincount(of, minlength=len(segments))).tolist()
-
-    def merged_long(self, segment: str) -> list[int]:
-        sym = [int(self.symbol[ord(c)]) for c in segment]
-        left, right = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
-        heap = []
-
-        def offer(a: int) -> None:
-            if a >= 0 and right[a] >= 0 and (found := self.merge.get((sym[a], sym[right[a]]))):
-                heapq.heappush(heap, (found[0], a, sym[a], sym[right[a]], found[1]))
-
-        for a in range(len(sym) - 1):
-            offer(a)
-        while heap:
-            _, a, x, y, new = heapq.heappop(heap)
-            b = right[a]
-            if sym[a] != x or b < 0 or sym[b] != y:
-                continue
-            sym[a], sym[b], right[a] = new, -1, right[b]
-            if right[a] >= 0:
-                left[right[a]] = a
-            offer(left[a])
-            offer(a)
-        return [s for s in sym if s >= 0]
+        return sym[order], np.cumsum(np.bincount(owner[of], minlength=len(segments))).tolist()
 
     def packed(self, syms: list[int]) -> bytes:
         ids = [i for x in syms for i in ([x] if x < self.size else [self.bytes[b] for b in chr(x - self.size).encode("utf-8", "surrogatepass")])]
@@ -153,10 +166,7 @@ class Encoder:
     def learn(self, segments: set[str]) -> None:
         if len(self.known) + len(segments) > KNOWN:
             self.known.clear()
-        short = [s for s in segments if len(s) <= LONG]
-        for s in segments:
-            if len(s) > LONG:
-                self.known[s] = self.packed(self.merged_long(s))
+        short = [s for s in segments if s]
         if not short:
             return
         sym, ends = self.merged(short)
