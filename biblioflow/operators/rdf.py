@@ -56,6 +56,22 @@ def dedupe(quads: DataFrame) -> DataFrame:
     return quads.groupBy("s", "p", "o", "g").agg(F.min("pos").alias("pos")).select("pos", "s", "p", "o", "g")
 
 
+def has_graph(quads: DataFrame, g: Column) -> DataFrame:
+    """One row: whether any statement is in the graph."""
+    return in_graph(quads, g).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def is_empty(quads: DataFrame) -> DataFrame:
+    """One row: whether there is no statement."""
+    return quads.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
+def sole_value(quads: DataFrame, *keys: str) -> DataFrame:
+    """(s, p, o) where all statements of a subject and predicate have one object."""
+    keys = keys or ("s", "p")
+    return quads.groupBy(*keys).agg(F.min_by("o", "pos").alias("o"), F.count_distinct("o").alias("n")).where("n = 1").drop("n")
+
+
 def in_graph(quads: DataFrame, g: Column) -> DataFrame:
     return quads.where(F.col("g").eqNullSafe(g))
 
@@ -103,18 +119,32 @@ def _escape_literal(s: Column) -> Column:
     return nested(s, [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")])
 
 
-def term_text(t: Column, label: Column | None = None) -> Column:
-    value = F.concat(F.lit('"'), _escape_literal(t["value"]), F.lit('"'))
+def _escape_canonical(s: Column) -> Column:
+    """The escapes of canonical N-Quads: named ones for \\b \\t \\n \\f \\r, and \\u00XX for other control characters and U+007F."""
+    others = [chr(c) for c in (*range(32), 127) if chr(c) not in "\b\t\n\f\r"]
+    marks = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
+    plain = nested(s, marks)
+    return F.when(s.rlike(r"[\x00-\x1f\x7f]"), nested(plain, [(c, f"\\u{ord(c):04X}") for c in others])).otherwise(plain)
+
+
+def term_text(t: Column, label: Column | None = None, canonical: bool = False) -> Column:
+    escape = _escape_canonical if canonical else _escape_literal
+    value = F.concat(F.lit('"'), escape(t["value"]), F.lit('"'))
     typed = F.when(t["lang"] != "", F.concat(value, F.lit("@"), t["lang"])).when(t["datatype"].isin("", schema.XSD + "string"), value)
     typed = typed.otherwise(F.concat(value, F.lit("^^<"), _escape_iri(t["datatype"]), F.lit(">")))
     return F.when(is_iri(t), F.concat(F.lit("<"), _escape_iri(t["value"]), F.lit(">"))).when(is_blank(t), F.concat(F.lit("_:"), t["value"] if label is None else label)).otherwise(typed)
 
 
-def to_nquads(quads: DataFrame) -> DataFrame:
+def to_nquads(quads: DataFrame, canonical: bool = False) -> DataFrame:
     """pos and the line of each statement; blank labels as they are."""
     c = F.col
     graph = F.when(c("g").isNull(), "").otherwise(F.concat(term_text(c("g")), F.lit(" ")))
-    return quads.select("pos", F.concat(term_text(c("s")), F.lit(" "), term_text(c("p")), F.lit(" "), term_text(c("o")), F.lit(" "), graph, F.lit(".")).alias("line"))
+    terms = [term_text(c(n), None, canonical) for n in ("s", "p", "o")]
+    return quads.select("pos", F.concat(*[x for t in terms for x in (t, F.lit(" "))], graph, F.lit(".")).alias("line"))
+
+
+#: Statements in a range of document order, in which blank nodes are numbered together.
+RANGE = 1 << 20
 
 
 def renumber_blanks(quads: DataFrame, scope: str | None = None) -> DataFrame:
@@ -124,21 +154,34 @@ def renumber_blanks(quads: DataFrame, scope: str | None = None) -> DataFrame:
     for k, name in enumerate(("s", "p", "o", "g")):
         own = quads.where(is_blank(F.col(name))).select(*keys, F.col(f"{name}.value").alias("label"), (F.col("pos") * 4 + k).alias("at"))
         mentions = own if mentions is None else mentions.unionByName(own)
-    firsts = mentions.groupBy(*keys, "label").agg(F.min("at").alias("at"))
-    names = firsts.withColumn("new", F.concat(F.lit("b"), F.row_number().over(Window.partitionBy(*keys).orderBy("at")).cast("string")))
-    for name in ("s", "p", "o", "g"):
-        own = names.select(*keys, F.col("label").alias("_label"), F.col("new").alias("_new"))
-        same = (F.when(is_blank(F.col(name)), F.col(f"{name}.value")) == F.col("_label"))
-        joined = quads.alias("q").join(own.alias("n"), [same] + [F.col(f"q.{k}") == F.col(f"n.{k}") for k in keys], "left")
-        new = F.when(F.col("_new").isNotNull(), F.col(f"q.{name}").withField("value", F.col("_new"))).otherwise(F.col(f"q.{name}"))
-        quads = joined.select(*[new.alias(c) if c == name else F.col(f"q.{c}").alias(c) for c in quads.columns])
+    firsts = mentions.groupBy(*keys, "label").agg(F.min("at").alias("at")).withColumn("range", F.floor(F.col("at") / (4 * RANGE)))
+    # nodes are numbered within ranges of document order; only the ranges' sizes are summed in one task a scope
+    sizes = firsts.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "range", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("at"))
+    names = firsts.withColumn("within", within).join(starts, [*keys, "range"])
+    names = names.select(*keys, "label", F.concat(F.lit("b"), (F.col("before") + F.col("within")).cast("string")).alias("new"))
+    return relabelled(quads, names, keys, ("s", "p", "o", "g"))
+
+
+def relabelled(quads: DataFrame, names: DataFrame, keys: list[str], terms: tuple[str, ...]) -> DataFrame:
+    """quads whose blank nodes take the names of (keys, label, new); others keep theirs."""
+    for name in terms:
+        own = names.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("label").alias("_label"), F.col("new").alias("_new"))
+        same = F.when(is_blank(F.col(name)), F.col(f"{name}.value")) == F.col("_label")
+        for k in keys:
+            same &= F.col(k) == F.col(f"_{k}")
+        new = F.when(F.col("_new").isNotNull(), F.col(name).withField("value", F.col("_new"))).otherwise(F.col(name))
+        quads = quads.join(own, same, "left").withColumn(name, new).select(*quads.columns)
     return quads
 
 
-_IRI_RE = r"<([^>]*)>"
-_BLANK_RE = r"_:([^\s<>\"]+?)\.*(?=[\s.]|\z)"
-_LITERAL_RE = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?'
-_LINE_RE = rf"^\s*(?:{_IRI_RE}|{_BLANK_RE})\s*{_IRI_RE}\s*(?:{_IRI_RE}|{_BLANK_RE}|{_LITERAL_RE})\s*(?:{_IRI_RE}|{_BLANK_RE})?"
+#: Repeats are possessive, and so loops in the matcher: a literal may be of any length.
+_IRI_RE = r"<[^>]*+>"
+_BLANK_RE = r"_:[^\s<>\".]++(?:\.++[^\s<>\".]++)*+"
+_LITERAL_RE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z]++(?:-[A-Za-z0-9]++)*+|\^\^<[^>]*+>)?+'
+_LINE_RE = rf"\A\s*+({_IRI_RE}|{_BLANK_RE})\s*+({_IRI_RE})\s*+({_IRI_RE}|{_BLANK_RE}|{_LITERAL_RE})\s*+({_IRI_RE}|{_BLANK_RE})?+"
 
 
 _TOKEN_RE = r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\)"
@@ -162,22 +205,28 @@ def _unescape(s: Column) -> Column:
 
 def parse_nquads(lines: DataFrame, line: str = "value", pos: str = "pos") -> DataFrame:
     """quads, with _error where a line is malformed; blank lines and comments are left out."""
-    rows = lines.where(~F.col(line).rlike(r"^\s*(#.*)?$"))
-    part = lambda k: F.regexp_extract(line, _LINE_RE, k)
-
-    def simple(a: int, b: int) -> Column:
-        return F.when(part(b) != "", blank(part(b))).otherwise(iri(_unescape(part(a))))
-
-    text = F.struct(
-        F.lit(schema.LITERAL).cast("tinyint").alias("kind"), _unescape(part(6)).alias("value"), part(7).alias("lang"),
-        F.when(part(7) != "", schema.RDF + "langString").when(part(8) != "", _unescape(part(8))).otherwise(schema.XSD + "string").alias("datatype"),
-    )
-    object_ = F.when(part(5) != "", blank(part(5))).when(part(4) != "", iri(_unescape(part(4)))).otherwise(text)
-    graph = F.when((part(9) != "") | (part(10) != ""), simple(9, 10))
-    ok = F.col(line).rlike(_LINE_RE)
+    text = F.trim(F.regexp_replace(F.col(line), r"[\r\n]+\z", ""))
+    rows = lines.where(~F.col(line).rlike(r"\A\s*+(?:#|\z)"))
+    # the line is matched once; a line feed, which no statement holds, parts what was found
+    found = F.when(text.contains("\n"), F.lit(None)).otherwise(F.split(F.regexp_replace(text, rf"(?s){_LINE_RE}.*+\z", "$1\n$2\n$3\n$4"), "\n", -1))
+    rows = rows.select("*", found.alias("_found"))
+    ok = F.coalesce(F.size("_found") == 4, F.lit(False))
+
+    def term(x: Column) -> Column:
+        suffix = F.substring_index(x, '"', -1)
+        value = _unescape(F.substring(x, F.lit(2), F.length(x) - F.length(suffix) - 2))
+        kind = F.when(suffix.startswith("@"), schema.RDF + "langString").when(suffix.startswith("^^<"), _unescape(F.substring(suffix, F.lit(4), F.length(suffix) - 4)))
+        text = F.struct(
+            F.lit(schema.LITERAL).cast("tinyint").alias("kind"), value.alias("value"),
+            F.when(suffix.startswith("@"), F.substring(suffix, 2, 1 << 20)).otherwise("").alias("lang"), kind.otherwise(schema.XSD + "string").alias("datatype"),
+        )
+        named = F.when(x.startswith("_:"), blank(F.substring(x, F.lit(3), F.length(x)))).otherwise(iri(_unescape(F.substring(x, F.lit(2), F.length(x) - 2))))
+        return F.when(x.startswith('"'), text).otherwise(named)
+
+    part = lambda k: F.get("_found", F.lit(k))
     return rows.select(
-        F.col(pos).alias("pos"), F.when(ok, simple(1, 2)).alias("s"), F.when(ok, iri(_unescape(part(3)))).alias("p"), F.when(ok, object_).alias("o"),
-        F.when(ok, graph).alias("g"), F.when(~ok, F.concat(F.lit("malformed line "), F.col(line))).alias("_error"),
+        F.col(pos).alias("pos"), *[F.when(ok, term(part(k))).alias(n) for k, n in enumerate(("s", "p", "o"))],
+        F.when(ok & (part(3) != ""), term(part(3))).alias("g"), F.when(~ok, F.concat(F.lit("malformed line "), F.col(line))).alias("_error"),
     )
 
 
@@ -200,22 +249,24 @@ def labels(hashes: DataFrame) -> DataFrame:
 
 
 def ties(hashes: DataFrame) -> DataFrame:
-    """(hash, n) of first-degree hashes that several blank nodes have; canonical() needs none."""
+    """(hash, n) of first-degree hashes that several blank nodes have."""
     return hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def canonical(quads: DataFrame) -> DataFrame:
-    """RDFC-1.0 for datasets whose blank nodes all have different first-degree hashes: (line) sorted, distinct, and labels c14n<n>.
+    """RDFC-1.0: the distinct canonical lines, sorted, with blank nodes as c14n<n>. Nodes whose first-degree hash is their own are
+    numbered by it; the others by the n-degree hashes of the parts of the graph that they make (``operators.canon``). Raises
+    ValueError where a part is beyond its budgets."""
+    from biblioflow.operators import canon
 
-    Ties need the n-degree rounds; a dataset that has any is reported by a hash of several nodes in ties()."""
-    named = labels(first_degree(quads))
-    out = quads
-    for name in ("s", "o", "g"):
-        own = named.select(F.col("label").alias("_label"), F.col("new").alias("_new"))
-        same = F.when(is_blank(F.col(name)), F.col(f"{name}.value")) == F.col("_label")
-        new = F.when(F.col("_new").isNotNull(), F.col(name).withField("value", F.col("_new"))).otherwise(F.col(name))
-        out = out.join(own, same, "left").withColumn(name, new).drop("_label", "_new")
-    return to_nquads(out).select("line").distinct()
+    quads = canon.checkpointed(quads.select("pos", "s", "p", "o", "g"))
+    hashes = canon.checkpointed(first_degree(quads))
+    many = ties(hashes).select("hash")
+    named = labels(hashes.join(many, "hash", "left_anti"))
+    if not many.isEmpty():
+        named = named.select("label", "new").unionByName(canon.tied(quads, hashes, many, named))
+    out = relabelled(quads, named.select("label", "new"), [], ("s", "o", "g"))
+    return to_nquads(out, canonical=True).select("line").distinct().orderBy("line")
 
 
 def first_degree(quads: DataFrame) -> DataFrame:
@@ -226,7 +277,8 @@ def first_degree(quads: DataFrame) -> DataFrame:
     )
     mark = lambda n: F.when(c(f"{n}.value") == c("label"), "a").otherwise("z")
     graph = F.when(c("g").isNull(), "").otherwise(F.concat(term_text(c("g"), mark("g")), F.lit(" ")))
-    line = F.concat(term_text(c("s"), mark("s")), F.lit(" "), term_text(c("p")), F.lit(" "), term_text(c("o"), mark("o")), F.lit(" "), graph, F.lit(".\n"))
+    term = lambda n: term_text(c(n), None if n == "p" else mark(n), canonical=True)
+    line = F.concat(*[x for n in ("s", "p", "o") for x in (term(n), F.lit(" "))], graph, F.lit(".\n"))
     return own.select("label", line.alias("line")).groupBy("label").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("hash"))
 
 

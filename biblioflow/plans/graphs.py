@@ -89,11 +89,18 @@ def nquads(spark, sf_dir):
     return rdf.to_nquads(_orders(spark, sf_dir))
 
 
-@query("s10_nquads_roundtrip", f"WITH {CTE} SELECT pos, {_LINE} AS line, '' AS error FROM q UNION ALL SELECT -o_orderkey, '', 'malformed line <broken ' || o_orderkey FROM orders")
+@query("s10_nquads_roundtrip", f"WITH {CTE} SELECT pos, {_LINE} AS line, '' AS error FROM q UNION ALL SELECT -o_orderkey, '', 'malformed line <broken ' || o_orderkey FROM orders UNION ALL SELECT -1000000000 - doc_id, '<{BASE}doc/' || doc_id || '> <{BASE}text> \"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '\" .', '' FROM documents")
 def nquads_roundtrip(spark, sf_dir):
     lines = rdf.to_nquads(_orders(spark, sf_dir)).withColumnRenamed("line", "value")
     bad = spark.read.parquet(f"{sf_dir}/orders.parquet")
     bad = bad.select((-F.col("o_orderkey")).alias("pos"), F.concat(F.lit("<broken "), F.col("o_orderkey").cast("string")).alias("value"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    none = F.lit(None).cast(schema.TERM)
+    docs = docs.select(
+        (F.lit(-1000000000) - F.col("doc_id")).alias("pos"), rdf.iri(F.concat(F.lit(BASE + "doc/"), F.col("doc_id").cast("string"))).alias("s"), rdf.iri(BASE + "text").alias("p"),
+        rdf.literal(F.col("text")).alias("o"), none.alias("g"),
+    )
+    lines = lines.unionByName(rdf.to_nquads(docs).withColumnRenamed("line", "value"))
     parsed = rdf.parse_nquads(lines.unionByName(bad))
     error = parsed.select("pos", F.lit("").alias("line"), F.col("_error").alias("error")).where("error is not null")
     good = rdf.to_nquads(parsed.where("_error is null")).withColumn("error", F.lit(""))
@@ -129,6 +136,33 @@ def first_degree_hashes(spark, sf_dir):
     return rdf.first_degree(_blanks(spark, sf_dir).drop("scope"))
 
 
+@query(
+    "g1_canonical",
+    f"""WITH n AS (SELECT c_custkey, ' <{BASE}name> "' || c_name || '" <{BASE}nation/' || c_nationkey || '> .' AS rest FROM customer)
+    SELECT '_:c14n' || (row_number() OVER (ORDER BY sha256('_:a' || rest || chr(10))) - 1) || rest AS line FROM n""",
+)
+def canonical(spark, sf_dir):
+    return rdf.canonical(_blanks(spark, sf_dir).drop("scope"))
+
+
+@query("f5_graphs", f"WITH {CTE} SELECT 1 AS k, count(*) > 0 AS answer FROM q WHERE g = '<{BASE}g/1>' UNION ALL SELECT 2, count(*) > 0 FROM q WHERE g = '<{BASE}g/none>' UNION ALL SELECT 3, count(*) = 0 FROM q UNION ALL SELECT 4, count(*) = 0 FROM q WHERE g = '<{BASE}g/none>'")
+def graphs_there(spark, sf_dir):
+    own = _orders(spark, sf_dir)
+    none = rdf.iri(BASE + "g/none")
+    asked = [rdf.has_graph(own, rdf.iri(BASE + "g/1")), rdf.has_graph(own, none), rdf.is_empty(own), rdf.is_empty(rdf.in_graph(own, none))]
+    out = None
+    for k, x in enumerate(asked, 1):
+        x = x.toDF("answer").select(F.lit(k).alias("k"), "answer")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("a11_sole_value", f"WITH {CTE} SELECT s, p, min(o) AS o FROM q GROUP BY s, p HAVING count(DISTINCT o) = 1")
+def sole_value(spark, sf_dir):
+    out = rdf.sole_value(_orders(spark, sf_dir))
+    return out.select(*[rdf.term_text(F.col(c)).alias(c) for c in ("s", "p", "o")])
+
+
 def _thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions and nations as SKOS concepts."""
     r, n = spark.read.parquet(f"{sf_dir}/region.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
