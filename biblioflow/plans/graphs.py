@@ -136,15 +136,6 @@ def first_degree_hashes(spark, sf_dir):
     return rdf.first_degree(_blanks(spark, sf_dir).drop("scope"))
 
 
-@query(
-    "g1_canonical",
-    f"""WITH n AS (SELECT c_custkey, ' <{BASE}name> "' || c_name || '" <{BASE}nation/' || c_nationkey || '> .' AS rest FROM customer)
-    SELECT '_:c14n' || (row_number() OVER (ORDER BY sha256('_:a' || rest || chr(10))) - 1) || rest AS line FROM n""",
-)
-def canonical(spark, sf_dir):
-    return rdf.canonical(_blanks(spark, sf_dir).drop("scope"))
-
-
 @query("f5_graphs", f"WITH {CTE} SELECT 1 AS k, count(*) > 0 AS answer FROM q WHERE g = '<{BASE}g/1>' UNION ALL SELECT 2, count(*) > 0 FROM q WHERE g = '<{BASE}g/none>' UNION ALL SELECT 3, count(*) = 0 FROM q UNION ALL SELECT 4, count(*) = 0 FROM q WHERE g = '<{BASE}g/none>'")
 def graphs_there(spark, sf_dir):
     own = _orders(spark, sf_dir)

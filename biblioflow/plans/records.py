@@ -369,6 +369,33 @@ def _x(v: str) -> str:
     return f"""replace(replace(replace(replace({v}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
 
 
+_PAIR = "(SELECT unnest(['iso2709', 'marcjson', 'marcxml', 'mrk']) AS source) a, (SELECT unnest(['iso2709', 'marcjson', 'marcxml', 'mrk']) AS target) b"
+
+
+@query(
+    "x14_convert",
+    f"""SELECT source, target, count(*) AS records, count(*) FILTER (WHERE error = '' OR (source <> 'iso2709' AND target <> 'iso2709')) AS same FROM ({_ISO}), {_PAIR} GROUP BY ALL""",
+)
+def convert_all(df):
+    """Each record's text in each format, read back and written in each format, against what it is written as at first. A record
+    that ISO 2709 cannot hold has no text to compare."""
+    from biblioflow.sources import convert
+
+    # lengths and sizes in a leader are those of the ISO 2709 form alone
+    plain = F.concat(F.lit("00000"), F.substring(L(), 6, 4), F.lit("a2200000"), F.substring(L(), 18, 3), F.lit("4500"))
+    own, out = df.select("_pos", plain.alias("leader"), _clean().alias("fields")), None
+    for name in convert.BOTH_WAYS:
+        own = own.withColumn(name, F.when(F.coalesce(codecs.iso_error(FS()), F.lit("")) == "", codecs.to_iso2709(L(), FS())) if name == "iso2709" else convert.FORMATS[name].write(L(), FS()))
+    for source in convert.BOTH_WAYS:
+        rows = own.select(*[F.col(n).alias(f"to_{n}") for n in convert.BOTH_WAYS], F.coalesce(F.col(source), F.lit("")).alias("raw"))
+        read = convert.decode(rows, "raw", source).withColumn("leader", plain)
+        pairs = [F.struct(F.lit(n).alias("target"), F.coalesce(convert.FORMATS[n].write(L(), FS()) == F.col(f"to_{n}"), F.lit(False)).alias("same")) for n in convert.BOTH_WAYS]
+        found = read.select(F.lit(source).alias("source"), F.explode(F.array(*pairs)).alias("x")).groupBy("source", "x.target")
+        found = found.agg(F.count(F.lit(1)).alias("records"), F.count_if("x.same").alias("same"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "k3_marcxml_encode",
     f"""SELECT r._pos, '<record><leader>' || leader || '</leader>' || string_agg(x, '' ORDER BY i) || '</record>' AS xml FROM rec r JOIN (
