@@ -40,11 +40,11 @@ PLAN_SAMPLE = 2048
 PROBE_COST = 10
 #: One in so many fingerprints leads in each round; the last round has all.
 LEADERS = (4096, 64, 1)
-#: The same where only a part of a group's pairs link, so that a denser sample is worth taking only of what the last one left.
-FINE_LEADERS = (4096, 1024, 256, 64, 8, 1)
 #: The pipeline's stage: the least Jaccard similarity of near copies, as a fraction, and the bands of least hashes that find them.
 SHARE = (4, 5)
 ROWS, BANDS = 6, 24
+#: Words of the parity sketch that is held beside each set.
+PARITY = 8
 _TIMES, _PLUS = np.random.default_rng(11).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(12).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -237,22 +237,30 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in pieces), np.uint64, len(pieces)))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit for each class of shingle hashes: whether the set has an odd number of them. The bits in which two sets' sketches
+    differ are never more than the shingles that only one of them has."""
+    odd = np.bincount((mix(own) >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _set_id(own: np.ndarray) -> int:
     return _long(xxhash.xxh3_64_intdigest(own.tobytes()))
 
 
 def bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, mark, other, id, n, keys) of every row: hashes of the text and of the other columns, then a hash of the text's
-    shingle set, the set's size and band keys."""
+    """(doc_id, mark, other, id, n, keys, odd) of every row: hashes of the text and of the other columns, then a hash of the text's
+    shingle set, the set's size, band keys and parities."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(3).to_pylist()]
             keys = minima(sets).view(np.int64)
             cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["doc_id", "mark", "other", "id", "n", "keys"])
+            cols.append(pa.array([parities(x) for x in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["doc_id", "mark", "other", "id", "n", "keys", "odd"])
 
-    return docs.select(*_identity(docs), "text").mapInArrow(run, "doc_id long, mark long, other long, id long, n int, keys array<long>")
+    return docs.select(*_identity(docs), "text").mapInArrow(run, "doc_id long, mark long, other long, id long, n int, keys array<long>, odd array<long>")
 
 
 def _identity(docs: DataFrame) -> list[Column]:
@@ -278,25 +286,32 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return some.select("text").mapInArrow(run, "id long, own array<long>")
 
 
-def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tuple[int, ...] = FINE_LEADERS) -> DataFrame:
+def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """(id, label) of the shingle sets of bands() that met another: label is the least id that links of a Jaccard similarity of
     SHARE or more reach. Sets meet under a shared band key, and every met pair is held against its exact similarity."""
-    met = prints.groupBy("id", "n").agg(F.first("keys").alias("keys")).select("id", "n", F.explode("keys").alias("key"))
+    met = prints.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("key"))
     met = saved(met, "bands")
     shared = saved(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
-    met = saved(met.join(shared, "key").select("key", "id", "n", F.col("id").alias("label")), "shared")
-    wanted = prints.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("mark").alias("hash")).select("hash")
-    sets = saved(_sets(docs, wanted, shingle), "sets")
+    met = saved(met.join(shared, "key").select("key", "id"), "shared")
+    labels = saved(met.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    wanted = prints.join(labels, "id", "left_semi").groupBy("id")
+    bits = [f"o{k}" for k in range(PARITY)]
+    known = saved(wanted.agg(F.first("n").alias("n"), F.min("mark").alias("hash"), F.first("odd").alias("odd")).select("id", "n", "hash", *[F.col("odd")[k].alias(c) for k, c in enumerate(bits)]), "known")
+    sets = saved(_sets(docs, known.select("hash"), shingle), "sets")
     times, of = SHARE
     for every in leaders:
+        now = met.join(labels, "id")
         # a key whose sets are all in one group has nothing left to link; in the others some set of a pair is not of the commonest group
-        held = met.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+        held = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
         mixed = saved(held.agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("c", "label")).alias("most")).where("groups > 1").select("key", F.col("most.label").alias("most")), "mixed")
-        open_ = saved(met.join(mixed, "key"), "open")
-        a, b = [open_.select("key", "most", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "label")]) for s in "ab"]
+        open_ = now.join(mixed, "key").join(known.drop("hash"), "id")
+        a, b = [open_.select("key", "most", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "label", *bits)]) for s in "ab"]
         a = a.where(F.pmod(F.xxhash64("a_id"), F.lit(every)) == 0) if every > 1 else a.where("a_label <> most")
+        # a similarity of 4/5 leaves at most a ninth of both sizes together on one side alone, and the parities differ in no more
+        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits), F.lit(0))
+        near = (of + times) * apart <= (of - times) * (F.col("a_n") + F.col("b_n"))
         sizes = of * F.least("a_n", "b_n") >= times * F.greatest("a_n", "b_n")
-        pairs = a.drop("most").join(b.drop("most"), "key").where((F.col("a_label") != F.col("b_label")) & sizes)
+        pairs = a.drop("most").join(b.drop("most"), "key").where((F.col("a_label") != F.col("b_label")) & sizes & near)
         turned = F.col("a_id") > F.col("b_id")  # each pair once, whichever way it was met
         both = [F.when(turned, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for c in ("id", "n", "label") for x, y in ("ab", "ba")]
         pairs = saved(pairs.select(*both).distinct(), "pairs")
@@ -308,8 +323,8 @@ def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tu
         if links.isEmpty():
             continue
         merged = components(links).withColumnRenamed("id", "label")
-        met = saved(met.join(merged, "label", "left").select("key", "id", "n", F.coalesce("component", "label").alias("label")), "shared")
-    return saved(met.select("id", "label").distinct(), "groups")
+        labels = saved(labels.join(merged, "label", "left").select("id", F.coalesce("component", "label").alias("label")), "labels")
+    return labels
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -307,6 +307,16 @@ def test_near_copies_are_those_of_jaccard_08(spark, docs, texts):
     assert not want - got and len(got - want) <= 2  # nothing clean goes; a near copy in a thousand may be missed
 
 
+def test_parities_never_exceed_what_sets_do_not_share():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 30, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[: int(n * 0.9)], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)])
+        apart = int(np.bitwise_count(simhash.parities(a) ^ simhash.parities(b)).sum())
+        alone = len(np.setxor1d(a, b))
+        assert apart <= alone and apart >= 0.8 * 256 * (1 - (1 - 2 / 512) ** alone)  # of what so many balls leave odd in 512 places
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = dict(rows(graph.components(spark.createDataFrame(links, "a long, b long"))))
