@@ -14,7 +14,7 @@ so a damaged block is known and loses no other.
 
 A file is "IDF2", then groups of (document ids, their id counts, blocks), each with its sizes before it. Documents are
 range-partitioned and sorted by doc_id; a file holds one range. It is written under a temporary name and renamed when
-whole; the manifest lists the files that count.
+whole; the manifest lists the files that count, each with the number of its range, which orders them.
 
 Nulls: a null text is empty, with the end id alone; rows with a null doc_id come first. Rows with equal doc_id come in the
 order of a hash of their text, repeated rows one after the other, and may be split over files. An empty table gives no files
@@ -33,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblioflow.llm.common import new_path, read
@@ -47,7 +48,9 @@ _TOTAL = _KIND + _SLOT
 #: What an id's coming adds to its weight of one.
 _STEP = 3
 _M48, _LEAST = (1 << 48) - 1, 1 << 32
-MANIFEST = "file string, first long, documents long, ids long, bytes long"
+MANIFEST = "file string, part int, documents long, ids long, bytes long"
+#: Files whose ids are summed in one window; the sums of such runs of files are one row each.
+_RUN = 4096
 
 
 class _Model:
@@ -372,14 +375,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
     # rows of equal doc_id and text are alike, so that any of them may go to either of two files
     order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
     rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     names = [x.split(" ")[0] for x in MANIFEST.split(", ")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordIds(tokenizer)
         store, file, name = Store(folder), None, f"{uuid.uuid4().hex}.ids"
-        first, docs_, total_, size, keys, lists, held = None, 0, 0, 0, [], [], 0
+        docs_, total_, size, keys, lists, held = 0, 0, 0, [], [], 0
 
         def flush(all_: bool) -> None:
             nonlocal keys, lists, held, size
@@ -399,7 +402,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
             doc_ids = batch.column(0).to_pylist()
             for key, ids in zip(doc_ids, _TOKENIZERS[tokenizer].encode(batch.column(1).to_pylist(), end)):
                 if file is None:
-                    file, first = store.create(f".{name}.tmp"), key
+                    file = store.create(f".{name}.tmp")
                     file.write(b"IDF2")
                 keys.append(key)
                 lists.append(ids)
@@ -411,7 +414,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
         flush(True)
         file.close()
         store.commit(f".{name}.tmp", name)
-        row = (name, first, docs_, total_, size + 4)
+        row = (name, TaskContext.get().partitionId(), docs_, total_, size + 4)
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
     rows.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
@@ -433,16 +436,24 @@ def documents(stream) -> Iterator[tuple[int | None, np.ndarray]]:
             yield key if known[k] else None, ids[int(ends[k - 1]) if k else 0 : b]
 
 
+def starts(manifest: DataFrame) -> DataFrame:
+    """(file, start): the number of ids in the files of all ranges before a file's, summed in runs of files."""
+    files = manifest.select("file", "part", "ids", F.floor(F.col("part") / _RUN).alias("run"))
+    sums = files.groupBy("run").agg(F.sum("ids").alias("ids"))
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.select("run", earlier(Window.orderBy("run")).alias("before"))
+    inside = files.select("file", "run", earlier(Window.partitionBy("run").orderBy("part")).alias("inside"))
+    return inside.join(before, "run").select("file", (F.col("inside") + F.col("before")).alias("start"))
+
+
 def read_back(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files that a manifest lists."""
-    files = sorted(manifest.collect(), key=lambda r: (r["first"] is not None, r["first"] or 0, r["file"]))  # one row a file
-    before = dict(zip((r["file"] for r in files), np.cumsum([0, *(r["ids"] for r in files)]).tolist()))
 
     def run(batches):
         store = Store(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                start, out = before[name], []
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = []
                 with store.open(name) as stream:
                     for key, ids in documents(stream):
                         out.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
@@ -450,7 +461,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                 cols = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("file").repartition(max(1, len(files)), F.xxhash64("file"))
+    spread = starts(manifest).repartition(max(1, manifest.count()), F.xxhash64("file"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
