@@ -6,8 +6,8 @@ that a long list lies in many files and a list's head in one.
 
 1. The first k postings of every list give sums that the k-th best document of an item reaches at least: tau.
 2. A document that is below tau / m in each of the item's m lists is below tau as a whole, so every list is read down to
-   the uniform threshold ceil(tau / m). A list is first cut at the lowest threshold of all items that use it; common terms
-   have low weights and mostly end there. The sums seen raise tau, and documents whose unseen lists could not lift them there go.
+   the uniform threshold ceil(tau / m). A list is first cut at the lowest threshold of all items that use it. What is left is dealt
+   out by documents and summed there. The sums seen raise tau, and documents whose unseen lists could not lift them there go.
 3. The rest are looked up in all lists of their item, and their exact scores ranked.
 
 All of it is integer arithmetic and every bound is kept with its ties, so the result is the exhaustive one. Texts are cut
@@ -37,6 +37,8 @@ K = 10
 MAP_BITS = 1 << 23
 #: Postings in a file, about.
 POSTINGS = 2_000_000
+#: Rows of a table of items' terms that is sent whole to all tasks, at most 40 bytes each.
+SENT = 500_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -98,26 +100,32 @@ def counted(docs: DataFrame, wanted: bytes) -> DataFrame:
     return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, n long, terms array<string>, counts array<long>").where("n > 0")
 
 
-def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, row, doc_id, part) of every document that holds a wanted term: part is the term's share of its score.
-    wanted: distinct terms."""
-    lists = saved(counted(docs, term_map(wanted)).withColumn("row", F.monotonically_increasing_id()), "term-counts")
-    total = lists.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
+def postings(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (list, row, part) of every document that holds a wanted term: part is the term's share of its score. Also (term, list), the
+    numbers of the lists, and (row, doc_id). wanted: distinct terms."""
+    rows = saved(counted(docs, term_map(wanted)).withColumn("row", F.monotonically_increasing_id()), "term-counts")
+    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).first()
     N, L = F.lit(total["docs"]).cast("long"), F.lit(max(1, total["terms"])).cast("long")
-    rows = lists.select("row", "doc_id", "n", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("row", "doc_id", "n", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted, "term")
+    held = rows.select("row", "n", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("row", "n", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted, "term")
     weight = F.floor(1000 * F.log((2 * N + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).alias("w")
-    weights = saved(df.select("term", weight), "weights")
+    weights = saved(df.select("term", weight).withColumn("list", F.monotonically_increasing_id()), "weights")
     m = 10 + _div(90 * F.col("n") * N, L)
     part = F.col("w") * _div(1_000_000_000 * F.col("tf"), 1000 * F.col("tf") + 8 * m)
-    scored = rows.join(weights, "term").select("term", "row", "doc_id", part.alias("part")).where("part > 0")
-    return saved(scored.repartitionByRange(int(total["postings"] // POSTINGS) + 1, F.col("term"), F.col("part").desc(), F.col("row")).sortWithinPartitions(F.col("term"), F.col("part").desc()), "postings")
+    scored = held.join(_small(weights), "term").select("list", "row", part.alias("part")).where("part > 0")
+    scored = scored.repartitionByRange(int(total["postings"] // POSTINGS) + 1, F.col("list"), F.col("part").desc(), F.col("row"))
+    return saved(scored.sortWithinPartitions("list", F.col("part").desc()), "postings"), weights.select("term", "list"), rows.select("row", "doc_id")
 
 
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A saved table that comes from the items: sent to all tasks if it has few rows; else Spark joins it as any other."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def _best(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each value of by; Spark cuts to k before it shuffles, so that no list is gathered whole."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
@@ -131,26 +139,28 @@ def _bound(sums: DataFrame, k: int) -> DataFrame:
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """(item_id, rank, doc_id, score): the k documents of the highest scores above 0 of each item, ties by ascending doc_id."""
     asked = saved(item_terms(items), "item-terms")
-    lists = postings(docs, asked.select("term").distinct())
+    lists, numbers, ids = postings(docs, asked.select("term").distinct())
+    asked = saved(asked.join(numbers, "term").select("item", "item_id", "m", "list"), "item-lists")
     # 1: list heads
-    heads = saved(_best(lists, "term", k, F.col("part").desc(), F.col("row")).select("term", "row", "part"), "heads")
-    sums = asked.join(heads, "term").groupBy("item", "row").agg(F.sum("part").alias("sum"))
-    first = _bound(sums, k)
+    heads = saved(_best(lists, "list", k, F.col("part").desc(), F.col("row")).select("list", "row", "part"), "heads")
+    first = _bound(asked.join(heads, "list").groupBy("item", "row").agg(F.sum("part").alias("sum")), k)
     # 2: every list down to the uniform threshold
     least = F.greatest(F.ceil(F.coalesce("tau", F.lit(0)) / F.col("m")), F.lit(1)).cast("long")
-    asked = saved(asked.join(first, "item", "left").withColumn("least", least).select("item", "term", "m", "item_id", "least"), "thresholds")
-    cut = asked.groupBy("term").agg(F.min("least").alias("lowest"))
-    high = lists.join(cut, "term").where(F.col("part") >= F.col("lowest")).select("term", "row", "part")
-    high = saved(high, "high")
-    seen = asked.join(high, "term").where(F.col("part") >= F.col("least"))
-    seen = saved(seen.groupBy("item", "row").agg(F.sum("part").alias("sum"), F.max(F.struct("m", "least")).alias("of"), F.count(F.lit(1)).alias("lists")), "seen")
-    second = _bound(seen, k)
-    most = F.col("sum") + (F.col("of.m") - F.col("lists")) * (F.col("of.least") - 1)
-    left = seen.join(second, "item", "left").where(most >= F.coalesce("tau", F.lit(0))).select("item", "row")
+    asked = saved(asked.join(first, "item", "left").select("item", "item_id", "m", "list", least.alias("least")), "thresholds")
+    cut = asked.groupBy("list").agg(F.min("least").alias("lowest"))
+    high = lists.join(_small(saved(cut, "cuts")), "list").where(F.col("part") >= F.col("lowest")).select("list", "row", "part")
+    # all lists of a document meet in one task, so its sums need no further shuffle
+    seen = high.repartition("row").join(_small(asked.select("item", "list", "least")), "list").where(F.col("part") >= F.col("least"))
+    seen = seen.groupBy("item", "row").agg(F.sum("part").alias("sum"), F.count(F.lit(1)).alias("lists"))
+    limits = asked.groupBy("item").agg(F.first("m").alias("m"), F.first("least").alias("least"))
+    limits = saved(limits.join(_bound(seen, k), "item", "left"), "limits")
+    most = F.col("sum") + (F.col("m") - F.col("lists")) * (F.col("least") - 1)
+    left = saved(seen.join(_small(limits), "item").where(most >= F.coalesce("tau", F.lit(0))).select("item", "row"), "candidates")
     # 3: exact scores
-    look = left.join(asked.select("item", "item_id", "term"), "item")
-    exact = look.join(lists, ["term", "row"]).groupBy("item", "row").agg(F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id"), F.sum("part").alias("score"))
-    ranked = _best(exact, "item", k, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row"))
+    look = left.join(asked.select("item", "list"), "item")
+    exact = saved(look.join(lists, ["list", "row"]).groupBy("item", "row").agg(F.sum("part").alias("score")), "scores")
+    named = exact.join(ids, "row").join(asked.groupBy("item").agg(F.first("item_id").alias("item_id")), "item")
+    ranked = _best(named, "item", k, F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row"))
     return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
