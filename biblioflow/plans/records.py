@@ -11,6 +11,7 @@ from biblioflow.functions import marc, text
 from biblioflow.operators import crosswalk
 from biblioflow.plans.projection import CTE, records
 from biblioflow.sources import codecs
+from biblioflow.sources.iso2709 import decode as decode_iso2709
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,7 +350,7 @@ def iso2709(df):
 @query("s2_iso2709_roundtrip", f"SELECT _pos, error, error = '' AS same FROM ({_ISO})")
 def iso_roundtrip(df):
     own = _iso(df).select("_pos", "error", FS().alias("before"), "iso")
-    back = codecs.from_iso2709(own.where("error = ''"), "iso").select("_pos", "error", (FS() == F.col("before")).alias("same"))
+    back = decode_iso2709(own.where("error = ''"), "iso").select("_pos", "error", (FS() == F.col("before")).alias("same"))
     return back.unionByName(own.where("error <> ''").select("_pos", "error", F.lit(False).alias("same")))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.functions import marc, schema, text
 from biblioflow.operators import rdf
-from biblioflow.sources import codecs
+from biblioflow.sources import codecs, iso2709
 
 
 def L():  # noqa: N802
@@ -78,7 +78,7 @@ def test_iso2709_lengths_are_bytes(rec):
     df = rec(control("001", "é"), data("245", ("a", "漢字")))
     raw = one(df, codecs.to_iso2709(L(), FS()))[0].encode()
     assert int(raw[:5]) == len(raw)
-    leader, fields, lossy = codecs.decode_iso2709(raw)
+    leader, fields, lossy = iso2709.decode_record(raw)
     assert fields[1]["subfields"] == [{"code": "a", "value": "漢字"}] and not lossy
     assert one(rec(control("001", "a\x1eb")), codecs.iso_error(FS()))[0] == "delimiter"
 
