@@ -62,7 +62,8 @@ def classes(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) ->
     rows = saved(rows, "blocks").withColumn("key", F.lit(0).cast("long"))
     for k, name in enumerate(names):
         rows = rows.withColumn("key", F.xxhash64("key", name)).drop(name)
-        several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+        # a table of its own, so that Spark can split a class of very many documents in the join
+        several = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), f"several{k}")
         rows = saved(rows.join(several, "key", "left_semi"), f"split{k}")
     return rows.groupBy("key").agg(F.min("doc_id").alias("least"))
 
