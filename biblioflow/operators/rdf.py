@@ -107,6 +107,44 @@ def subjects_of_type(quads: DataFrame, type_iri: str) -> DataFrame:
     return own.groupBy("s").agg(F.min("pos").alias("pos"))
 
 
+def lists(quads: DataFrame) -> DataFrame:
+    """(head, items, _error) of every RDF list: its terms in order, of any length. Every cell finds its head and its place by pointer jumping
+    over the links before it, in as many rounds as the logarithm of the longest list. _error, and no items: a cell of the list has several
+    firsts or rests, or none (fork), is the rest of several cells (shared; its own list, from there on, has that error), the list does not
+    end in nil (open), or runs in a circle (circle; its head is the circle's least cell)."""
+    from biblioflow.functions.shared import saved
+
+    nil = F.struct(F.lit(schema.IRI).cast("tinyint").alias("kind"), F.lit(schema.RDF + "nil").alias("value"), F.lit("").alias("lang"), F.lit("").alias("datatype"))
+    of = lambda name: quads.where(F.col("p.value") == schema.RDF + name).groupBy("s").agg(F.count_distinct("o").alias(f"{name}s"), F.min("o").alias(name))
+    cells = of("rest").join(of("first"), "s", "full")
+    fork = (F.coalesce("rests", F.lit(0)) != 1) | (F.coalesce("firsts", F.lit(0)) != 1)
+    cells = saved(cells.select(F.col("s").alias("cell"), "first", F.when(~fork, F.col("rest")).alias("rest"), fork.alias("fork")), "list-cells")
+    before = cells.where(F.col("rest") != nil).groupBy(F.col("rest").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("before"))
+    # a cell that several lists lead to begins a list of its own
+    now = cells.select("cell").join(before, "cell", "left").select(
+        "cell", F.when(F.col("n") == 1, F.col("before")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("place"), F.when(F.col("n") == 1, F.col("before")).otherwise(F.col("cell")).alias("head"),
+        (F.coalesce("n", F.lit(0)) > 1).alias("shared"), F.least("cell", F.coalesce("before", "cell")).alias("low"),
+    )
+    now = saved(now, "list-links")
+    most, reach = now.count(), 1
+    while reach < most and not now.where("to is not null").isEmpty():
+        far = now.select(F.col("cell").alias("f_cell"), F.col("to").alias("f_to"), F.col("place").alias("f_place"), F.col("head").alias("f_head"), F.col("low").alias("f_low"))
+        step = now.join(far, F.col("to") == F.col("f_cell"), "left")
+        now = saved(step.select("cell", F.col("f_to").alias("to"), (F.col("place") + F.coalesce("f_place", F.lit(0))).alias("place"), F.coalesce("f_head", "head").alias("head"), "shared", F.least("low", F.coalesce("f_low", "low")).alias("low")), "list-links")
+        reach *= 2
+    rows = now.join(cells, "cell")
+    head = F.when(F.col("to").isNotNull(), F.col("low")).otherwise(F.col("head"))
+    found = rows.withColumn("head", head).groupBy("head").agg(
+        F.array_sort(F.collect_list(F.struct("place", "first"))).alias("rows"), F.max(F.col("to").isNotNull()).alias("circle"), F.max("fork").alias("fork"),
+        F.max((F.col("place") == 0) & F.col("shared")).alias("shared"), F.max_by("rest", "place").alias("last"),
+    )
+    # a list that leads into a shared cell is shared too
+    ends = found.where(F.col("shared")).select(F.col("head").alias("into"))
+    found = found.join(ends, F.col("last") == F.col("into"), "left")
+    error = F.when(F.col("circle"), "circle").when(F.col("fork"), "fork").when(F.col("shared") | F.col("into").isNotNull(), "shared").when(F.coalesce(F.col("last") != nil, F.lit(True)), "open")
+    return found.select("head", F.when(error.isNull(), F.transform("rows", lambda r: r["first"])).alias("items"), error.alias("_error"))
+
+
 # N-Triples and N-Quads
 
 

@@ -595,6 +595,28 @@ def cql(df):
     return df.limit(1).select(F.lit(found.cql()).alias("cql"))
 
 
+def _has(tags: tuple, codes: str, words: str) -> str:
+    own = " AND ".join((f"f.tag IN ({', '.join(map(repr, tags))})", f"f.code IN ({', '.join(map(repr, codes))})"))
+    return f"EXISTS (SELECT 1 FROM fld f WHERE f._pos = r._pos AND {own} AND contains({_FOLD.format(v='f.v')}, '{words}'))"
+
+
+_TITLE, _ABOUT = ((("245", "246"), "ab"), (("650", "651"), "axyzv"))
+_ASKED = {
+    "words": f"{_has(*_TITLE, ' and ')} AND {_has(*_TITLE, ' the ')}", "phrase": _has(*_TITLE, " and the "), "stem": _has(*_TITLE, " and th"),
+    "tree": f"({_has(*_ABOUT, ' the ')} OR {_has(*_TITLE, ' and the ')}) AND NOT {_BY_AUTHOR}",
+}
+
+
+@query("f8_postings", " UNION ALL ".join(f"SELECT '{k}' AS query, _pos FROM rec r WHERE {v}" for k, v in _ASKED.items()))
+def search_postings(df):
+    """Words, a phrase, a stem and a tree, from one table of positional postings of all records."""
+    from biblioflow.operators.search import found, postings, term
+
+    both = term("title", "and the")
+    queries = {"words": both.word(), "phrase": both, "stem": term("title", "and th*"), "tree": (term("subject", "the") | both.phrase()) - term("author", "src1")}
+    return found(postings(df, "_pos", ("title", "author", "subject")), "_pos", queries)
+
+
 @query("p22_graph_name", "SELECT _pos, '#doc' || _pos AS name FROM rec")
 def graph_names(df):
     from biblioflow.operators import bibframe

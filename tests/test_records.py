@@ -128,8 +128,7 @@ def test_search_tree(rec):
 
     q = (term("author", 'mel"ville') & term("title", "moby dick")) - term("bath.x", "y")
     assert q.cql() == '((dc.author = "mel\\"ville") and (dc.title = "moby dick")) not (bath.x = "y")' and term("any", "a").cql() == '"a"'
-    assert term("title", "mob*").rpn() == {"term": "mob", "attributes": [(1, 4), (4, 2), (5, 1)]}
-    assert term("id", "1").whole_field().rpn()["attributes"] == [(1, 12), (2, 3), (3, 1), (4, 2), (6, 3)]
+    assert term("title", "mob*").wanted() == (["mob"], True, False) and term("title", "mob\\*").wanted() == (["mob"], False, False) and term("title", "a b").wanted()[2]
     df = rec(data("245", ("a", "Moby Dick; or, the whale")), data("100", ("a", "Melville, H.")))
     hit = lambda x: one(df, x.predicate(FS()))[0]
     assert hit(term("title", "moby dick")) and not hit(term("title", "dick moby")) and hit(term("title", "wha*")) and not hit(term("title", "wha"))
@@ -137,6 +136,22 @@ def test_search_tree(rec):
     assert hit(term("title", "moby dick or the whale").whole_field()) and not hit(term("title", "moby").whole_field())
 
 
+def test_postings_find_what_predicates_hold(spark, sf_dir):
+    from biblioflow.operators.search import found, postings, term
+    from biblioflow.plans import projection
+
+    own = projection.records(spark, sf_dir).where("_pos < 80").cache()
+    queries = {
+        "word": term("title", "the and").word(), "turned": term("title", "the and"), "phrase": term("any", "and the"), "stem": term("any", "an th*").word(), "whole": term("author", "src1").whole_field(),
+        "id": term("id", "doc7"), "tree": (term("subject", "France") | term("any", "in the")) - (term("author", "src*") & term("title", "th*")), "whole stem": term("author", "guild of s*").whole_field(),
+    }
+    got = {(r["query"], r["_pos"]) for r in found(postings(own, "_pos"), "_pos", queries).collect()}
+    want = {(n, r["_pos"]) for n, q in queries.items() for r in own.where(q.predicate(FS())).select("_pos").collect()}
+    assert got == want and len({n for n, _ in got}) > 5
+    with pytest.raises(ValueError):
+        term("title", "*").wanted()
+
+
 def test_item_information(spark):
     from biblioflow.operators import circulation as c
 
