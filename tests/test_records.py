@@ -152,6 +152,26 @@ def test_postings_find_what_predicates_hold(spark, sf_dir):
         term("title", "*").wanted()
 
 
+def test_works_with_many_instances(spark, sf_dir):
+    """A Work whose Instances are hundreds of records is read back as so many records, each with its own Instance and the Work's fields."""
+    from biblioflow.operators import bibframe, bibframe_reverse
+    from biblioflow.plans import projection
+
+    own = projection.records(spark, sf_dir).where("_pos < 3").select("_pos", "leader", "fields").collect()
+    fields = [f for f in own[1]["fields"] if f["tag"] not in ("520", "001")]
+    many = [(k, "w" if k else None, own[1]["leader"], [("001", "", "", f"n{k}", []), *[tuple(f) for f in fields]]) for k in range(300)]
+    df = spark.createDataFrame(many, f"_pos long, work string, leader string, fields {schema.FIELDS}")
+    made = bibframe.statements(df, work="work").withColumn("doc", F.lit("d"))
+    works = made.where((F.col("p.value") == schema.RDF + "type") & (F.col("o.value") == bibframe.BF + "Work") & F.startswith("s.value", F.lit("#n")))
+    assert {r["s"]["value"] for r in works.collect()} == {"#n0Work", "#n1Work"}
+    got = bibframe_reverse.records_of_graph(made, "doc").collect()
+    assert len(got) == 300 and sum(r["work"] == "0 #n1Work" for r in got) == 299
+    alone = {r["_pos"]: r for r in bibframe_reverse.records(bibframe.statements(df)).collect()}
+    for r in got:
+        k = int(r["instance"].removeprefix("0 #n").removesuffix("Instance"))
+        assert r["fields"] == alone[k]["fields"] and r["leader"] == alone[k]["leader"]
+
+
 def test_item_information(spark):
     from biblioflow.operators import circulation as c
 
