@@ -4,8 +4,8 @@ What a node's n-degree hash depends on is the part of the graph reached from it
 So these parts are found first, by links between such nodes, and each is settled by itself in one group; a part's place among all
 is that of its least first-degree hash, then of its n-degree hash, and its names follow those before it.
 
-A part of over ``MOST_STATEMENTS`` statements, or one whose permutations go beyond ``MOST_WORK`` steps, is an error: the
-algorithm's cost grows with the factorial of like neighbours, and a group must fit in a task.
+A part whose permutations go beyond ``MOST_WORK`` steps is an error: the algorithm's cost grows with the factorial of like neighbours.
+A part is one group, as the algorithm needs all of it; every round of linking is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,27 +18,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblioflow.functions.shared import saved
 from biblioflow.operators import rdf
 
-MOST_STATEMENTS = 100_000
-MOST_WORK = 50_000
+MOST_WORK = 1 << 18
 _SIDES = (("s", "s"), ("o", "o"), ("g", "g"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage where the session names a shared folder; without one the plan just grows."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-
-
 def parts(links: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
     """(label, part): part is the least label that links (a, b) reach. Every round takes the least part beside a node, then that part's own."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     now, before = nodes.select("label", F.col("label").alias("part")), None
     for _ in range(rounds):
         beside = both.join(now, F.col("b") == F.col("label")).groupBy("a").agg(F.min("part").alias("near"))
-        step = now.join(beside, F.col("label") == F.col("a"), "left").select("label", F.least("part", "near").alias("part"))
+        step = saved(now.join(beside, F.col("label") == F.col("a"), "left").select("label", F.least("part", "near").alias("part")), "parts")
         up = step.select(F.col("label").alias("up"), F.col("part").alias("top"))
-        now = checkpointed(step.join(up, F.col("part") == F.col("up"), "left").select("label", F.least("part", "top").alias("part")))
+        now = saved(step.join(up, F.col("part") == F.col("up"), "left").select("label", F.least("part", "top").alias("part")), "parts")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("label", "part").cast("decimal(38,0)"))).first()
         if mark == before:
             return now
@@ -123,12 +118,12 @@ class Part:
 
 def tied(quads: DataFrame, hashes: DataFrame, many: DataFrame, named: DataFrame) -> DataFrame:
     """(label, new) of the nodes whose first-degree hash is among ``many``; named: (label, new) of all others."""
-    nodes = checkpointed(hashes.join(many, "hash", "left_semi"))
+    nodes = saved(hashes.join(many, "hash", "left_semi"), "tied")
     label = lambda n: F.when(rdf.is_blank(F.col(n)), F.col(f"{n}.value"))
     rows = quads.where(label("s").isNotNull() | label("o").isNotNull() | label("g").isNotNull())
     # the graph of a dataset of a statement counts too, so equal statements are one
     rows = rows.select(label("s").alias("s"), F.concat(F.lit("<"), F.col("p.value"), F.lit(">")).alias("p"), label("o").alias("o"), label("g").alias("g"), F.xxhash64("s", "p", "o", "g").alias("id"))
-    rows = checkpointed(rows.distinct())
+    rows = saved(rows.distinct(), "tied-statements")
     pairs = None
     for a, _ in _SIDES:
         for b, side in _SIDES:
@@ -141,12 +136,7 @@ def tied(quads: DataFrame, hashes: DataFrame, many: DataFrame, named: DataFrame)
     links = links.join(keys, F.col("a") == F.col("k"), "left_semi").join(keys, F.col("b") == F.col("k"), "left_semi")
     part = parts(links, nodes).join(nodes, "label")
     given = named.select(F.col("label").alias("other"), F.col("new").alias("given"))
-    around = checkpointed(part.join(pairs, "label", "left").join(given, "other", "left").select("part", "label", "hash", "p", "side", "other", "given"))
-    sizes = around.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > MOST_STATEMENTS).limit(1).collect()
-    if large:
-        raise ValueError(f"a part of {large[0]['n']} statements shares its hashes; at most {MOST_STATEMENTS} are worked on")
-
+    around = saved(part.join(pairs, "label", "left").join(given, "other", "left").select("part", "label", "hash", "p", "side", "other", "given"), "around")
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         first = dict(zip(frame["label"], frame["hash"]))
         names = {o: g for o, g in zip(frame["other"], frame["given"]) if isinstance(g, str)}
@@ -160,7 +150,7 @@ def tied(quads: DataFrame, hashes: DataFrame, many: DataFrame, named: DataFrame)
             out = [(None, None, 0, frame["part"].iloc[0], str(e))]
         return pd.DataFrame(out, columns=["hash", "digest", "k", "label", "error"]).assign(part=frame["part"].iloc[0])
 
-    found = checkpointed(around.groupBy("part").applyInPandas(settle, "hash string, digest string, k int, label string, error string, part string"))
+    found = saved(around.groupBy("part").applyInPandas(settle, "hash string, digest string, k int, label string, error string, part string"), "settled")
     bad = found.where("error is not null").limit(1).collect()
     if bad:
         raise ValueError(f"the part of _:{bad[0]['label']} takes over {MOST_WORK} permutations")

@@ -32,14 +32,14 @@ def item_request(institution: Column, item: Column, date: Column) -> Column:
 def variable_fields(rest: Column) -> Column:
     """Two-letter fields of a reply; the first of equal ones counts, sequence and checksum are left out."""
     parts = F.filter(F.split(F.regexp_replace(rest, "[\r\n]+$", ""), r"\|"), lambda p: (F.length(p) >= 2) & ~F.substring(p, 1, 2).isin("AY", "AZ"))
-    pairs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 2).alias("key"), F.substring(p, 3, 1 << 20).alias("value")))
+    pairs = F.transform(parts, lambda p: F.struct(F.substring(p, 1, 2).alias("key"), F.substring(p, F.lit(3), F.length(p)).alias("value")))
     keys = F.transform(pairs, lambda x: x["key"])
     return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
 
 
 def item_information(reply: Column) -> Column:
     """The parts of an 18 message; null if it is another one."""
-    found = variable_fields(F.substring(reply, 27, 1 << 20))
+    found = variable_fields(F.substring(reply, F.lit(27), F.length(reply)))
     get = lambda k: F.coalesce(F.try_element_at(found, F.lit(k)), F.lit(""))
     status, label = F.substring(reply, 3, 2), F.lit("")
     for k, v in STATUS.items():

@@ -256,7 +256,7 @@ def parse_nquads(lines: DataFrame, line: str = "value", pos: str = "pos") -> Dat
         kind = F.when(suffix.startswith("@"), schema.RDF + "langString").when(suffix.startswith("^^<"), _unescape(F.substring(suffix, F.lit(4), F.length(suffix) - 4)))
         text = F.struct(
             F.lit(schema.LITERAL).cast("tinyint").alias("kind"), value.alias("value"),
-            F.when(suffix.startswith("@"), F.substring(suffix, 2, 1 << 20)).otherwise("").alias("lang"), kind.otherwise(schema.XSD + "string").alias("datatype"),
+            F.when(suffix.startswith("@"), F.substring(suffix, F.lit(2), F.length(suffix))).otherwise("").alias("lang"), kind.otherwise(schema.XSD + "string").alias("datatype"),
         )
         named = F.when(x.startswith("_:"), blank(F.substring(x, F.lit(3), F.length(x)))).otherwise(iri(_unescape(F.substring(x, F.lit(2), F.length(x) - 2))))
         return F.when(x.startswith('"'), text).otherwise(named)
@@ -295,10 +295,11 @@ def canonical(quads: DataFrame) -> DataFrame:
     """RDFC-1.0: the distinct canonical lines, sorted, with blank nodes as c14n<n>. Nodes whose first-degree hash is their own are
     numbered by it; the others by the n-degree hashes of the parts of the graph that they make (``operators.canon``). Raises
     ValueError where a part is beyond its budgets."""
+    from biblioflow.functions.shared import saved
     from biblioflow.operators import canon
 
-    quads = canon.checkpointed(quads.select("pos", "s", "p", "o", "g"))
-    hashes = canon.checkpointed(first_degree(quads))
+    quads = saved(quads.select("pos", "s", "p", "o", "g"), "quads")
+    hashes = saved(first_degree(quads), "first-degree")
     many = ties(hashes).select("hash")
     named = labels(hashes.join(many, "hash", "left_anti"))
     if not many.isEmpty():
@@ -449,7 +450,7 @@ def _compact(value: Column, prefixes: dict[str, str]) -> Column:
     """A prefixed name under the longest namespace that leaves a plain local name, or null."""
     out = F.lit(None).cast("string")
     for label, ns in sorted(prefixes.items(), key=lambda x: (len(x[1]), x[0])):
-        local = F.substring(value, len(ns) + 1, 1 << 20)
+        local = F.substring(value, F.lit(len(ns) + 1), F.length(value))
         good = value.startswith(ns) & local.rlike(r"^[A-Za-z0-9_.\-]*[A-Za-z0-9_\-]\z")
         out = F.when(good, F.concat(F.lit(f"{label}:"), local)).otherwise(out)
     return out

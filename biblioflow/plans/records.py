@@ -441,7 +441,8 @@ def _all(sql: str) -> str:
 
 _YEARS = f"(SELECT _pos, i, regexp_extract(v, '[0-9][0-9][0-9][0-9]', 0) AS v FROM {_each("'260','264'", 'c')})"
 _LANGS = f"""(SELECT _pos, min(i) AS i, v FROM (SELECT _pos, k AS i, {_B47.format(v='substr(v, 3 * k - 2, 3)')} AS v FROM fld, (SELECT unnest([1, 2]) AS k) WHERE tag = '041' AND code = 'a'
-  UNION ALL SELECT r._pos, 9, {_B47.format(v=f'({_LANG8})')} FROM rec r WHERE {_LANG8} <> '') GROUP BY _pos, v)"""
+  UNION ALL SELECT _pos, 9, {_B47.format(v='l8')} FROM (SELECT _pos, CASE WHEN length(v) >= 38 THEN substr(v, 36, 3) ELSE '' END AS l8
+    FROM (SELECT _pos, arg_min(v, i) AS v FROM fld WHERE tag = '008' AND code IS NULL GROUP BY _pos)) WHERE l8 <> '') GROUP BY _pos, v)"""
 
 
 @query(
@@ -600,10 +601,10 @@ def _has(tags: tuple, codes: str, words: str) -> str:
     return f"EXISTS (SELECT 1 FROM fld f WHERE f._pos = r._pos AND {own} AND contains({_FOLD.format(v='f.v')}, '{words}'))"
 
 
-_TITLE, _ABOUT = ((("245", "246"), "ab"), (("650", "651"), "axyzv"))
+_IN_TITLES, _IN_ABOUT = ((("245", "246"), "ab"), (("650", "651"), "axyzv"))
 _ASKED = {
-    "words": f"{_has(*_TITLE, ' and ')} AND {_has(*_TITLE, ' the ')}", "phrase": _has(*_TITLE, " and the "), "stem": _has(*_TITLE, " and th"),
-    "tree": f"({_has(*_ABOUT, ' the ')} OR {_has(*_TITLE, ' and the ')}) AND NOT {_BY_AUTHOR}",
+    "words": f"{_has(*_IN_TITLES, ' and ')} AND {_has(*_IN_TITLES, ' the ')}", "phrase": _has(*_IN_TITLES, " and the "), "stem": _has(*_IN_TITLES, " and th"),
+    "tree": f"({_has(*_IN_ABOUT, ' the ')} OR {_has(*_IN_TITLES, ' and the ')}) AND NOT {_BY_AUTHOR}",
 }
 
 
