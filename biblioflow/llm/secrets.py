@@ -128,10 +128,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every reported span (overlaps taken together) replaced by mask, and n_chars set anew; columns as before."""
     found = scan(docs).where(F.size("base") + F.size("added") > 0).dropDuplicates(["doc_id", "mark"])
     found = found.select(
-        F.col("doc_id").alias("s_doc_id"), F.col("mark").alias("s_mark"), F.array_sort(F.concat("base", "added")).alias("spans")
+        F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark"), F.array_sort(F.concat("base", "added")).alias("__spans")
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    same = F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.xxhash64(text) == F.col("s_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(text) == F.col("__mark"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -139,15 +139,15 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), gap.alias("text"), acc["all"].alias("all"))
 
     clean = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), text.alias("all")),
         step,
         lambda acc: F.concat(acc["text"], F.substring(acc["all"], acc["at"] + 1, F.length(acc["all"]))),
     )
-    out = docs.join(found, same, "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+    out = docs.join(found, same, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
