@@ -89,9 +89,10 @@ class Anchors:
 
 
 def _order(docs: DataFrame) -> DataFrame:
-    """(id, mark, text): id is never null, mark tells texts of equal id apart."""
+    """(id, mark, text, given): id is never null (given may be), mark tells texts of equal id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    given = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(given, F.lit(_FIRST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"), given.alias("given"))
 
 
 def _anchors(docs: DataFrame, window: int, passed: np.ndarray | None = None) -> DataFrame:
@@ -154,15 +155,15 @@ def _doc_filter(rows: DataFrame) -> np.ndarray:
 
 
 def _only(docs: DataFrame, filter_: np.ndarray, keep: bool = True) -> DataFrame:
-    """The rows of (id, mark, text) that a filter of documents holds (or does not)."""
+    """The rows of _order() that a filter of documents holds (or does not)."""
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches):
         for batch in batches:
-            have = holds(sent.value, batch.column(3).to_numpy())
-            yield batch.select([0, 1, 2]).filter(pa.array(have == keep))
+            have = holds(sent.value, batch.column(4).to_numpy())
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(have == keep))
 
-    return docs.withColumn("key", F.xxhash64("id", "mark")).mapInArrow(run, "id long, mark long, text string")
+    return docs.withColumn("key", F.xxhash64("id", "mark")).mapInArrow(run, "id long, mark long, text string, given long")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -229,11 +230,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = _order(docs)
     stretches = saved(repeated(own, window).distinct(), "repeats")
     touched = _doc_filter(stretches)
-    plain = _kept(_only(own, touched, False).select("id", F.lit(None).cast("int").alias("x"), "text"), window, False)
+    plain = _kept(_only(own, touched, False).select(F.col("given").alias("id"), F.lit(None).cast("int").alias("x"), "text"), window, False)
     lists = stretches.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("stretches"))
-    cut = _kept(_only(own, touched).join(lists, ["id", "mark"], "left").select("id", "stretches", "text"), window, True)
+    cut = _kept(_only(own, touched).join(lists, ["id", "mark"], "left").select(F.col("given").alias("id"), "stretches", "text"), window, True)
     out = plain.unionByName(cut)
-    return out.withColumn("doc_id", F.when(F.col("id") != _FIRST, F.col("id"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
