@@ -32,6 +32,8 @@ UNIT = 4 << 20
 LEAST_ROWS = 512
 #: Scores in the arrays that are filled at a time.
 CELLS = 1 << 18
+#: Whole arrays are added where at least one in so many scores gets something; fewer are scattered one by one.
+DENSE = 8
 
 
 def weights(vectors: DataFrame, column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -58,19 +60,20 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of each query (row) and candidate (column), summed dimension by dimension over those that have it."""
+    """Scores of each query (row) and candidate (column), summed dimension by dimension over the postings of those that have it."""
     dims = min(len(queries), len(candidates))
     high = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
     kind = np.int32 if high(queries) * high(candidates) * max(dims, 1) < 1 << 31 else np.int64
     scores = np.zeros((queries.shape[1], candidates.shape[1]), kind)
     part = np.empty_like(scores)
     for q, c in zip(queries.astype(kind), candidates.astype(kind)):
-        asked, posted = np.flatnonzero(q), np.flatnonzero(c)
-        if len(asked) == len(q) and len(posted) == len(c):
+        asked, posted = np.count_nonzero(q), np.count_nonzero(c)
+        if DENSE * asked * posted >= scores.size:  # most have it: those that have not add zeros
             np.multiply(q[:, None], c[None, :], out=part)
             scores += part
-        elif len(asked) and len(posted):
-            scores[np.ix_(asked, posted)] += q[asked, None] * c[None, posted]
+        elif asked and posted:
+            has, held = np.flatnonzero(q), np.flatnonzero(c)
+            scores[np.ix_(has, held)] += q[has, None] * c[None, held]
     return scores
 
 
