@@ -11,8 +11,9 @@ sample). Equal fingerprints are one node. Before all pairs are met, ever denser
 merged, and later rounds only meet nodes of different groups, so a large group of near copies gives about as many
 links as it has members, times a constant, and not the square.
 
-The pipeline's stage asks for the Jaccard similarity of the shingle sets itself: bands of least hashes name the pairs, whose
-exact similarity is then computed, in the same rounds of leaders.
+The pipeline's stage asks for the Jaccard similarity of the shingle sets itself, at which a sixth to a seventh of all bits differ. Its
+fingerprints have four words, and tables by a few bits each name the pairs, whose exact similarity is then computed. Within a table's
+group finer tables and the comparison of all bits run in arrays, so a fingerprint is shuffled once a table, whatever the input's size.
 
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); a null doc_id keeps its row and gets
 the component of its fingerprint, which is the least doc_id that is not null, and null if there is none. Repeated rows
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.llm.common import mix, read, saved
 from biblioflow.llm.graph import components
+from biblioflow.llm.repeats import bloom, holds
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Fingerprints that the plan is estimated from.
@@ -40,13 +43,20 @@ PLAN_SAMPLE = 2048
 PROBE_COST = 10
 #: One in so many fingerprints leads in each round; the last round has all.
 LEADERS = (4096, 64, 1)
-#: The pipeline's stage: the least Jaccard similarity of near copies, as a fraction, and the bands of least hashes that find them.
+#: The pipeline's stage: the least Jaccard similarity of near copies, as a fraction.
 SHARE = (4, 5)
-ROWS, BANDS = 6, 24
+#: Words of its fingerprints, the bits that may differ in a pair that is held against its sets, and in the first two words.
+WORDS, APART, HALF = 4, 64, 44
+#: Tables of fingerprints, each by so many bits of the first two words; runs of about RUN rows in these by bits of the other two.
+TABLES, FILED, RUN = 16, 6, 256
+#: The rounds before the last: tables of each, and the first rows of a run that the others are held against.
+FIRST_TABLES, FIRST_ROWS, FIRST_ROUNDS = 4, 16, 3
+#: The share of bits that are alike at a similarity of SHARE, in sets of one size.
+_AGREE = 1 - math.acos(8 / 9) / math.pi
 #: Words of the parity sketch that is held beside each set.
 PARITY = 8
-_TIMES, _PLUS = np.random.default_rng(11).integers(0, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = np.random.default_rng(12).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDE, _ODD = [f"f{k}" for k in range(WORDS)], [f"o{k}" for k in range(PARITY)]
+_TIMES, _PLUS = np.random.default_rng(11).integers(0, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -166,7 +176,7 @@ def _number(x: int) -> str:
     return f"{_long(x)}L" if _long(x) != -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def _links(nodes: DataFrame, parts: list[tuple[int, list[int]]], leaders: int, near: Column) -> DataFrame:
+def _probe(nodes: DataFrame, parts: list[tuple[int, list[int]]], leaders: int, near: Column) -> DataFrame:
     """Pairs of group labels that some verified pair of fingerprints of two groups links. All parts are probed in one join."""
     left = nodes if leaders == 1 else nodes.where(F.pmod(F.xxhash64("f0"), F.lit(leaders)) == 0)
     ways = [f"named_struct('part',{k},'mask',{_number(m)},'flip',{_number(f)})" for k, (m, flips) in enumerate(parts) for f in flips]
@@ -201,7 +211,7 @@ def near_groups(prints: DataFrame, max_bits: int = 4, check: tuple[str, int] | N
     if check:
         near &= apart + F.bit_count(F.col(f"a_{check[0]}").bitwiseXOR(F.col(f"b_{check[0]}"))) <= check[1]
     for every in leaders:
-        links = saved(_links(nodes, parts, every, near), "links")
+        links = saved(_probe(nodes, parts, every, near), "links")
         if links.isEmpty():
             continue
         merged = components(links).withColumnRenamed("id", "label")
@@ -220,16 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     )
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """The BANDS keys of each set of shingle hashes: each mixes the least values of ROWS hash functions over the set."""
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for k, own in enumerate(sets):
-        if len(own):
-            least = np.full(len(_TIMES), np.iinfo(np.uint64).max)
-            for i in range(0, len(own), 4096):
-                least = np.minimum(least, (own[None, i : i + 4096] * _TIMES[:, None] + _PLUS[:, None]).min(1))
-            out[k] = (mix(least).reshape(BANDS, ROWS) * _PLACES).sum(1)
-    return mix(out + np.arange(BANDS, dtype=np.uint64) * _TIMES[0])
+def wide_print(own: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of a set of shingle hashes in WORDS words of 64 bits, each from hash functions of its own."""
+    return np.array([majority(mix(own * t + p)) for t, p in zip(_TIMES, _PLUS)], np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -248,19 +251,20 @@ def _set_id(own: np.ndarray) -> int:
     return _long(xxhash.xxh3_64_intdigest(own.tobytes()))
 
 
-def bands(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, mark, other, id, n, keys, odd) of every row: hashes of the text and of the other columns, then a hash of the text's
-    shingle set, the set's size, band keys and parities."""
+def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, mark, other, id, n, f0, ..., o0, ...) of every row: hashes of the text and of the other columns, then a hash of the
+    text's shingle set, the set's size, the words of its fingerprint and its parities."""
+    names = ["id", "n", *_WIDE, *_ODD]
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(3).to_pylist()]
-            keys = minima(sets).view(np.int64)
-            cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))]
-            cols.append(pa.array([parities(x) for x in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["doc_id", "mark", "other", "id", "n", "keys", "odd"])
+            bits = np.array([np.r_[wide_print(x).view(np.int64), parities(x)] for x in sets], np.int64).reshape(len(sets), WORDS + PARITY)
+            cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, bits.T.copy())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["doc_id", "mark", "other", *names])
 
-    return docs.select(*_identity(docs), "text").mapInArrow(run, "doc_id long, mark long, other long, id long, n int, keys array<long>, odd array<long>")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "mark", "other", *names))
+    return docs.select(*_identity(docs), "text").mapInArrow(run, schema)
 
 
 def _identity(docs: DataFrame) -> list[Column]:
@@ -274,7 +278,13 @@ def _text_hash() -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(id, own) of the texts whose hash is wanted: the distinct shingle hashes."""
+    """(id, own) of the texts whose hash is wanted, and of a few others: the distinct shingle hashes. Texts that a Bloom filter of the
+    wanted ones does not hold are not shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("hash").alias("key")), 1 << 24))
+
+    def held(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(sent.value, batch.column(1).to_numpy())))
 
     def run(batches):
         for batch in batches:
@@ -282,67 +292,171 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "own"])
 
-    some = docs.select("text", _text_hash().alias("hash")).join(wanted, "hash", "left_semi").dropDuplicates(["hash"])
-    return some.select("text").mapInArrow(run, "id long, own array<long>")
-
-
-def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
-    """(id, label) of the shingle sets of bands() that met another: label is the least id that links of a Jaccard similarity of
-    SHARE or more reach. Sets meet under a shared band key, and every met pair is held against its exact similarity."""
-    met = prints.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("key"))
-    met = saved(met, "bands")
-    shared = saved(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
-    met = saved(met.join(shared, "key").select("key", "id"), "shared")
-    labels = saved(met.select("id").distinct().withColumn("label", F.col("id")), "labels")
-    wanted = prints.join(labels, "id", "left_semi").groupBy("id")
-    bits = [f"o{k}" for k in range(PARITY)]
-    known = saved(wanted.agg(F.first("n").alias("n"), F.min("mark").alias("hash"), F.first("odd").alias("odd")).select("id", "n", "hash", *[F.col("odd")[k].alias(c) for k, c in enumerate(bits)]), "known")
-    sets = saved(_sets(docs, known.select("hash"), shingle), "sets")
-    times, of = SHARE
-    for every in leaders:
-        now = met.join(labels, "id")
-        # a key whose sets are all in one group has nothing left to link; in the others some set of a pair is not of the commonest group
-        held = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-        mixed = saved(held.agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("c", "label")).alias("most")).where("groups > 1").select("key", F.col("most.label").alias("most")), "mixed")
-        open_ = now.join(mixed, "key").join(known.drop("hash"), "id")
-        a, b = [open_.select("key", "most", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "label", *bits)]) for s in "ab"]
-        a = a.where(F.pmod(F.xxhash64("a_id"), F.lit(every)) == 0) if every > 1 else a.where("a_label <> most")
-        # a similarity of 4/5 leaves at most a ninth of both sizes together on one side alone, and the parities differ in no more
-        apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in bits), F.lit(0))
-        near = (of + times) * apart <= (of - times) * (F.col("a_n") + F.col("b_n"))
-        sizes = of * F.least("a_n", "b_n") >= times * F.greatest("a_n", "b_n")
-        pairs = a.drop("most").join(b.drop("most"), "key").where((F.col("a_label") != F.col("b_label")) & sizes & near)
-        turned = F.col("a_id") > F.col("b_id")  # each pair once, whichever way it was met
-        both = [F.when(turned, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for c in ("id", "n", "label") for x, y in ("ab", "ba")]
-        pairs = saved(pairs.select(*both).distinct(), "pairs")
-        both = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("own").alias("a_own")), "a_id")
-        both = both.join(sets.select(F.col("id").alias("b_id"), F.col("own").alias("b_own")), "b_id")
-        common = F.size(F.array_intersect("a_own", "b_own"))
-        enough = of * common >= times * (F.col("a_n") + F.col("b_n") - common)
-        links = saved(both.where(enough).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "links")
-        if links.isEmpty():
+    some = docs.select("text", _text_hash().alias("hash")).mapInArrow(held, "text string, hash long").dropDuplicates(["hash"])
+    return some.select("text").mapInArrow(run, "id long, own array<long>").dropDuplicates(["id"])
+
+
+class _Group:
+    """Rows that one table files together, by ascending id, and the pairs of them that may be near copies."""
+
+    def __init__(self, rows: dict[str, np.ndarray], table: int):
+        self.table = table
+        self.id, self.n, self.label = rows["id"], rows["n"], rows["label"]
+        self.words, self.odd = [rows[c].view(np.uint64) for c in _WIDE], [rows[c].view(np.uint64) for c in _ODD]
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, differing bits) of the pairs whose fingerprints differ in APART bits at most, unless sizes or parities rule out a
+        similarity of SHARE: that leaves at most a ninth of both sizes together on one side alone, and parities differ in no more."""
+        apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in self.words)
+        some = (apart <= APART) & (self.label[i] != self.label[j])
+        i, j, apart, (times, of) = i[some], j[some], apart[some], SHARE
+        n, m = self.n[i], self.n[j]
+        alone = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in self.odd), np.zeros(len(i), np.int64))
+        some = (of * np.minimum(n, m) >= times * np.maximum(n, m)) & ((of + times) * alone <= (of - times) * (n + m))
+        return i[some], j[some], apart[some]
+
+    def runs(self, fine: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by that many more bits of their fingerprints, others in each table, the longest runs first, and the runs' lengths."""
+        masks = np.zeros(128, np.uint64)
+        masks[np.random.default_rng((self.table, fine)).permutation(128)[:bits]] = 1
+        low, high = ((masks[k : k + 64] << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64) for k in (0, 64))
+        key = mix((self.words[-2] & low) * _TIMES[0] + mix((self.words[-1] & high) + _PLUS[0]))
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        length = np.diff(np.r_[start, len(key)])
+        by = np.argsort(-length, kind="stable")
+        length, start = length[by], start[by]
+        return order[np.repeat(start - np.cumsum(length) + length, length) + np.arange(len(key))], length
+
+    def fine_tables(self) -> tuple[int, int]:
+        """Tables and bits that split the group into runs of about RUN rows."""
+        bits = max(0, math.ceil(math.log2(len(self.id) / RUN)))
+        return (1 if not bits else math.ceil(math.log(0.15) / math.log1p(-(_AGREE**bits)))), bits
+
+    def to_leaders(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each row with the nearest of the first rows of its run."""
+        order, length = self.runs(0, self.fine_tables()[1])
+        start, place = np.repeat(np.cumsum(length) - length, length), np.arange(len(order))
+        found = []
+        for k in range(FIRST_ROWS):
+            at = np.flatnonzero(place - start > k)
+            found.append(self.near(order[start[at] + k], order[at]))
+        i, j, apart = map(np.concatenate, zip(*found))
+        by = np.lexsort((i, apart, j))
+        by = by[np.r_[True, j[by][1:] != j[by][:-1]]] if len(by) else by
+        yield i[by], j[by], apart[by]
+
+    def all_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs of each run of each finer table; in a long run most of which has one label, all that are not within it."""
+        tables, bits = self.fine_tables()
+        for fine in range(tables):
+            order, length = self.runs(fine, bits)
+            ends, long_ = np.cumsum(length), 0
+            for m in length[length > 4 * RUN].tolist():
+                own = order[ends[long_] - m : ends[long_]]
+                labels, place, count = np.unique(self.label[own], return_inverse=True, return_counts=True)
+                if 2 * count.max() < m:
+                    break
+                for k in own[place != count.argmax()].tolist():
+                    yield self.near(np.minimum(own, k), np.maximum(own, k))
+                long_ += 1
+            order, length = order[ends[long_ - 1] if long_ else 0 :], length[long_:]
+            run, ends = np.repeat(np.arange(len(length)), length), np.cumsum(length)
+            a, b, label = self.words[0][order], self.words[1][order], self.label[order]
+            for d in range(1, int(length.max()) if len(length) else 1):
+                m = ends[np.searchsorted(-length, -d) - 1]  # rows of runs longer than d
+                apart = np.bitwise_count(a[d:m] ^ a[: m - d]) + np.bitwise_count(b[d:m] ^ b[: m - d])
+                at = np.flatnonzero((apart <= HALF) & (run[d:m] == run[: m - d]) & (label[d:m] != label[: m - d]))
+                if len(at):
+                    yield self.near(order[at], order[at + d])
+
+
+def _met(nodes: DataFrame, tables: range, leaders: bool) -> DataFrame:
+    """(a, b, apart): pairs of ids of different labels, the greater first, that some of the tables files together and that may be near copies."""
+    cols = ["id", "n", "label", *_WIDE, *_ODD]
+    each = 64 // FILED
+    keys = [F.shiftrightunsigned(_WIDE[t // each], t % each * FILED).bitwiseAND((1 << FILED) - 1) + F.lit(t << FILED) for t in tables]
+    filed = nodes.select(*cols, F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key", "id")
+
+    def pairs(rows: list[list[np.ndarray]], key: int) -> Iterator[pa.RecordBatch]:
+        own = _Group(dict(zip(cols, map(np.concatenate, zip(*rows)))), int(key) >> FILED)
+        for i, j, apart in own.to_leaders() if leaders else own.all_pairs():
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(own.id[j]), pa.array(own.id[i]), pa.array(apart)], ["a", "b", "apart"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            if not len(now[-1]):
+                continue
+            cuts = [0, *(np.flatnonzero(np.diff(now[-1])) + 1).tolist(), len(now[-1])]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and now[-1][a] != key:
+                    yield from pairs(held, key)
+                    held = []
+                key = now[-1][a]
+                held.append([c[a:b] for c in now[:-1]])
+        if held:
+            yield from pairs(held, key)
+
+    return filed.select(*cols, "key").mapInArrow(run, "a long, b long, apart long")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of ids whose shingle sets have a Jaccard similarity of SHARE or more, by their labels."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "hash"), "id")
+    sets = saved(_sets(docs, wanted, shingle), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("a_own")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("own").alias("b_own")), "b")
+    common, (times, of) = F.size(F.array_intersect("a_own", "b_own")), SHARE
+    links = both.where(of * common >= times * (F.size("a_own") + F.size("b_own") - common)).select("a", "b")
+    for side in "ab":
+        links = links.join(nodes.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label")), side)
+    return saved(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "links")
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """(id, label) of the shingle sets of wide_prints(): label is the least id that links of a Jaccard similarity of SHARE or more
+    reach. Sets meet by their fingerprints, and every met pair is held against its exact similarity. The first rounds hold each set
+    against the nearest of the first ones filed with it only, which merges large groups; the last meets all sets whose labels differ still."""
+    held = ["n", *_WIDE, *_ODD]
+    nodes = prints.groupBy("id").agg(*[F.first(c).alias(c) for c in held], F.min("mark").alias("hash"))
+    nodes = saved(nodes.withColumn("label", F.col("id")), "nodes")
+    rounds = [(range(k * FIRST_TABLES, (k + 1) * FIRST_TABLES), True) for k in range(FIRST_ROUNDS)]
+    for tables, leaders in [*rounds, (range(TABLES), False)]:
+        pairs = _met(nodes, tables, leaders)
+        if leaders:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+        pairs = saved(pairs.select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
             continue
-        merged = components(links).withColumnRenamed("id", "label")
-        labels = saved(labels.join(merged, "label", "left").select("id", F.coalesce("component", "label").alias("label")), "labels")
-    return labels
+        merged = components(_links(docs, nodes, pairs, shingle)).withColumnRenamed("id", "label")
+        nodes = saved(nodes.join(merged, "label", "left").select("id", "hash", *held, F.coalesce("component", "label").alias("label")), "nodes")
+    return nodes.select("id", "label")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The first document of each group of near copies, by doc_id (null after all others), then by hashes of the text and of
     the other columns; all columns stay, and repeated rows are one. Texts without words are copies of each other.
 
-    Near copies have a Jaccard similarity of SHARE or more of their sets of shingles (of five words), held exactly. A pair of
-    similarity s meets with the chance 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8."""
-    prints = saved(bands(docs, shingle), "prints")
+    Near copies have a Jaccard similarity of SHARE or more of their sets of shingles (of five words), held exactly for each pair that
+    meets by its SimHash fingerprints; README.md has the share of pairs that meet."""
+    prints = saved(wide_prints(docs, shingle), "prints")
     groups = similar_groups(docs, prints, shingle)
     row = ["doc_id", "mark", "other"]
-    own = prints.join(groups, "id", "left").select(*row, F.coalesce("label", "id").alias("label"))
+    own = prints.select(*row, "id").join(groups, "id").select(*row, "label")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *row)).alias("first")
-    keep = own.groupBy("label").agg(first).select(*[F.col(f"first.{c}").alias(f"__{c}") for c in row])
-    keys = [c.alias(f"__own_{n}") for c, n in zip(_identity(docs), row)]
-    same = F.col("__own_doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_mark") == F.col("__mark")) & (F.col("__own_other") == F.col("__other"))
-    kept = docs.select("*", *keys).join(keep, same, "left_semi").dropDuplicates([f"__own_{n}" for n in row])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # no null among the keys: the join and what takes repeated rows out then share one shuffle of the texts
+    keys = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__doc_id"), F.col("mark").alias("__mark"), F.col("other").alias("__other")]
+    keep = saved(own.groupBy("label").agg(first).select("first.*").select(*keys), "keep")
+    named = [F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+    own = [c.alias(f"__own_{n}") for c, n in zip(_identity(docs), row)]
+    rows = docs.select(*named, *own)
+    rows = rows.select(*[f"__c{k}" for k in range(len(named))], F.col("__own_doc_id").isNull().alias("__none"), F.coalesce("__own_doc_id", F.lit(0)).alias("__doc_id"), F.col("__own_mark").alias("__mark"), F.col("__own_other").alias("__other"))
+    names = ["__none", "__doc_id", "__mark", "__other"]
+    kept = rows.join(keep, names, "left_semi").dropDuplicates(names)
+    return kept.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

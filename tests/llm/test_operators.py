@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -307,6 +308,48 @@ def test_near_copies_are_those_of_jaccard_08(spark, docs, texts):
     assert not want - got and len(got - want) <= 2  # nothing clean goes; a near copy in a thousand may be missed
 
 
+def _sets_of_share(rng, n, share, count):
+    """Pairs of sets of n shingle hashes with the least Jaccard similarity that is at least share."""
+    common = math.ceil(2 * n * share / (1 + share) - 1e-9)
+    for _ in range(count):
+        own = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        yield np.unique(own[:n]), np.unique(np.r_[own[:common], own[n:]])
+
+
+def _print_rows(sets):
+    return [[i, len(x), *simhash.wide_print(x).view(np.int64).tolist(), *simhash.parities(x).tolist()] for i, x in enumerate(sets)]
+
+
+def test_near_copies_meet_by_their_simhash_fingerprints(spark):
+    rng = np.random.default_rng(6)
+    sets = [x for n in (9, 60, 300, 1500) for pair in _sets_of_share(rng, n, 0.8, 100) for x in pair]
+    bits = _print_rows(sets) + [[len(sets) + k, 300, *rng.integers(-(1 << 63), (1 << 63) - 1, simhash.WORDS + simhash.PARITY).tolist()] for k in range(3000)]
+    nodes = spark.createDataFrame(bits, ", ".join(f"{c} long" for c in ["id", "n", *simhash._WIDE, *simhash._ODD])).withColumn("label", F.col("id"))
+    met = {(r["a"], r["b"]) for r in simhash._met(nodes, range(simhash.TABLES), False).collect()}
+    assert len({(i + 1, i) for i in range(0, len(sets), 2)} & met) >= 0.98 * len(sets) / 2
+    assert len(met) <= len(sets) / 2 + 20  # hardly any other pair is held against its sets
+
+
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base, sets = rng.integers(0, 1 << 63, 400, dtype=np.uint64), []
+    for _ in range(600):
+        own = base.copy()
+        own[rng.choice(400, 10, replace=False)] = rng.integers(0, 1 << 63, 10, dtype=np.uint64)
+        sets.append(np.unique(own))
+    names = ["id", "n", *simhash._WIDE, *simhash._ODD]
+    nodes = spark.createDataFrame(_print_rows(sets), ", ".join(f"{c} long" for c in names)).withColumn("label", F.col("id"))
+    assert simhash._met(nodes, range(simhash.FIRST_TABLES), True).count() <= simhash.FIRST_TABLES * len(sets)
+    # one label but for ten rows: all pairs of these with the others, and no others, in long runs and short ones
+    odd = {i for i in range(600) if i % 60 == 0}
+    want = {(min(i, j), max(i, j)) for i in odd for j in range(600) if i != j}
+    cols = dict(zip(names, np.array(_print_rows(sets), np.int64).T)) | {"label": np.array([i if i in odd else -1 for i in range(600)])}
+    for run in (1000, 100, 16):
+        monkeypatch.setattr(simhash, "RUN", run)
+        met = {x for t in range(simhash.TABLES) for i, j, _ in simhash._Group(cols, t).all_pairs() for x in zip(i.tolist(), j.tolist())}
+        assert met <= want and len(met) >= 0.98 * len(want)
+
+
 def test_parities_never_exceed_what_sets_do_not_share():
     rng = np.random.default_rng(3)
     for n in (0, 1, 30, 400, 5000):
