@@ -3,16 +3,16 @@
 A block of ``BLOCK`` ids begins with the list of its distinct ids; within it an id is its place in that list. Three
 models predict the next one: order 2 and order 1 name the id that last followed the two ids, or the one id, before (how
 sure they are grows with their hits), and order 0 is a distribution over all ids of the block by how often each has come
-so far. Adaptive probabilities, one by how sure the order is and one of the block as a whole, mixed by weights that follow how well
-each has lately predicted, say how much of the range goes to either order's id; order 0 divides the rest. The range
+so far. Adaptive probabilities, a pair for each state of the two orders together (how sure each is, and whether they name the same
+id), mix them: they say how much of the range goes to either order's id; order 0 divides the rest. The range
 coder keeps 48 bits and carries. All of it is integer arithmetic (one division is done in doubles, which are exact at
 these sizes), so any machine decodes what any other wrote.
 
 Blocks are coded up to ``LANES`` at a time, step by step in numpy arrays; the order-0 distribution is drawn anew at steps
-that grow apart by a quarter. Every block starts from nothing, and has its sizes and the CRC32 of its ids beside it,
+that grow apart by half. Every block starts from nothing, and has its sizes and the CRC32 of its ids beside it,
 so a damaged block is known and loses no other.
 
-A file is "IDF2", then groups of (document ids, their id counts, blocks), each with its sizes before it. Documents are
+A file is "IDF3", then groups of (document ids, their id counts, blocks), each with its sizes before it. Documents are
 range-partitioned and sorted by doc_id; a file holds one range. It is written under a temporary name and renamed when
 whole; the manifest lists the files that count, each with the number of its range, which orders them.
 
@@ -23,9 +23,12 @@ and an empty result. Extra columns are ignored. Ids must be below 65536.
 
 from __future__ import annotations
 
+import codecs
 import json
+import os
 import re
 import struct
+import sys
 import unicodedata
 import uuid
 import zlib
@@ -33,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biblioflow.llm.common import new_path, read
+from biblioflow.llm.common import new_path, read, text_blocks
 from biblioflow.llm.warc import Store
 
 LANES = 4096
@@ -47,6 +51,8 @@ _KIND, _SLOT, _PAIRS = 12, 13, 11
 _TOTAL = _KIND + _SLOT
 #: What an id's coming adds to its weight of one.
 _STEP = 3
+#: Blocks whose lists are made at once.
+_LISTS = 64
 _M48, _LEAST = (1 << 48) - 1, 1 << 32
 MANIFEST = "file string, part int, documents long, ids long, bytes long"
 #: Files whose ids are summed in one window; the sums of such runs of files are one row each.
@@ -57,111 +63,95 @@ class _Model:
     """What all lanes predict; sizes: the number of distinct ids of each."""
 
     def __init__(self, sizes: np.ndarray, inverse: bool):
-        n, lane = len(sizes), np.arange(len(sizes))
-        self.sizes, self.inverse, self.next = sizes, inverse, 0
+        n, total, lane = len(sizes), int(sizes.sum()), np.arange(len(sizes))
+        self.sizes, self.inverse, self.next, self.drawn_to = sizes, inverse, 0, 0
         self.base = np.cumsum(sizes) - sizes
-        self.counts = np.ones(int(sizes.sum()), np.int64)
-        self.after1, self.after2 = np.zeros(len(self.counts), np.uint16), np.zeros(n << _PAIRS, np.uint16)
-        self.lane3, self.lane4, self.pairs, self.slots = lane << 3, lane << 4, lane << _PAIRS, lane << _SLOT
-        self.hit2, self.hit1 = np.full(n << 3, 1 << 13, np.int64), np.full(n << 4, 1 << 12, np.int64)
-        self.whole2, self.whole1 = np.full(n, 1 << 13, np.int64), np.full(n, 1 << 12, np.int64)
-        self.fit = np.full((4, n), 1 << 14, np.int64)
-        self.weight2 = self.weight1 = np.full(n, 128, np.int64)
-        self.at1, self.mark, self.before = self.base, np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def draw(self, seen: np.ndarray, step: int) -> None:
-        """The order-0 distribution of all that came before a step; seen: what came since the last time."""
-        if len(seen):
-            self.counts += _STEP * np.bincount((seen + self.base[: seen.shape[1]]).ravel(), minlength=len(self.counts))
-        room, sums = (1 << _SLOT) - self.sizes, np.add.reduceat(self.counts, self.base)
-        freq = 1 + self.counts * np.repeat(room, self.sizes) // np.repeat(sums, self.sizes)
+        self.counts, self.own = np.ones(total, np.int32), (np.arange(total) - np.repeat(self.base, sizes)).astype(np.uint16)
+        # beside an id's part of order 0 lies what last followed it, so that one look finds both
+        halves = np.zeros(2 * total, np.int32)
+        low = 0 if sys.byteorder == "little" else 1
+        self.record, self.drawn, self.after1, self.after2 = halves.view(np.int64), halves[low::2], halves[1 - low :: 2], np.zeros(n << _PAIRS, np.uint16)
+        self.share = np.full(n << 5, 0x20002000, np.uint32)
+        self.pairs, self.slots, self.sures = lane << _PAIRS, lane << _SLOT, lane << 5
+        self.held, self.before = np.zeros((2, n), np.uint16), np.zeros(n, np.uint16)
+        self.at1, self.at2 = self.base, self.pairs
+
+    def draw(self, steps: np.ndarray, step: int) -> None:
+        """The order-0 distribution of all that came before a step."""
+        if step > self.drawn_to:
+            self.counts += (_STEP * np.bincount((steps[self.drawn_to : step] + self.base).ravel(), minlength=len(self.counts))).astype(np.int32)
+        times = (((1 << _SLOT) - self.sizes) << 15) // np.add.reduceat(self.counts, self.base)
+        freq = 1 + (self.counts * np.repeat(times.astype(np.int32), self.sizes) >> 15)
         freq[self.base + self.sizes - 1] += (1 << _SLOT) - np.add.reduceat(freq, self.base)
-        start = np.cumsum(freq) - freq - np.repeat(self.slots, self.sizes)
-        self.drawn = (start << _SLOT + 1 | freq).astype(np.int32)
+        start = np.cumsum(freq, dtype=np.int32) - freq & (1 << _SLOT) - 1
+        self.drawn[:] = start << _SLOT + 1 | freq
         if self.inverse:
-            own = (np.arange(len(freq)) - np.repeat(self.base, self.sizes)).astype(np.uint16)
-            self.symbol = np.repeat(own, freq)
-        self.next = step + max(32, step >> 2)
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bounds of the shares of the order-2 and order-1 ids of the first n lanes, and what a slot of order 0 is worth."""
-        self.at1 = self.at1[:n]
-        self.at2 = self.pairs[:n] + (self.mark[:n] & ((1 << _PAIRS) - 1))
-        self.held1, self.held2 = self.after1.take(self.at1).astype(np.int64), self.after2.take(self.at2).astype(np.int64)
-        self.id1, self.id2 = self.held1 >> 3, self.held2 >> 3
-        self.sure2 = self.lane3[:n] + (self.held2 & 7)
-        self.sure1 = self.lane4[:n] + (self.held1 & 7) + ((self.id1 == self.id2) << 3)
-        self.p2, self.p1 = self.hit2.take(self.sure2), self.hit1.take(self.sure1)
-        whole2, whole1 = self.whole2[:n], self.whole1[:n]
-        two = whole2 + ((self.p2 - whole2) * self.weight2[:n] >> 8)
-        one = whole1 + ((self.p1 - whole1) * self.weight1[:n] >> 8)
-        # every share is at least one
-        first = (two * ((1 << _KIND) - 3) >> 15) + 1
-        second = (((1 << _KIND) - 2 - first) * one >> 15) + 1
-        return first << _SLOT, (first + second) << _SLOT, (1 << _KIND) - first - second
-
-    def share(self, at: np.ndarray, is2: np.ndarray, is1: np.ndarray, end2: np.ndarray, end1: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the part of the range that an id has."""
-        drawn = self.drawn.take(at).astype(np.int64)
+            self.symbol = np.repeat(self.own, freq)
+        self.drawn_to, self.next = step, step + max(64, step >> 1)
+
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bounds of the shares of the order-2 and order-1 ids, and what a slot of order 0 is worth."""
+        self.held[0] = self.after2.take(self.at2)
+        self.ids, self.sure = self.held >> 2, self.held & 3
+        self.at = self.sures + ((self.sure[0] << 3) + (self.sure[1] << 1) + (self.ids[0] == self.ids[1]))
+        self.shares = self.share.take(self.at)
+        shares = self.shares.astype(np.int64)
+        # every share is at least one: those of 16 bits stay in 31 to 65503
+        first = shares >> 20
+        both = first + (((1 << _KIND) - 1 - first) * (shares & 0xFFFF) >> 16) + 1
+        return first << _SLOT, both << _SLOT, (1 << _KIND) - both
+
+    def learn(self, own: np.ndarray, end2: np.ndarray, end1: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the part of the range that each lane's id has; the model goes on to the next step."""
+        place, same = self.base + own, self.ids == own
+        is2, is1 = same[0], same[1] > same[0]
+        # a hit is surer by one, a miss less sure by one, and what is not sure gives way
+        held = np.where(same, self.held + (self.sure < 3), np.where(self.sure > 1, self.held - 1, own << 2 | 1))
+        self.after2[self.at2], self.after1[self.at1] = held
+        self.share[self.at] = self.shares - (self.shares >> 5 & 0x07FF07FF) + is2 * np.uint32(2046 << 16) + is1 * np.uint32(2046)
+        record = self.record.take(place)
+        self.held[1] = record >> 32
+        drawn = record & 0xFFFFFFFF
         begin, size = end1 + rest * (drawn >> _SLOT + 1), rest * (drawn & (1 << _SLOT + 1) - 1)
         named = (is2 | is1).nonzero()[0]
         if len(named):
             two, end = is2[named], end2[named]
             begin[named] = np.where(two, 0, end)
             size[named] = np.where(two, end, end1[named] - end)
+        self.at1, self.at2 = place, self.pairs + (own * 40503 + self.before >> 16 - _PAIRS)
+        self.before = own * 30011
         return begin, size
 
-    def learn(self, ids: np.ndarray, at: np.ndarray, is2: np.ndarray, is1: np.ndarray, step: int) -> None:
-        n = len(ids)
-        off2, off1 = (is2 << 15) - self.p2, (is1 << 15) - self.p1
-        if not step & 3:
-            for k, off, whole, came in ((0, off2, self.whole2, is2), (2, off1, self.whole1, is1)):
-                own, fit = (came << 15) - whole[:n], self.fit[:, :n]
-                fit[k] += ((1 << 15) - np.abs(off) - fit[k]) >> 5
-                fit[k + 1] += ((1 << 15) - np.abs(own) - fit[k + 1]) >> 5
-                whole[:n] += own >> 5
-        if not step & 15:
-            self.weight2, self.weight1 = (self.fit[0::2] << 8) // (self.fit[0::2] + self.fit[1::2])
-        self.hit2[self.sure2] = self.p2 + (off2 >> 5)
-        self.hit1[self.sure1] = self.p1 + (off1 >> 5)
-        for table, where, held, named in ((self.after2, self.at2, self.held2, self.id2), (self.after1, self.at1, self.held1, self.id1)):
-            # a hit is surer by one, a miss less sure by half, and what is not sure gives way
-            sure = held & 7
-            table[where] = np.where(ids == named, held + (sure < 7), np.where(sure > 1, held - (sure >> 1), (ids << 3) + 1))
-        self.mark = (ids * 40503 + self.before[:n]) >> 3
-        self.before, self.at1 = ids * 30011, at
-
 
 def _listed(ids: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The number of distinct ids of each block, their lists, and the ids as places in them, one column a block.
 
     A list is written as the gaps between its ids, a byte each; longer gaps follow as 16-bit integers."""
     lanes = -(-len(ids) // BLOCK)
-    seen, place = np.zeros(1 << 16, bool), np.zeros(1 << 16, np.uint16)
-    sizes, lists, sheet = np.zeros(lanes, np.int64), [], np.zeros((lanes, BLOCK), np.uint16)
-    for k in range(lanes):
-        own = ids[k * BLOCK : (k + 1) * BLOCK]
+    seen, place = np.zeros(_LISTS << 16, bool), np.zeros(_LISTS << 16, np.uint16)
+    sizes, lists, sheet = [], [], np.zeros((lanes, BLOCK), np.uint16)
+    for k in range(0, lanes, _LISTS):
+        own = ids[k * BLOCK : (k + _LISTS) * BLOCK].astype(np.int32)
+        own += (np.arange(len(own), dtype=np.int32) // BLOCK) << 16
         seen[own] = True
-        known = np.flatnonzero(seen)
+        eights = np.flatnonzero(seen.view(np.uint64))
+        row, column = seen.reshape(-1, 8)[eights].nonzero()
+        known = (eights[row] << 3) + column
         seen[known] = False
-        place[known] = np.arange(len(known))
-        sheet[k, : len(own)] = place[own]
-        gaps = np.diff(known, prepend=0)
-        sizes[k] = len(known)
-        lists.append(np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[gaps >= 255].astype("<u2").tobytes())
-    return sizes, lists, np.ascontiguousarray(sheet.T)
-
-
-def _steps(model: _Model, steps: np.ndarray, count: int) -> Iterator[tuple[int, int]]:
-    """(step, lanes with an id there): only the last block may be shorter. Draws the model's order 0 when due."""
-    lanes, drawn = steps.shape[1], 0
-    tail = count - (lanes - 1) * BLOCK
-    for step in range(BLOCK if lanes > 1 else tail):
-        n = lanes if step < tail else lanes - 1
-        if step == model.next:
-            model.draw(steps[drawn:step, :n], step)
-            drawn = step
-        yield step, n
+        size = np.bincount(known >> 16)
+        first = np.cumsum(size) - size
+        place[known] = np.arange(len(known)) - np.repeat(first, size)
+        sheet[k : k + len(size)].reshape(-1)[: len(own)] = place.take(own)
+        gaps = np.diff(known & 0xFFFF, prepend=0)
+        gaps[first] = known[first] & 0xFFFF
+        short, wide = np.minimum(gaps, 255).astype(np.uint8).tobytes(), gaps >= 255
+        large, wide = gaps[wide].astype("<u2").tobytes(), 2 * np.r_[0, np.cumsum(wide)]
+        for a, b in zip(first.tolist(), (first + size).tolist()):
+            lists.append(short[a:b] + large[wide[a] : wide[b]])
+        sizes.append(size)
+    sizes = np.concatenate(sizes)
+    # the last block is filled up with its first id, which is coded and dropped again
+    return sizes, lists, np.ascontiguousarray(sheet[:, : BLOCK if lanes > 1 else len(ids)].T)
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
@@ -171,33 +161,29 @@ def encode_blocks(ids: np.ndarray) -> bytes:
         return struct.pack("<II", 0, 0)
     if int(ids.max()) >= 1 << 16:
         raise ValueError("ids must be below 65536")
-    sizes, lists, steps = _listed(ids.astype(np.int64))
+    sizes, lists, steps = _listed(ids)
     lanes = len(sizes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _M48, np.int64)
     out = np.zeros((2 * BLOCK + 8) * lanes, np.uint32)  # a row for each word of all lanes: lanes go on at about the same rate
     at, model = np.arange(lanes), _Model(sizes, False)
-    for step, n in _steps(model, steps, count):
-        own = steps[step, :n].astype(np.int64)
-        end2, end1, rest = model.look(n)
-        is2 = own == model.id2
-        is1 = (own == model.id1) > is2
-        place = model.base[:n] + own
-        begin, size = model.share(place, is2, is1, end2, end1, rest)
-        part = span[:n] >> _TOTAL
-        lo, sp = low[:n] + part * begin, part * size
-        over = (lo > _M48).nonzero()[0]
+    for step in range(len(steps)):
+        if step == model.next or not step:
+            model.draw(steps, step)
+        begin, size = model.learn(steps[step], *model.look())
+        part = span >> _TOTAL
+        low += part * begin
+        span = part * size
+        over = (low > _M48).nonzero()[0]
         if len(over):  # a word may hold a carry until all is written
-            lo[over] &= _M48
+            low[over] &= _M48
             out[at[over] - lanes] += np.uint32(1)
-        small = (sp < _LEAST).nonzero()[0]
+        small = (span < _LEAST).nonzero()[0]
         while len(small):
-            where, bits, wide = at[small], lo[small], sp[small] << 16
+            where, bits, wide = at[small], low[small], span[small] << 16
             out[where] = bits >> 32
             at[small] = where + lanes
-            lo[small], sp[small] = (bits << 16) & _M48, wide
+            low[small], span[small] = (bits << 16) & _M48, wide
             small = small[wide < _LEAST]
-        low[:n], span[:n] = lo, sp
-        model.learn(own, place, is2, is1, step)
     for shift in (32, 16, 0):
         out[at] = (low >> shift) & 0xFFFF
         at += lanes
@@ -237,54 +223,58 @@ def decode_blocks(data: bytes) -> np.ndarray:
     words = np.ascontiguousarray(words.T)
     code = words[0].astype(np.int64) << 32 | words[1].astype(np.int64) << 16 | words[2]
     words, at = words.ravel(), np.arange(lanes) + 3 * lanes
-    span, steps, model = np.full(lanes, _M48, np.int64), np.zeros((BLOCK, lanes), np.uint16), _Model(sizes, True)
-    for step, n in _steps(model, steps, count):
-        end2, end1, rest = model.look(n)
-        part = span[:n] >> _TOTAL
+    span, steps, model = np.full(lanes, _M48, np.int64), np.zeros((BLOCK if lanes > 1 else count, lanes), np.uint16), _Model(sizes, True)
+    for step in range(len(steps)):
+        if step == model.next or not step:
+            model.draw(steps, step)
+        end2, end1, rest = model.look()
+        part = span >> _TOTAL
         # quotients are below 2**26 and dividends below 2**48, so the doubles' floors are exact
-        value = np.minimum((code[:n] / part).astype(np.int64), (1 << _TOTAL) - 1)
-        is2 = value < end2
-        is1 = (value < end1) > is2
-        slot = (np.maximum(value - end1, 0) / rest).astype(np.int64) + model.slots[:n]
-        own = np.where(is2, model.id2, np.where(is1, model.id1, model.symbol.take(slot)))
-        place = model.base[:n] + own
-        begin, size = model.share(place, is2, is1, end2, end1, rest)
-        co, sp = code[:n] - part * begin, part * size
-        small = (sp < _LEAST).nonzero()[0]
+        value = np.minimum((code / part).astype(np.int64), (1 << _TOTAL) - 1)
+        slot = (np.maximum(value - end1, 0) / rest).astype(np.int64) + model.slots
+        own = np.where(value < end1, np.where(value < end2, model.ids[0], model.ids[1]), model.symbol.take(slot))
+        begin, size = model.learn(own, end2, end1, rest)
+        steps[step] = own
+        code -= part * begin
+        span = part * size
+        small = (span < _LEAST).nonzero()[0]
         while len(small):
-            where, wide = at[small], sp[small] << 16
-            co[small] = co[small] << 16 | words.take(where, mode="clip")
-            at[small], sp[small] = where + lanes, wide
+            where, wide = at[small], span[small] << 16
+            code[small] = code[small] << 16 | words.take(where, mode="clip")
+            at[small], span[small] = where + lanes, wide
             small = small[wide < _LEAST]
-        code[:n], span[:n] = co, sp
-        steps[step, :n] = own
-        model.learn(own, place, is2, is1, step)
     ids = np.zeros(lanes * BLOCK, "<u4")
     for k, (known, own) in enumerate(zip(lists, np.ascontiguousarray(steps.T))):
-        ids[k * BLOCK : (k + 1) * BLOCK] = known[own]
+        ids[k * BLOCK : k * BLOCK + len(own)] = known[own]
         if zlib.crc32(ids[k * BLOCK : min(count, (k + 1) * BLOCK)].tobytes()) != crcs[k]:
             raise ValueError(f"block {k} is damaged")
     return ids[:count]
 
 
 class WordIds:
-    """Encodes by the tokenizers library and remembers what each word gave.
-
-    A text of printable Latin letters and marks is lower-cased and cut by the tokenizer's own pattern, and its words are given
-    to the library's BPE model. Other texts are cut at spaces and line feeds, and what is not Latin goes through the whole library.
-    All texts go that way if the tokenizer's parts are not those this rests on, or the two ways differ on any single character."""
-
-    KNOWN = 600_000
+    """Encodes by the tokenizers library and remembers what each unit of text gave.
+
+    A unit is a run of letters, digits or other marks; apostrophes, bars and all that is not ASCII stay with what they touch.
+    The library's normalizer, its pattern and its added tokens never look past a unit, so the ids of a text are those of its
+    units. Units are cut and counted in arrays, and only those not yet known are encoded. One of printable Latin letters and marks is lower-cased
+    and cut by the tokenizer's own pattern, and its words are given to the library's BPE model. Others go through the whole library,
+    as all do if the tokenizer's parts are not those this rests on, or the two ways differ on any single character."""
+
+    #: Units remembered from block to block.
+    KNOWN = 1_000_000
+    #: UTF-8 bytes of the texts encoded at once, and of those cut at once.
+    BLOCK_BYTES, CUT_BYTES = 16 << 20, 1 << 20
+    #: Words given to the library at once.
+    WORDS = 8192
     SPACE = r"\t\n\x0b\x0c\r\x20"
     OTHER = re.compile(rf"[^!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f\u2010-\u2027\u20ac{SPACE}]|<\|")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.bytes = bytes(b for b in range(256) if not self.OTHER.match(chr(b)))
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
         self.mark = self.tokenizer.encode("\x00", add_special_tokens=False).ids
         if len(self.mark) != 1:
             raise ValueError("this vocabulary has no id of its own for the separator")
@@ -294,8 +284,13 @@ class WordIds:
         self.latin = (
             before == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed"
             and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and parts["post_processor"] is None
+            and parts["model"].get("end_of_word_suffix") == "</w>" and all(re.fullmatch(r"<\|[A-Za-z]+\|>", x["content"]) for x in parts["added_tokens"])
         )
         if self.latin:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+            self.last = np.zeros(1 + max(parts["model"]["vocab"].values()), bool)
+            self.last[[i for x, i in parts["model"]["vocab"].items() if x.endswith("</w>")]] = True
             every = [chr(c) for c in range(0x2100) if not self.OTHER.match(chr(c))]
             kinds = {k: "".join(re.escape(c) for c in every if unicodedata.category(c)[0] == k) for k in "LN"}
             pattern = cuts[0]["pattern"]["Regex"].replace(r"\s", self.SPACE)
@@ -303,65 +298,117 @@ class WordIds:
                 pattern = pattern.replace(rf"[\p{{{k}}}]", f"[{c}]").replace(rf"\p{{{k}}}", c)
             self.cut = re.compile(pattern).findall
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-            self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+            others = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+            self.letters = "".join(chr(32 if b == 32 else others.get(b, b)) for b in range(256))  # no word holds a space
             tries = [*every, *(f"a{c}B1" for c in every), *(f"{c}'s{c}" for c in every)]
-            self.latin = [self.of_words(x) for x in tries] == [self.ids(x) for x in tries]
+            self.latin = self.of_latin(tries) == [self.ids(x) for x in tries]
+        # parts that are not known are cut at spaces and line feeds alone
+        self.spaces = b" \t\n\x0b\x0c\r" if self.latin else b" \n"
+        self.kinds = _KINDS if self.latin else np.where(np.isin(np.arange(256), list(self.spaces)), _SPACE, np.uint8(7))
+
+    def forget(self) -> None:
+        self.known, self.known_ids = pa.array([], pa.large_binary()), pa.array([], pa.large_binary())
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of_words(self, text: str) -> bytes:
-        words = self.cut(text.lower())
-        found = list(map(self.words.get, words))
-        try:
-            return b"".join(found)
-        except TypeError:  # some are new
-            if len(self.words) > self.KNOWN:
-                self.words.clear()
-                found = [None] * len(words)
-            known, model = self.words, self.tokenizer.model
-            for w in {w for w, x in zip(words, found) if x is None}:
-                ids = [x.id for x in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            return b"".join([known[w] if x is None else x for w, x in zip(words, found)])
-
-    def is_latin(self, text: str) -> bool:
-        try:
-            return not text.encode("latin-1").translate(None, self.bytes) and "<|" not in text
-        except UnicodeEncodeError:
-            return not self.OTHER.search(text)
-
-    def of_pieces(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) > self.KNOWN:
-                self.known, new = {"": b""}, [p for p in set(pieces) if p]
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))
-
-    def learn(self, pieces: list[str]) -> None:
-        rest = []
-        for p in pieces:
-            if self.latin and self.is_latin(p):
-                self.known[p] = self.of_words(p)
-            elif "\x00" in p:
-                self.known[p] = self.ids(p)
-            else:
-                rest.append(p)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
+    def of_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of the pattern; the id of a word's end is none of those before it."""
+        found = {}
+        for i in range(0, len(words), self.WORDS):
+            some = words[i : i + self.WORDS]
+            shown = codecs.charmap_decode(" ".join(some).encode(), "strict", self.letters)[0]
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                raise ValueError("the ends of words are not unique")
+            raw, b = ids.tobytes(), (4 * ends).tolist()
+            found.update((w, raw[x:y]) for w, x, y in zip(some, [0, *b], b))
+        return found
+
+    def of_latin(self, units: list[str]) -> list[bytes]:
+        words = [[u] if u.isascii() and u.isalpha() else self.cut(u) for u in map(str.lower, units)]
+        found = self.of_words(list({w for x in words for w in x}))
+        return [found[x[0]] if len(x) == 1 else b"".join([found[w] for w in x]) for x in words]
+
+    def of_others(self, units: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        for i in range(0, len(units), 4096):
+            some = units[i : i + 4096]
+            if any("\x00" in u for u in some):
+                found += map(self.ids, some)
+                continue
             ids = np.frombuffer(self.ids(" \x00 ".join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(some) - 1:
                 raise ValueError("the separator is not unique")
             raw, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, starts, ends))
+            found += [raw[4 * a : 4 * b] for a, b in zip(starts, ends)]
+        return found
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        latin = [self.latin and (u.isascii() and u.isalpha() or not self.OTHER.search(u)) for u in units]
+        own = iter(self.of_latin([u for u, x in zip(units, latin) if x]) if any(latin) else ())
+        others = iter(self.of_others([u for u, x in zip(units, latin) if not x]))
+        return [next(own if x else others) for x in latin]
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of some texts one after the other, and how many there are before the end of each text."""
+        data, sizes, ends, before = [], [], [], 0
+        for _, _, buf, off in text_blocks(None, texts, self.CUT_BYTES):
+            kind = self.kinds[buf]
+            cut = np.ones(len(buf) + 1, bool)
+            cut[1:-1] = kind[1:] & kind[:-1] == 0
+            cut[off] = True
+            at = np.flatnonzero(cut)
+            word = kind[at[:-1]] != _SPACE
+            sizes.append(np.diff(at)[word].astype(np.int32))
+            seen = np.r_[0, np.cumsum(word)]
+            ends.append(before + seen[np.searchsorted(at, off[1:])])
+            before += len(sizes[-1])
+            raw = buf.tobytes()
+            if self.latin and b"<|" not in raw:
+                # not before what may be a combining mark: only small letters have composed forms with some
+                capital = (buf - np.uint8(65) < 26) & (np.r_[buf[1:], np.uint8(0)] < 128)
+                raw = (buf | capital.view(np.uint8) << np.uint8(5)).tobytes()
+            data.append(raw.translate(None, self.spaces))
+        offs = np.zeros(before + 1, np.int64)
+        np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int32)]), out=offs[1:])
+        found = pa.Array.from_buffers(pa.large_binary(), before, [None, pa.py_buffer(offs), pa.py_buffer(b"".join(data))])
+        return found, np.concatenate(ends or [np.zeros(0, np.int64)])
+
+    def flat(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and how many each has."""
+        units, ends = self.units(texts)
+        coded = units.dictionary_encode()
+        own, there = coded.dictionary, pc.index_in(coded.dictionary, value_set=self.known)
+        new = own.filter(there.is_null())
+        own_ids = pa.array(self.learn([u.decode() for u in new.to_pylist()]), pa.large_binary())
+        place = there.fill_null(-1).to_numpy(zero_copy_only=False)
+        place = np.where(place < 0, len(self.known) - 1 + np.cumsum(place < 0), place)
+        every, ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, own_ids])
+        del units
+        found = ids.take(pa.array(place).take(coded.indices))
+        if len(every) > self.KNOWN:  # what this block had is what the next will have most of
+            every, ids = own, ids.take(pa.array(place))
+        self.known, self.known_ids = every, ids
+        _, offs, data = found.buffers()
+        ends = np.frombuffer(offs, np.int64, len(found) + 1)[ends] >> 2
+        flat = np.frombuffer(data, "<u4", int(ends[-1]) if len(ends) else 0) if data is not None else np.zeros(0, "<u4")
+        return np.insert(flat, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        last = np.uint32(end).tobytes()
-        found = (self.of_words(t) if self.latin and self.is_latin(t) else self.of_pieces(t) for t in (t or "" for t in texts))
-        return [np.frombuffer(x + last, "<u4") for x in found]
+        ids, counts = self.flat(pa.array(texts, pa.large_string()), end)
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+
+#: Kinds of bytes: two neighbours of kinds with no bit in common are cut apart.
+_SPACE = np.uint8(8)
+_KINDS = np.full(256, 4, np.uint8)
+_KINDS[[ord("'"), ord("|"), *range(128, 256)]] = 7
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[48:58] = 2
+_KINDS[[0x20, 9, 10, 11, 12, 13]] = _SPACE
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -382,36 +429,51 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordIds(tokenizer)
         store, file, name = Store(folder), None, f"{uuid.uuid4().hex}.ids"
-        docs_, total_, size, keys, lists, held = 0, 0, 0, [], [], 0
-
-        def flush(all_: bool) -> None:
-            nonlocal keys, lists, held, size
-            ids = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
+        docs_, total_, size, keys, counts, lists, held, texts, waiting = 0, 0, 0, [], [], [], 0, [], 0
+
+        def encode() -> None:
+            nonlocal docs_, total_, held, waiting
+            ids, n = _TOKENIZERS[tokenizer].flat(pa.concat_arrays(texts), end)
+            lists.append(ids.astype(np.uint16) if len(ids) and int(ids.max()) < 1 << 16 else ids)
+            counts.append(n)
+            docs_, total_, held, waiting = docs_ + len(n), total_ + len(ids), held + len(ids), 0
+            texts.clear()
+
+        def flush() -> None:
+            nonlocal held, size
+            ids = np.concatenate(lists)
+            lists.clear()
             group = LANES * BLOCK
             done = [encode_blocks(ids[a : a + group]) for a in range(0, len(ids), group)]
-            counts = np.array([len(x) for x in lists], "<u4").tobytes()
-            known = np.array([k is not None for k in keys], np.uint8).tobytes()
-            head = np.array([k or 0 for k in keys], "<i8").tobytes() + known + counts
+            doc_ids = pa.concat_arrays(keys)
+            known = doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+            head = doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes() + known + np.concatenate(counts).astype("<u4").tobytes()
             body = b"".join(struct.pack("<I", len(d)) + d for d in done)
-            chunk = struct.pack("<IIQ", len(keys), len(done), len(body)) + head + body
+            chunk = struct.pack("<IIQ", len(doc_ids), len(done), len(body)) + head + body
             file.write(chunk)
-            size += len(chunk)
-            keys, lists, held = [], [], 0
+            size, held = size + len(chunk), 0
+            keys.clear()
+            counts.clear()
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for key, ids in zip(doc_ids, _TOKENIZERS[tokenizer].encode(batch.column(1).to_pylist(), end)):
-                if file is None:
-                    file = store.create(f".{name}.tmp")
-                    file.write(b"IDF2")
-                keys.append(key)
-                lists.append(ids)
-                docs_, total_, held = docs_ + 1, total_ + len(ids), held + len(ids)
-                if held >= LANES * BLOCK:
-                    flush(False)
+            if not batch.num_rows:
+                continue
+            if file is None:
+                file = store.create(f".{name}.tmp")
+                file.write(b"IDF3")
+            keys.append(batch.column(0))
+            texts.append(batch.column(1).cast(pa.large_string()))
+            waiting += texts[-1].nbytes
+            if waiting >= WordIds.BLOCK_BYTES:
+                encode()
+            if held >= LANES * BLOCK:
+                flush()
         if file is None:
             return
-        flush(True)
+        if texts:
+            encode()
+        if keys:
+            flush()
         file.close()
         store.commit(f".{name}.tmp", name)
         row = (name, TaskContext.get().partitionId(), docs_, total_, size + 4)
@@ -423,7 +485,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, range_byte
 
 def documents(stream) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a file, in its order."""
-    if stream.read(4) != b"IDF2":
+    if stream.read(4) != b"IDF3":
         raise ValueError("not a file of ids")
     while head := stream.read(16):
         n, groups, _ = struct.unpack("<IIQ", head)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from biblioflow.llm import idfile, repeats, secrets
@@ -40,3 +41,27 @@ def test_starts_over_several_files_of_one_id(spark):
     assert {r[0]: r[1] for r in got if r[0] in want} == want
     assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0
     assert {r[3] for r in got if r[0] == 1} == {zlib.crc32(np.array(library.encode("one", add_special_tokens=False).ids + [2], "<u4").tobytes())}
+
+
+def test_known_units_are_encoded_once(monkeypatch):
+    own = idfile.WordIds(P.path("word_bpe_49k.json"))
+    seen, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda units: seen.extend(units) or learn(units))
+    text = "The cat's 42 mats, the CAT and the hat. " * 500
+    for _ in range(3):
+        ids, counts = own.flat(pa.array([text, None, "", text]), 2)
+        want = [*own.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert ids.tolist() == [*want, 2, 2, *want] and counts.tolist() == [len(want), 1, 1, len(want)]
+    assert sorted(seen) == sorted(set(seen)) and len(seen) <= 9
+
+
+def test_units_of_a_text_are_cut_where_the_library_cuts(monkeypatch):
+    monkeypatch.setattr(idfile.WordIds, "KNOWN", 5)
+    odd = [
+        "H̱ H̱a Á,B́ É,'s,'S'll İ İx", "don't 'tis rock'n'roll,'quoted' l'été,«d'où»", "<|ENDOFTEXT|> <|endoftext|> a<|endoftext|>B1|c|D <|x",
+        "2024-01-02T03:04 x1y22z é1è", "a\x00B\x1cC\x85D　E\xa0F G", "漢字,Ab漢1 가나한 ΣΑΣ", "́a ́ \ń", "",
+    ]
+    own = idfile.WordIds(P.path("word_bpe_49k.json"))
+    for texts in (odd, odd[::-1], [" ".join(odd)], ["\t\r\n"], [None]):
+        for t, got in zip(texts, own.encode(texts, 2), strict=True):
+            assert list(got) == [*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
