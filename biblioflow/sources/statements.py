@@ -1,16 +1,16 @@
-"""Turtle and RDF/XML files of any size, read by many tasks a file.
+"""Turtle, RDF/XML and JSON-LD files of any size, read by many tasks a file.
 
-Spark's text reader deals a file out in blocks of whole pieces (lines, or what ends in ">"). Where a block begins in the grammar, in a long
+Spark's text reader deals a file out in blocks of whole pieces (lines, or what ends in ">" or ","). Where a block begins in the grammar, in a long
 string, a comment, an attribute or so many elements deep, is not known to it. So each block is first run through a small
 automaton from every state it might begin in, which gives its transition map: the state it ends in, and how much deeper, for each.
 The maps of a file are composed in order, a prefix scan over one short row a block, and say how each block begins. Then the blocks are cut
-into statements: at the stops of Turtle, or behind the elements right below the root of RDF/XML. A statement that goes on in the next block, or over
-several, is put together from its parts. What statements depend on from before them, prefixes and base or the root's start tag,
+into statements: at the stops of Turtle, behind the elements right below the root of RDF/XML, or behind the objects of a JSON-LD array. A statement that goes on in the next block, or over
+several, is put together from its parts. What statements depend on from before them, prefixes and base, the root's start tag, or whether there is an array,
 is folded in order from the statements that set it, and handed to each block.
 
 A statement's triples have ``pos`` from the byte at which it starts, so order is the file's. Labels of blank nodes without one hold
 that place. A malformed statement is one row with _error, and reading goes on behind it. A document whose root is a node itself and not rdf:RDF
-is one statement. Files end where they end: a last statement without its stop is read as the grammar allows.
+is one statement, and so is a JSON-LD document that is one object. Files end where they end: a last statement without its stop is read as the grammar allows.
 """
 
 from __future__ import annotations
@@ -98,6 +98,30 @@ def scan_xml(piece: bytes, state: int, depth: int) -> tuple[int, int, list[int]]
     return 0, 1, [len(piece)] if depth == 0 else []
 
 
+_JSON = re.compile(rb'"(?:[^"\\]|\\.)*+"|["{}]', re.S)
+_JSON_CLOSING = re.compile(rb'(?:[^"\\]|\\.)*+"', re.S)
+
+
+def scan_json(piece: bytes, state: int, depth: int) -> tuple[int, int, list[int]]:
+    """States: 0 between strings, 1 in a string. The depth is that of objects; an outermost one ends a statement."""
+    at, delta, cuts = 0, 0, []
+    if state:
+        if not (m := _JSON_CLOSING.match(piece)):
+            return 1, 0, []
+        at = m.end()
+    for m in _JSON.finditer(piece, at):
+        token = m[0]
+        if token == b"{":
+            delta += 1
+        elif token == b"}":
+            delta -= 1
+            if depth + delta == 0:
+                cuts.append(m.end())
+        elif token == b'"':
+            return 1, delta, cuts
+    return 0, delta, cuts
+
+
 @dataclass(frozen=True)
 class Grammar:
     separator: str
@@ -105,7 +129,7 @@ class Grammar:
     scan: Callable[[bytes, int, int], tuple[int, int, list[int]]]
 
 
-GRAMMARS = {"turtle": Grammar("\n", 3, scan_turtle), "rdfxml": Grammar(">", 7, scan_xml)}
+GRAMMARS = {"turtle": Grammar("\n", 3, scan_turtle), "rdfxml": Grammar(">", 7, scan_xml), "jsonld": Grammar(",", 2, scan_json)}
 
 
 def _pieces(spark: SparkSession, path: str, grammar: Grammar) -> DataFrame:
@@ -212,7 +236,7 @@ _DIRECTIVE = re.compile(rb"@(?:prefix|base)\b|(?:prefix|base)\b", re.I)
 
 def _sets(form: str, place: int, text: bytes) -> bool:
     """Whether later statements depend on a statement."""
-    return place == 0 if form == "rdfxml" else bool(_DIRECTIVE.match(text, _SPACE.match(text).end()))
+    return place == 0 if form in ("rdfxml", "jsonld") else bool(_DIRECTIVE.match(text, _SPACE.match(text).end()))
 
 
 PART = "_source string, _block long, kind string, at long, text binary"
@@ -314,7 +338,44 @@ class Xml:
             yield tuple((k, label + v, a, b) if k == BLANK and v[:1] == "g" else (k, v, a, b) for k, v, a, b in triple)
 
 
-SCOPES = {"turtle": Turtle, "rdfxml": Xml}
+class Json:
+    """Whether a document is an array of nodes, each a statement. What its first statement is read with is not known yet."""
+
+    def __init__(self, known: str | None):
+        self.array: bool | None = json.loads(known) if known else None
+
+    def dump(self) -> str:
+        return json.dumps(self.array)
+
+    def learn(self, text: bytes) -> None:
+        self.array = self._text(text).startswith("[")
+
+    @staticmethod
+    def _text(text: bytes) -> str:
+        return text.decode("utf-8", "replace").removeprefix("﻿").strip()
+
+    def parse(self, text: bytes, label: str) -> Iterator[documents.Triple]:
+        own, first = self._text(text), self.array is None
+        array = own.startswith("[") if first else self.array
+        own = own[1:].lstrip() if first and array else own
+        if not own.endswith("}"):  # behind the last object; a file's last piece has no "," of its own
+            own = own.removesuffix(",").rstrip()
+            if array and not own.endswith("]"):
+                raise ValueError("an array without its end")
+            own = own[:-1].rstrip() if array else own
+            if not own and (array or not first):
+                return
+        if not first:
+            if not array or not own.startswith(","):
+                raise ValueError(f"unexpected {own[:20]!r}")
+            own = own[1:].lstrip()
+        if not own:
+            raise ValueError("no value")
+        for triple in documents.json_ld(f"[{own}]"):
+            yield tuple((k, label + v, a, b) if k == BLANK and v[:1] == "g" else (k, v, a, b) for k, v, a, b in triple)
+
+
+SCOPES = {"turtle": Turtle, "rdfxml": Xml, "jsonld": Json}
 
 
 #: At one place a statement that starts there comes first, then what it sets; a block that starts there is behind it.
@@ -352,7 +413,7 @@ class _Rows:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, scope: Turtle | Xml, source: str, at: int, text: bytes) -> None:
+    def add(self, scope: Turtle | Xml | Json, source: str, at: int, text: bytes) -> None:
         n, keys = 0, ("kind", "value", "lang", "datatype")
         begin = len(self.rows)
         try:
@@ -374,7 +435,7 @@ class _Rows:
 
 
 def read(spark: SparkSession, path: str, form: str, skip_malformed: bool = False) -> DataFrame:
-    """(_source, pos, s, p, o, _error) of the statements of Turtle or RDF/XML files, in the order of pos within each file."""
+    """(_source, pos, s, p, o, _error) of the statements of Turtle, RDF/XML or JSON-LD files, in the order of pos within each file."""
     from biblioflow.functions.shared import saved
 
     grammar, kind = GRAMMARS[form], SCOPES[form]

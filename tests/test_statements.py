@@ -91,3 +91,39 @@ def test_transition_maps_compose(spark):
                     state, delta, _ = scan(p, state, depth)
                     depth += delta
                     assert 0 <= state < states
+
+
+JSON = """[{"@id": "http://a", "http://e/p": [{"@value": "one }, {\\\\"two\\\\": \\\\\\\\"}, "x", "] }"]},
+{"@context": {"e": "http://e/"}, "@id": "_:k", "e:n": {"e:p": "in", "e:n": {"e:l": {"@list": ["a", {"@id": "_:k"}]}}}},{"@id":"http://b","http://e/p":[3,true]},
+{"http://e/p": ["alone ,", "{"]}, {"@id": "http://c"} ]
+""".replace("\\\\", "\\")
+
+
+def test_json_ld_blocks_read_as_one(spark, tmp_path, blocks):
+    files = {"a": JSON, "b": JSON.strip(), "c": "[]", "d": "﻿" + JSON.replace("\n", "\r\n"), "e": '{"@context": {"e": "http://e/"}, "@graph": ' + JSON + "}", "f": '{"@id": "http://a", "http://e/p": "v"}\n', "g": JSON.replace("\n", "")}
+    for name, own in files.items():
+        (tmp_path / f"{name}.jsonld").write_bytes(own.encode())
+    for size in ("40", "190", "1000000"):
+        blocks(size)
+        rows = statements.read(spark, str(tmp_path), "jsonld").collect()
+        for name, own in files.items():
+            got = sorted((r for r in rows if r["_source"].endswith(f"{name}.jsonld")), key=lambda r: r["pos"])
+            assert shown(got) == alone(own.removeprefix("﻿"), "jsonld"), (size, name)
+            assert len({r["pos"] for r in got}) == len(got)
+
+
+def test_broken_json_ld_is_an_error(spark, tmp_path, blocks):
+    bad = ['[{"a:b": 1}, {"a:b": 2}', '[{"a:b": 1},', '[{"a:b": 1', '{"a:b": 1', '{"a:b": "1', '[{"a:b": 1}] ]', '{"a:b": 1} {"a:b": 2}', '[{"a:b": 1} {"a:b": 2}]', '[{"a:b": 1}, ]', '["a"]', "[,]", '[{"a:b": 1}, "a"]', "3"]
+    for k, own in enumerate(bad):
+        (tmp_path / f"{k:02}.jsonld").write_text(own)
+    for size in ("5", "1000000"):
+        blocks(size)
+        rows = statements.read(spark, str(tmp_path), "jsonld").where("_error is not null").collect()
+        assert sorted({r["_source"][-9:-7] for r in rows}) == [f"{k:02}" for k in range(len(bad))]
+
+
+def test_a_large_json_ld_file_loses_no_node(spark, tmp_path):
+    nodes = [f'{{"@id":"http://a/{k}","http://e/p":["{"x" * (3 << 20)}"]}}' for k in range(6)]
+    (tmp_path / "x.jsonld").write_text("[" + ",\n".join(nodes) + "]\n")  # over 16 MiB
+    rows = documents.read(spark, str(tmp_path), "jsonld").selectExpr("s.value as s", "length(o.value) as n", "_error").collect()
+    assert sorted((r["s"], r["n"]) for r in rows) == [(f"http://a/{k}", 3 << 20) for k in range(6)]
