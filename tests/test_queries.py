@@ -22,3 +22,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["k9_schema_org_json"])
+def test_plans_hold_their_inputs_once(name, spark, sf_dir):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 200_000
