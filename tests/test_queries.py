@@ -24,7 +24,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["k9_schema_org_json"])
+@pytest.mark.parametrize("name", ["k9_schema_org_json", "s20_item_information"])
 def test_plans_hold_their_inputs_once(name, spark, sf_dir):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert len(plan) < 200_000
