@@ -288,3 +288,12 @@ def test_keep_tags_of_every_record(spark):
     from biblioflow.plans import registry
 
     assert registry.QUERIES["p16_keep_tags_all"](spark, "/root/testdata/sf0.01").count() == 1000
+
+
+def test_records_of_a_graph_are_worked_out_once(spark):
+    from biblioflow.operators import bibframe_reverse
+    from biblioflow.plans.records import surviving
+
+    statements = spark.createDataFrame([], f"_pos long, pos long, s {schema.TERM}, p {schema.TERM}, o {schema.TERM}")
+    plan = surviving(bibframe_reverse.records(statements))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
