@@ -14,6 +14,8 @@ links as it has members, times a constant, and not the square.
 The pipeline's stage asks for the Jaccard similarity of the shingle sets itself, at which a sixth to a seventh of all bits differ. Its
 fingerprints have four words, and tables by a few bits each name the pairs, whose exact similarity is then computed. Within a table's
 group finer tables and the comparison of all bits run in arrays, so a fingerprint is shuffled once a table, whatever the input's size.
+Fingerprints name nearly all pairs, and a last round names the rest: two sets of that similarity share one of the first shingles of both,
+in one order of all shingles (a fifth of a set and one more, rare ones first), so sets that share none need no comparison.
 
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); a null doc_id keeps its row and gets
 the component of its fingerprint, which is the least doc_id that is not null, and null if there is none. Repeated rows
@@ -53,6 +55,8 @@ TABLES, FILED, RUN = 16, 6, 256
 FIRST_TABLES, FIRST_ROWS, FIRST_ROUNDS = 4, 16, 3
 #: The share of bits that are alike at a similarity of SHARE, in sets of one size.
 _AGREE = 1 - math.acos(8 / 9) / math.pi
+#: One in so many texts is read for the shingles that go last in the order of all; of those that so many of its sets hold, so many at most.
+COMMON_SAMPLE, COMMON_SETS, COMMON = 64, 3, 1 << 16
 #: Words of the parity sketch that is held beside each set.
 PARITY = 8
 _WIDE, _ODD = [f"f{k}" for k in range(WORDS)], [f"o{k}" for k in range(PARITY)]
@@ -251,19 +255,44 @@ def _set_id(own: np.ndarray) -> int:
     return _long(xxhash.xxh3_64_intdigest(own.tobytes()))
 
 
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingle hashes that many texts of a sample hold. They only go last in an order that loses no pair, whatever it is."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["token"])
+
+    some = docs.select("text").where(F.pmod(_text_hash(), F.lit(COMMON_SAMPLE)) == 0).distinct().mapInArrow(run, "token long")
+    often = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_SETS).orderBy(F.desc("n"), "token").limit(COMMON)
+    return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def first_shingles(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all. Sets with a similarity of SHARE have that share of either set in common, and so
+    one of what is left and one more."""
+    times, of = SHARE
+    late = np.zeros(len(own), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    return own[np.lexsort((mix(own), late))[: len(own) - -(-times * len(own) // of) + 1]]
+
+
 def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, mark, other, id, n, f0, ..., o0, ...) of every row: hashes of the text and of the other columns, then a hash of the
-    text's shingle set, the set's size, the words of its fingerprint and its parities."""
+    """(doc_id, mark, other, id, n, f0, ..., o0, ..., rare) of every row: hashes of the text and of the other columns, then a hash of the
+    text's shingle set, the set's size, the words of its fingerprint, its parities and its first shingles."""
     names = ["id", "n", *_WIDE, *_ODD]
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(3).to_pylist()]
             bits = np.array([np.r_[wide_print(x).view(np.int64), parities(x)] for x in sets], np.int64).reshape(len(sets), WORDS + PARITY)
             cols = [pa.array([_set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, bits.T.copy())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["doc_id", "mark", "other", *names])
+            rare = pa.array([first_shingles(x, sent.value).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols, rare], ["doc_id", "mark", "other", *names, "rare"])
 
-    schema = ", ".join(f"{c} long" for c in ("doc_id", "mark", "other", *names))
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "mark", "other", *names)) + ", rare array<long>"
     return docs.select(*_identity(docs), "text").mapInArrow(run, schema)
 
 
@@ -403,6 +432,67 @@ def _met(nodes: DataFrame, tables: range, leaders: bool) -> DataFrame:
     return filed.select(*cols, "key").mapInArrow(run, "a long, b long, apart long")
 
 
+def _whole_groups(batches) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by the first one, cut between its values only."""
+    held = []
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        if not len(now[0]):
+            continue
+        held.append(now)
+        if now[0][0] != now[0][-1]:
+            rows = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield [c[:cut] for c in rows]
+            held = [[c[cut:] for c in rows]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+
+
+def _sharing(nodes: DataFrame, rare: DataFrame) -> DataFrame:
+    """(a, b): all pairs of ids of different labels, the greater first, that share one of their first shingles, unless sizes, the places of
+    that shingle or parities rule out a similarity of SHARE."""
+    times, of = SHARE
+
+    def several(batches):
+        for token, id_, label, place in _whole_groups(batches):
+            start = _starts(token)
+            some = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+            some = np.repeat(some, np.diff(np.r_[start, len(token)]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, id_, place)], ["token", "id", "place"])
+
+    def pairs(batches):
+        for token, n, id_, place, label, *odd in _whole_groups(batches):
+            odd, start = [w.view(np.uint64) for w in odd], _starts(token)
+            ends = np.repeat(np.r_[start[1:], len(token)], np.diff(np.r_[start, len(token)]))
+            i, d = np.arange(len(token)), 0
+            while len(i):
+                d += 1
+                i = i[i + d < ends[i]]
+                i = i[of * n[i] >= times * n[i + d]]  # sizes ascend: what is too large for a set stays so
+                j = i + d
+                # at the first shingle that both have, what comes from there on holds all they have in common
+                most = np.minimum(n[i] - place[i], n[j] - place[j])
+                at = np.flatnonzero((label[i] != label[j]) & ((times + of) * most >= times * (n[i] + n[j])))
+                a, b = i[at], j[at]
+                alone = sum((np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in odd), np.zeros(len(a), np.int64))
+                some = (of + times) * alone <= (of - times) * (n[a] + n[b])
+                if some.any():
+                    a, b = id_[a[some]], id_[b[some]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    filed = rare.join(nodes.select("id", "label"), "id").select("id", "label", F.posexplode("rare").alias("place", "token"))
+    filed = filed.select("token", "id", "label", F.col("place").cast("long").alias("place")).repartition("token").sortWithinPartitions("token")
+    shared = saved(filed.mapInArrow(several, "token long, id long, place long"), "shared")
+    cols = ["token", "n", "id", "place", "label", *_ODD]
+    both = shared.join(nodes.select("id", "n", "label", *_ODD), "id").select(*cols).repartition("token").sortWithinPartitions("token", "n", "id")
+    return both.mapInArrow(pairs, "a long, b long")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of ids whose shingle sets have a Jaccard similarity of SHARE or more, by their labels."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "hash"), "id")
@@ -419,13 +509,15 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) ->
 def similar_groups(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
     """(id, label) of the shingle sets of wide_prints(): label is the least id that links of a Jaccard similarity of SHARE or more
     reach. Sets meet by their fingerprints, and every met pair is held against its exact similarity. The first rounds hold each set
-    against the nearest of the first ones filed with it only, which merges large groups; the last meets all sets whose labels differ still."""
+    against the nearest of the first ones filed with it only, which merges large groups; the next meets all sets whose labels differ still,
+    and the last all that share a first shingle, which no pair of that similarity lacks."""
     held = ["n", *_WIDE, *_ODD]
     nodes = prints.groupBy("id").agg(*[F.first(c).alias(c) for c in held], F.min("mark").alias("hash"))
     nodes = saved(nodes.withColumn("label", F.col("id")), "nodes")
+    rare = saved(prints.groupBy("id").agg(F.first("rare").alias("rare")), "rare")
     rounds = [(range(k * FIRST_TABLES, (k + 1) * FIRST_TABLES), True) for k in range(FIRST_ROUNDS)]
-    for tables, leaders in [*rounds, (range(TABLES), False)]:
-        pairs = _met(nodes, tables, leaders)
+    for tables, leaders in [*rounds, (range(TABLES), False), (None, False)]:
+        pairs = _met(nodes, tables, leaders) if tables else _sharing(nodes, rare)
         if leaders:
             pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
         pairs = saved(pairs.select("a", "b").distinct(), "pairs")
@@ -440,8 +532,8 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The first document of each group of near copies, by doc_id (null after all others), then by hashes of the text and of
     the other columns; all columns stay, and repeated rows are one. Texts without words are copies of each other.
 
-    Near copies have a Jaccard similarity of SHARE or more of their sets of shingles (of five words), held exactly for each pair that
-    meets by its SimHash fingerprints; README.md has the share of pairs that meet."""
+    Near copies have a Jaccard similarity of SHARE or more of their sets of shingles (of five words). Most meet by their SimHash fingerprints,
+    the others by a shingle that such a pair must share, and each pair met is held to its exact similarity: no link is lost."""
     prints = saved(wide_prints(docs, shingle), "prints")
     groups = similar_groups(docs, prints, shingle)
     row = ["doc_id", "mark", "other"]

@@ -308,6 +308,33 @@ def test_near_copies_are_those_of_jaccard_08(spark, docs, texts):
     assert not want - got and len(got - want) <= 2  # nothing clean goes; a near copy in a thousand may be missed
 
 
+def test_near_copies_that_no_table_files_together_are_found(spark):
+    rng, data, each = random.Random(3), [], 64 // simhash.FILED
+
+    def keys(text):
+        words = simhash.wide_print(simhash.shingle_set(text, 5)).tolist()
+        return {(t, words[t // each] >> t % each * simhash.FILED & (1 << simhash.FILED) - 1) for t in range(simhash.TABLES)}
+
+    while len(data) < 6:
+        w = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        a, b = " ".join(w), " ".join([*w[:54], *[f"u{rng.randrange(10**6)}" for _ in range(6)]])  # 50 of 62 shingles
+        if not keys(a) & keys(b):
+            data += [(len(data), a), (len(data) + 1, b)]
+    got = simhash.one_of_each_group(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("common", [0, 40])
+def test_first_shingles_lose_no_pair(spark, common):
+    rng = np.random.default_rng(common)
+    sets = [x for n in (1, 5, 9, 60, 300) for pair in _sets_of_share(rng, n, 0.8, 40) for x in pair]
+    some = np.sort(np.concatenate(sets)[:: 1000 // common]) if common else np.zeros(0, np.uint64)
+    rows = [(i, len(x), i, *simhash.parities(x).tolist(), simhash.first_shingles(x, some).view(np.int64).tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["id", "n", "label", *simhash._ODD]) + ", rare array<long>")
+    met = {(r["a"], r["b"]) for r in simhash._sharing(df.drop("rare"), df.select("id", "rare")).collect()}
+    assert {(i + 1, i) for i in range(0, len(sets), 2)} <= met | {(i + 1, i) for i in range(0, len(sets), 2) if np.array_equal(sets[i], sets[i + 1])}
+
+
 def _sets_of_share(rng, n, share, count):
     """Pairs of sets of n shingle hashes with the least Jaccard similarity that is at least share."""
     common = math.ceil(2 * n * share / (1 + share) - 1e-9)
